@@ -48,21 +48,21 @@ def global_index(df: DataFrame, order: list[str], index: str = "__idx") -> DataF
     )
 
 
-def nth_value(df: DataFrame, col: str, n: int) -> int | None:
-    """The n-th smallest (0-based) value of a BIGINT column, exactly.
+def nth_value(df: DataFrame, col: str, n: int) -> int | float | None:
+    """The n-th smallest (0-based) value of a numeric column, exactly.
 
     Each pass counts rows in at most BINS equal bins of the remaining range, then
     keeps the one bin that holds the n-th row; no pass shuffles more than its bins.
     """
-    values = df.select(F.col(f"`{col}`").alias("v")).dropna()
+    values = df.select(F.col(f"`{col}`").alias("v")).filter("v IS NOT NULL AND NOT v = double('nan')")
     total, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
     if not 0 <= n < total:
         return None
     while low < high:
-        width = (high - low) // BINS + 1
+        share = (F.col("v") - F.lit(low)) / F.lit(float(high - low))
         inside = values.filter(F.col("v").between(low, high))
         bins = (
-            inside.groupBy(F.expr(f"(v - {low}L) div {width}L").alias("bin"))
+            inside.groupBy(F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin"))
             .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
             .orderBy("bin")
             .collect()
