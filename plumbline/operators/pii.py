@@ -16,7 +16,7 @@ from plumbline.functions.masking import (
     matches_kind,
     name_kind,
 )
-from plumbline.operators.profile import q, smallest_values
+from plumbline.operators.profile import first_rows, gaps_in_first_rows, q
 
 SAMPLE_SIZE = 50
 MATCH_RATIO = 0.5
@@ -41,7 +41,7 @@ def _first_kind(ratio: float, shares: dict[str, Column]) -> Column:
 
 def pii_by_value(
     df: DataFrame,
-    order_by: str | None = None,
+    order_by: list[str] | None = None,
     sample: int | None = SAMPLE_SIZE,
     ratio: float = MATCH_RATIO,
     columns: list[str] | None = None,
@@ -53,49 +53,42 @@ def pii_by_value(
     """
     columns = _readable(df) if columns is None else columns
     ordinal = {c: i for i, c in enumerate(df.columns)}
-    empty = df.sparkSession.createDataFrame([], "ordinal int, name string, kind string")
     if not columns:
-        return empty
+        return df.sparkSession.createDataFrame([], "ordinal int, name string, kind string")
 
-    def share(value: Column, kind: str) -> Column:
-        return F.avg(F.when(value.isNotNull(), matches_kind(value, kind).cast("double")))
-
-    if sample is None:
-        aggs = [
-            share(q(c).cast("string"), kind).alias(f"{c}|{kind}")
-            for c in columns
+    def kinds(rows: DataFrame, cols: list[str]) -> DataFrame:
+        shares = {
+            f"{c}|{kind}": F.avg(matches_kind(q(c).cast("string"), kind).cast("double"))
+            for c in cols
             for kind in VALUE_PATTERNS
-        ]
+        }
         entries = [
             F.struct(
                 F.lit(ordinal[c]).alias("ordinal"),
                 F.lit(c).alias("name"),
                 _first_kind(ratio, {k: q(f"{c}|{k}") for k in VALUE_PATTERNS}).alias("kind"),
             )
-            for c in columns
+            for c in cols
         ]
-        return df.agg(*aggs).select(F.inline(F.array(*entries)))
-    if order_by is None:
+        row = rows.agg(*[share.alias(name) for name, share in shares.items()])
+        return row.select(F.inline(F.array(*entries)))
+
+    if sample is None:
+        return kinds(df, columns)
+    if not order_by:
         raise ValueError("a sample needs order_by to be repeatable")
-    return reduce(
-        DataFrame.unionByName,
-        [
-            smallest_values(df, c, order_by, sample)
-            .agg(*[share(F.col("value"), kind).alias(kind) for kind in VALUE_PATTERNS])
-            .select(
-                F.lit(ordinal[c]).alias("ordinal"),
-                F.lit(c).alias("name"),
-                _first_kind(ratio, {k: F.col(k) for k in VALUE_PATTERNS}).alias("kind"),
-            )
-            for c in columns
-        ],
-        empty,
-    )
+    gaps = gaps_in_first_rows(df, columns, order_by, sample)
+    full = [c for c in columns if c not in gaps]
+    parts = [kinds(first_rows(df, order_by, sample), full)] if full else []
+    for c in gaps:
+        known = df.select(*[q(x) for x in dict.fromkeys([*order_by, c])]).filter(q(c).isNotNull())
+        parts.append(kinds(first_rows(known, order_by, sample), [c]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def detect_pii(
     df: DataFrame,
-    order_by: str | None = None,
+    order_by: list[str] | None = None,
     sample: int | None = SAMPLE_SIZE,
     ratio: float = MATCH_RATIO,
 ) -> DataFrame:

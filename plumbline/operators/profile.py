@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
@@ -77,27 +78,51 @@ def infer_schema(df: DataFrame) -> DataFrame:
     )
 
 
-def smallest_values(df: DataFrame, col: str, order_by: str, n: int) -> DataFrame:
-    """The non-NULL values of `col` on the `n` first rows by `order_by`, as text."""
-    return (
-        df.select(q(order_by).alias("at"), q(col).cast("string").alias("value"))
-        .filter(F.col("value").isNotNull())
-        .orderBy("at", "value")
-        .limit(n)
-    )
+def first_rows(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
+    return df.orderBy(*[q(c) for c in order_by]).limit(n)
 
 
-def column_samples(df: DataFrame, order_by: str, n: int = 3) -> DataFrame:
-    """The first `n` non-NULL values of each column, one row per value."""
-    result = None
-    for i, c in enumerate(df.columns):
-        first = smallest_values(df, c, order_by, n)
-        listed = first.agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("s"))
-        rows = listed.select(
-            F.lit(i).alias("ordinal"), F.lit(c).alias("name"), F.posexplode(F.col("s.value"))
-        ).withColumnsRenamed({"pos": "position", "col": "value"})
-        result = rows if result is None else result.unionByName(rows)
-    return result
+def gaps_in_first_rows(df: DataFrame, cols: list[str], order_by: list[str], n: int) -> list[str]:
+    """Columns with a NULL among the first `n` rows, which need more rows for `n` values."""
+    seen = first_rows(df, order_by, n).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.count(q(c)).alias(c) for c in cols]
+    ).first()
+    return [c for c in cols if seen[c] < seen["__n"]]
+
+
+def column_samples(df: DataFrame, order_by: list[str], n: int = 3) -> DataFrame:
+    """The first `n` non-NULL values of each column, one row per value.
+
+    One pass serves all columns without a NULL at the start; the others get their own.
+    """
+    order = F.struct(*[q(c) for c in order_by])
+    ordinal = {c: i for i, c in enumerate(df.columns)}
+    gaps = gaps_in_first_rows(df, df.columns, order_by, n)
+
+    def listed(first: DataFrame, cols: list[str]) -> DataFrame:
+        row = first.agg(
+            *[
+                F.array_sort(F.collect_list(F.struct(order.alias("at"), q(c).cast("string").alias("v")))).alias(c)
+                for c in cols
+            ]
+        )
+        entries = F.array(
+            *[
+                F.struct(
+                    F.lit(ordinal[c]).alias("ordinal"), F.lit(c).alias("name"), q(c)["v"].alias("v")
+                )
+                for c in cols
+            ]
+        )
+        return row.select(F.inline(entries)).select("ordinal", "name", F.posexplode("v"))
+
+    full = [c for c in df.columns if c not in gaps]
+    parts = [listed(first_rows(df, order_by, n), full)] if full else []
+    for c in gaps:
+        known = df.select(*[q(x) for x in dict.fromkeys([*order_by, c])]).filter(q(c).isNotNull())
+        parts.append(listed(first_rows(known, order_by, n), [c]))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.withColumnsRenamed({"pos": "position", "col": "value"})
 
 
 def shape(df: DataFrame, name: str = "table") -> DataFrame:
