@@ -1 +1,257 @@
-"""Queries on models."""
+"""Queries on models: families, tuning, oversampling and the improvement loop."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.catalog.registry import QUERIES, query, table
+from plumbline.operators import series, split
+from plumbline.operators.asof import asof_join
+from plumbline.operators.diagnose import check_rows, diagnose
+from plumbline.operators.metrics import regression_metrics
+from plumbline.operators.oversample import smote
+from plumbline.plans.families import CANDIDATES, FAMILIES, Plan, candidates
+from plumbline.plans.fitting import fit, importance
+from plumbline.plans.improving import improve as improve_plan
+from plumbline.plans.tuning import tune
+
+DOC_FEATURES = ["n_chars", "n_words", "n_lines", "n_digits"]
+ITEM_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+DOCS_SQL = """
+    d AS (SELECT d.doc_id, CAST(quality AS INTEGER) AS quality, toxic, n_chars,
+                 length(text) - length(replace(text, ' ', '')) + 1 AS n_words,
+                 length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines,
+                 length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS n_digits,
+                 ('0x' || substr(md5(d.doc_id || '42'), 1, 8))::UBIGINT / 4294967296.0 < 0.2 AS in_test
+          FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+    """
+
+
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with counts taken from their whole text."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+
+    def lost(pattern: str):
+        return F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+
+    counted = docs.select(
+        "doc_id", "n_chars", (lost(" ") + 1).alias("n_words"), (lost("\n") + 1).alias("n_lines"),
+        lost("[0-9]").alias("n_digits"),
+    )
+    return split.split_random(counted.join(labels, "doc_id"), "doc_id")
+
+
+def _parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return df.filter("part = 'train'"), df.filter("part = 'test'")
+
+
+def _doc_plan(family: str) -> Plan:
+    return Plan(family, "classification", "quality", tuple(DOC_FEATURES), "doc_id")
+
+
+def _register_fits() -> None:
+    """One query per family and task: a prediction for every test row."""
+
+    def documents(family: str):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            train, test = _parts(document_features(spark, sf_dir))
+            return fit(_doc_plan(family), train).predict(test)
+
+        return run
+
+    def items(family: str):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            rows = table(spark, sf_dir, "lineitem").withColumn(
+                "row_id", F.col("l_orderkey") * 16 + F.col("l_linenumber")
+            )
+            train, test = _parts(split.split_random(rows, "row_id"))
+            plan = Plan(family, "regression", "l_extendedprice", tuple(ITEM_FEATURES), "row_id")
+            return fit(plan, train).predict(test)
+
+        return run
+
+    def events(family: str):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            rows = event_features(spark, sf_dir)
+            train, test = _parts(rows)
+            return fit(_event_plan(family, rows), train).predict(test)
+
+        return run
+
+    makers = {
+        "classification": ("fit", documents), "regression": ("fit_regression", items),
+        "timeseries": ("fit_timeseries", events),
+    }
+    for task, (prefix, maker) in makers.items():
+        for family in FAMILIES[task]:
+            if (task, family) != ("classification", "knn"):
+                QUERIES[f"{prefix}_{family}"] = maker(family)
+
+
+def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    built = series.ts_features(rows, "value", "ts", tiebreak=["event_id"], keep_time=True)
+    return split.split_time(built, "ts")
+
+
+def _event_plan(family: str, rows: DataFrame) -> Plan:
+    features = [c for c in rows.columns if c not in ("event_id", "ts", "value", "part")]
+    return Plan(family, "timeseries", "value", tuple(features), "event_id", "ts")
+
+
+_register_fits()
+
+
+@query(
+    f"""
+    WITH {DOCS_SQL},
+         near AS (SELECT a.doc_id, a.quality AS label, b.quality AS c,
+                         row_number() OVER (PARTITION BY a.doc_id ORDER BY
+                             (a.n_chars - b.n_chars) ** 2 + (a.n_words - b.n_words) ** 2
+                             + (a.n_lines - b.n_lines) ** 2 + (a.n_digits - b.n_digits) ** 2,
+                             b.doc_id) AS r
+                  FROM d a JOIN d b ON a.in_test AND NOT b.in_test),
+         votes AS (SELECT doc_id, label, c, count(*) AS n FROM near WHERE r <= 5 GROUP BY ALL)
+    SELECT doc_id, any_value(label) AS label, arg_max(c, n * 1000 - c) AS prediction
+    FROM votes GROUP BY doc_id
+    """
+)
+def fit_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _parts(document_features(spark, sf_dir))
+    return fit(_doc_plan("knn"), train).predict(test)
+
+
+@query(
+    """
+    SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+           round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept
+    FROM lineitem
+    """
+)
+def ols_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label"))
+    rows = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(items)
+    model = LinearRegression(solver="normal").fit(rows)
+    return spark.createDataFrame(
+        [(round(float(model.coefficients[0]), 4), round(float(model.intercept), 4))],
+        "slope double, intercept double",
+    )
+
+
+@query(
+    f"""
+    WITH {DOCS_SQL}, c AS (SELECT toxic, count(*) AS n FROM d WHERE NOT in_test GROUP BY 1)
+    SELECT toxic, FALSE AS synthetic, n FROM c
+    UNION ALL
+    SELECT toxic, TRUE, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)
+    """
+)
+def smote_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _parts(document_features(spark, sf_dir))
+    balanced = smote(train, DOC_FEATURES, "toxic", "doc_id")
+    return balanced.groupBy("toxic", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _parts(document_features(spark, sf_dir))
+    balanced = smote(train, DOC_FEATURES, "toxic", "doc_id")
+    return balanced.select("origin", "synthetic", "toxic", *[F.round(c, 6).alias(c) for c in DOC_FEATURES])
+
+
+@query()
+def tune_decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _parts(document_features(spark, sf_dir))
+    return tune(_doc_plan("decision_tree"), train)[1]
+
+
+@query()
+def tune_timeseries_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_features(spark, sf_dir)
+    return tune(_event_plan("ridge", rows), _parts(rows)[0])[1]
+
+
+@query()
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _parts(document_features(spark, sf_dir))
+    return importance(fit(_doc_plan("random_forest"), train))
+
+
+@query()
+def candidate_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three candidates for document quality, each fitted and measured by error rate."""
+    train, test = _parts(document_features(spark, sf_dir))
+    plans = candidates("classification", "quality", DOC_FEATURES, "doc_id")
+    assert [p.family for p in plans] == list(CANDIDATES["classification"])
+    parts = [
+        fit(p, train).predict(test).agg(
+            F.lit(i + 1).alias("rank"), F.lit(p.family).alias("family"),
+            F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"),
+        )
+        for i, p in enumerate(plans)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def improve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _parts(document_features(spark, sf_dir))
+    plan = Plan("logistic_regression", "classification", "toxic", tuple(DOC_FEATURES), "doc_id")
+    runs = improve_plan(plan, train, test)
+    return runs.select(
+        "session_id", "round", "family", "remedy", "ok", "accuracy", "f1", "score", "verdict",
+        F.size("checks").alias("n_checks"),
+    )
+
+
+@query(
+    """
+    WITH p AS (SELECT ts, event_id, value FROM events WHERE event_type = 'purchase'),
+         v AS (SELECT ts, event_id AS view_id, value AS view_value FROM events WHERE event_type = 'view'),
+         b AS (SELECT p.*, v.ts AS v_ts, view_value FROM p ASOF LEFT JOIN v ON p.ts >= v.ts),
+         f AS (SELECT p.*, v.ts AS v_ts, view_value FROM p ASOF LEFT JOIN v ON p.ts <= v.ts),
+         n AS (SELECT b.ts, b.event_id, b.value,
+                      CASE WHEN f.v_ts IS NULL OR b.ts - b.v_ts <= f.v_ts - b.ts
+                           THEN b.view_value ELSE f.view_value END AS view_value,
+                      least(b.ts - b.v_ts, f.v_ts - b.ts) AS gap
+               FROM b JOIN f ON b.event_id = f.event_id),
+         w AS (SELECT *, CASE WHEN gap <= INTERVAL 1 HOUR THEN view_value END AS seen,
+                      CASE WHEN count(value) OVER past = 7 THEN avg(value) OVER past END AS mean_7,
+                      lag(value, 7) OVER (ORDER BY ts, event_id) AS lag_7
+               FROM n WINDOW past AS (ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+         x AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS total
+               FROM w WHERE mean_7 IS NOT NULL AND lag_7 IS NOT NULL),
+         t AS (SELECT *, (mean_7 + coalesce(seen, mean_7)) / 2 AS guess FROM x
+               WHERE rn > total - ceil(total * 0.2)),
+         m AS (SELECT count(*) AS n_test, any_value(total) - count(*) AS n_train,
+                      1 - avg((value - guess) ** 2) / var_pop(value) AS r2 FROM t)
+    SELECT CASE WHEN n_train + n_test < 100 THEN 'critical' WHEN n_train + n_test < 500 THEN 'warning'
+                ELSE 'ok' END AS level, '샘플 수' AS item, CAST(n_train + n_test AS DOUBLE) AS value FROM m
+    UNION ALL
+    SELECT CASE WHEN r2 > 0.995 OR r2 < 0.3 THEN 'critical' WHEN r2 < 0.6 THEN 'warning' ELSE 'ok' END,
+           CASE WHEN r2 > 0.995 THEN 'R² 과도' WHEN r2 < 0 THEN 'R² 음수'
+                WHEN r2 < 0.3 THEN '설명력 부족' ELSE '설명력' END, round(r2, 6) FROM m
+    """
+)
+def forecast_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with their nearest view, rolling features, time split, metrics, checks."""
+    events = table(spark, sf_dir, "events")
+    purchases = events.filter("event_type = 'purchase'").select("ts", "event_id", "value")
+    views = events.filter("event_type = 'view'").select("ts", F.col("value").alias("seen"))
+    joined = asof_join(purchases, views, "ts", "ts", "nearest", tolerance_seconds=3600)
+    built = series.ts_features(
+        joined, "value", "ts", steps=(7,), widths=(7,), tiebreak=["event_id"], keep_time=True
+    )
+    train, test = _parts(split.split_time(built, "ts"))
+    guess = (F.col("value_mean_7") + F.coalesce("seen", "value_mean_7")) / 2
+    metrics = regression_metrics(test.select("value", guess.alias("guess")), "value", "guess")
+    sizes = train.agg(F.count(F.lit(1)).alias("n_train")).first()
+    run = metrics.withColumn("n_train", F.lit(sizes["n_train"]))
+    checks = check_rows(diagnose(run), [])
+    return checks.select("level", "item", F.round("value", 6).alias("value"))

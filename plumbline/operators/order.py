@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.operators.durable import materialize
 
 BINS = 4096
 SMALL = 50_000
+LARGEST = sys.float_info.max
 
 
 def global_index(df: DataFrame, order: list[str], index: str = "__idx") -> DataFrame:
@@ -54,15 +57,23 @@ def nth_value(df: DataFrame, col: str, n: int) -> int | float | None:
     Each pass counts rows in at most BINS equal bins of the remaining range, then
     keeps the one bin that holds the n-th row; no pass shuffles more than its bins.
     """
-    values = df.select(F.col(f"`{col}`").alias("v")).filter("v IS NOT NULL AND NOT v = double('nan')")
+    v = F.col(f"`{col}`")
+    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
+        v = F.when(~F.isnan(v), F.greatest(F.least(v, F.lit(LARGEST)), F.lit(-LARGEST)))
+    values = df.select(v.alias("v")).dropna()
     total, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
     if not 0 <= n < total:
         return None
     while low < high:
-        share = (F.col("v") - F.lit(low)) / F.lit(float(high - low))
         inside = values.filter(F.col("v").between(low, high))
+        width = float(high) / 2 - float(low) / 2
+        if width > 0:
+            share = (F.col("v").cast("double") / 2 - float(low) / 2) / width
+            bin_of = F.least(F.floor(share * BINS), F.lit(BINS - 1))
+        else:  # neighbouring whole numbers that DOUBLE cannot tell apart
+            bin_of = F.col("v") - F.lit(low)
         bins = (
-            inside.groupBy(F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin"))
+            inside.groupBy(bin_of.alias("bin"))
             .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
             .orderBy("bin")
             .collect()

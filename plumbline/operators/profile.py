@@ -175,6 +175,12 @@ def target_stats(df: DataFrame, target: str) -> DataFrame:
     return numeric_stats(df, [target])
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over rows where both are known; NULL when one is constant."""
+    x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair of columns as rows (a, b, corr)."""
     pairs = list(combinations(cols, 2))
@@ -184,7 +190,7 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     if len(cols) <= CORR_ONE_PASS_COLUMNS:
         row = df.agg(
             *[
-                F.corr(q(a).cast("double"), q(b).cast("double")).alias(str(i))
+                pearson(q(a), q(b)).alias(str(i))
                 for i, (a, b) in enumerate(pairs)
             ]
         )
@@ -264,7 +270,7 @@ def profile(df: DataFrame, target: str | None = None, task: str = "classificatio
             aggs.append(f(q(c).cast("double")).alias(f"{s}{i}"))
             entry(section, c, s, q(f"{s}{i}"))
     for i, (a, b) in enumerate(pairs):
-        aggs.append(F.corr(q(a).cast("double"), q(b).cast("double")).alias(f"corr{i}"))
+        aggs.append(pearson(q(a), q(b)).alias(f"corr{i}"))
     base = df.agg(*aggs).cache()
     result = base.select(F.inline(F.array(*rows)))
     if pairs:
