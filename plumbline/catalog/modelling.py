@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.registry import QUERIES, query, table
 from plumbline.operators import series, split
 from plumbline.operators.asof import asof_join
+from plumbline.operators.durable import materialize
 from plumbline.operators.diagnose import check_rows, diagnose
 from plumbline.operators.metrics import regression_metrics
 from plumbline.operators.oversample import smote
@@ -97,7 +98,7 @@ def _register_fits() -> None:
 def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "value")
     built = series.ts_features(rows, "value", "ts", tiebreak=["event_id"], keep_time=True)
-    return split.split_time(built, "ts")
+    return split.split_time(materialize(built), "ts")
 
 
 def _event_plan(family: str, rows: DataFrame) -> Plan:
@@ -248,7 +249,7 @@ def forecast_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = series.ts_features(
         joined, "value", "ts", steps=(7,), widths=(7,), tiebreak=["event_id"], keep_time=True
     )
-    train, test = _parts(split.split_time(built, "ts"))
+    train, test = _parts(split.split_time(materialize(built), "ts"))
     guess = (F.col("value_mean_7") + F.coalesce("seen", "value_mean_7")) / 2
     metrics = regression_metrics(test.select("value", guess.alias("guess")), "value", "guess")
     sizes = train.agg(F.count(F.lit(1)).alias("n_train")).first()

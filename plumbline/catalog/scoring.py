@@ -328,13 +328,13 @@ METRICS = ("accuracy", "f1", "rmse", "mae", "r2", "n_train", "n_test")
 @query(
     f"WITH {CHECKS_SQL} "
     + " UNION ALL ".join(
-        f"SELECT session_id, round, '{m}' AS metric, round(CAST({m} AS DOUBLE), 4) AS value FROM runs "
+        f"SELECT session_id, round, '{m}' AS metric, round(CAST({m} AS DOUBLE), 6) AS value FROM runs "
         f"WHERE {m} IS NOT NULL"
         for m in METRICS
     )
 )
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return board.report(runs(spark, sf_dir), RUN)
+    return board.report(runs(spark, sf_dir), RUN, digits=6)
 
 
 IMPORTANCE_SQL = "i AS (SELECT p_brand AS feature, sum(p_size) / (SELECT sum(p_size) FROM part) AS importance FROM part GROUP BY 1)"

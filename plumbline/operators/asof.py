@@ -181,14 +181,16 @@ def _nearest_seen(
     instants: DataFrame, by: list[str], buckets: int, cols: list[str]
 ) -> DataFrame:
     """Fill `__last` from the rows before and `__first` from the rows after, across buckets."""
-    inside = Window.partitionBy(*by, "__b").orderBy("__t")
-    before = inside.rowsBetween(Window.unboundedPreceding, 0)
-    after = inside.rowsBetween(0, Window.unboundedFollowing)
-    near = {
-        "__last": F.last("__last", ignorenulls=True).over(before),
-        "__first": F.first("__first", ignorenulls=True).over(after),
+    # frames that end at the current row cost one step per row; frames that begin there do not
+    def latest(col: str, cut: list[str], order: Column, end: int) -> Column:
+        frame = Window.partitionBy(*cut).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+        return F.last(col, ignorenulls=True).over(frame)
+
+    toward = {
+        c: lambda key, c=c: F.col(key).asc() if c == "__last" else F.col(key).desc() for c in cols
     }
-    seen = instants.withColumns({c: near[c] for c in cols})
+    near = {c: latest(c, [*by, "__b"], toward[c]("__t"), 0) for c in cols}
+    seen = instants.withColumns(near)
     if buckets == 1:
         return seen
     # one row per bucket and key from here on, so these windows do not grow with the data
@@ -196,12 +198,9 @@ def _nearest_seen(
     edges = instants.groupBy(*by, "__b").agg(
         *[edge[c](c, F.when(F.col(c).isNotNull(), F.col("__t"))).alias(c) for c in cols]
     )
-    across = Window.partitionBy(*by).orderBy("__b")
-    far = {
-        "__last": F.last("__last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)),
-        "__first": F.first("__first", True).over(across.rowsBetween(1, Window.unboundedFollowing)),
-    }
-    carry = edges.select(*by, "__b", *[far[c].alias(f"_{c}") for c in cols])
+    carry = edges.select(
+        *by, "__b", *[latest(c, by, toward[c]("__b"), -1).alias(f"_{c}") for c in cols]
+    )
     found = skew.join_on(seen, carry, [*by, "__b"], "left")
     return found.withColumns({c: F.coalesce(c, f"_{c}") for c in cols}).drop(*[f"_{c}" for c in cols])
 

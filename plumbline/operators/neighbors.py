@@ -9,7 +9,6 @@ within that bound can hold something nearer, and the query is sent to those.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,8 +42,8 @@ def _direction(base: DataFrame, width: int) -> list[float]:
 def _top_k(k: int, same_row: bool):
     """Nearest rows of one chunk for one block of queries, in bounded numpy blocks."""
 
-    def search(queries: pd.DataFrame, base: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        columns = ["qk", "p", "home", "v", "bk", "bv", "d2"]
+    def search(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        columns = ["qk", "bk", "bv", "c", "d2"]
         if queries.empty or base.empty:
             return pd.DataFrame(columns=columns)
         base = base.sort_values("bk", kind="stable").reset_index(drop=True)
@@ -62,9 +61,8 @@ def _top_k(k: int, same_row: bool):
             near = np.argsort(d2, axis=1, kind="stable")[:, :k]
             dist = np.take_along_axis(d2, near, axis=1)
             rows, cols = np.nonzero(np.isfinite(dist))
-            hit = part.iloc[rows].reset_index(drop=True)
-            chosen = near[rows, cols]
-            hit["bk"], hit["bv"], hit["d2"] = keys[chosen], list(points[chosen]), dist[rows, cols]
+            hit = base.iloc[near[rows, cols]]
+            hit = hit.assign(qk=part["qk"].to_numpy()[rows], d2=dist[rows, cols])
             out.append(hit[columns])
         return pd.concat(out, ignore_index=True)
 
@@ -79,16 +77,22 @@ def nearest(
     query_key: str,
     base_key: str,
     same_row: bool = False,
+    carry: str | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The k nearest base rows of every query row by Euclidean distance.
 
     Keys are whole numbers, features complete. Ties go to the smaller base key. With
     `same_row` a row is not its own neighbour. Result: (query_key, base_key, rank,
-    distance, neighbour as array).
+    distance, the neighbour as array `point`, and its column `carry` as `carried`).
     """
     asked = queries.select(q(query_key).cast("bigint").alias("qk"), _vector(features).alias("v"))
-    every = base.select(q(base_key).cast("bigint").alias("bk"), _vector(features).alias("v"))
+    extra = (q(carry) if carry else F.lit(None).cast("int")).alias("c")
+    every = base.select(q(base_key).cast("bigint").alias("bk"), _vector(features).alias("v"), extra)
+    schema = (
+        "qk bigint, bk bigint, bv array<double>, "
+        f"c {every.schema['c'].dataType.simpleString()}, d2 double"
+    )
     # ties go to the smaller key, so of equal points only the first few can ever count
     copies = F.row_number().over(Window.partitionBy("v").orderBy("bk"))
     points = every.withColumn("copy", copies).filter(F.col("copy") <= k + int(same_row))
@@ -102,11 +106,11 @@ def nearest(
     shares = [i / chunks for i in range(1, chunks)]
     cuts = sorted(set(points.approxQuantile("p", shares, 1 / (4 * chunks)))) if shares else []
     splits = [-math.inf, *cuts, math.inf]
-    points = _chunked(points, splits, "p", "chunk").select("chunk", "bk", F.col("v").alias("bv"))
+    points = _chunked(points, splits, "p", "chunk").select("chunk", "bk", F.col("v").alias("bv"), "c")
     asked = _chunked(asked, splits, "p", "home")
 
     search = _top_k(k, same_row)
-    home = _searched(asked.withColumn("chunk", F.col("home")), points, search, chunk_rows)
+    home = _searched(asked.withColumn("chunk", F.col("home")), points, search, schema, chunk_rows)
     if len(splits) == 2:
         found = home
     else:
@@ -125,7 +129,7 @@ def nearest(
             .filter("chunk <> home")
             .drop("r", "low", "high", "low_chunk", "high_chunk")
         )
-        found = home.unionByName(_searched(away, points, search, chunk_rows))
+        found = home.unionByName(_searched(away, points, search, schema, chunk_rows))
     order = Window.partitionBy("qk").orderBy("d2", "bk")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(
@@ -134,6 +138,7 @@ def nearest(
         "rank",
         F.sqrt("d2").alias("distance"),
         F.col("bv").alias("point"),
+        *([F.col("c").alias("carried")] if carry else []),
     )
 
 
@@ -145,7 +150,9 @@ def _chunked(df: DataFrame, splits: list[float], value: str, chunk: str) -> Data
     return numbered.withColumn(chunk, F.col(chunk).cast("int"))
 
 
-def _searched(asked: DataFrame, points: DataFrame, search, block_rows: int) -> DataFrame:
+def _searched(
+    asked: DataFrame, points: DataFrame, search, schema: str, block_rows: int
+) -> DataFrame:
     """Run the search per chunk, the queries of a busy chunk cut into blocks."""
     counts = asked.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
     # at most MAX_CHUNKS rows
@@ -159,11 +166,8 @@ def _searched(asked: DataFrame, points: DataFrame, search, block_rows: int) -> D
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     return (
-        spread.select("chunk", "block", "qk", "p", "home", "v")
+        spread.select("chunk", "block", "qk", "v")
         .groupBy("chunk", "block")
-        .cogroup(repeated.select("chunk", "block", "bk", "bv").groupBy("chunk", "block"))
-        .applyInPandas(
-            search,
-            "qk bigint, p double, home int, v array<double>, bk bigint, bv array<double>, d2 double",
-        )
+        .cogroup(repeated.select("chunk", "block", "bk", "bv", "c").groupBy("chunk", "block"))
+        .applyInPandas(search, schema)
     )

@@ -15,6 +15,7 @@ from plumbline.operators.profile import q
 
 NEIGHBORS = 5
 BLOCK = 1000
+MAX_CLASSES = 1000
 
 
 def smote(
@@ -30,7 +31,10 @@ def smote(
     Adds `synthetic` and `origin`, the key of the row a synthetic row was made from;
     synthetic rows have no key. All choices are hashes of key and seed.
     """
-    counts = {r[0]: r[1] for r in train.groupBy(q(target)).count().collect()}  # one row per class
+    sizes = train.groupBy(q(target)).count().limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes")
+    counts = {r[0]: r[1] for r in sizes}
     most = max(counts.values())
     real = train.withColumns(
         {

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +14,7 @@ from plumbline.functions.masking import (
     matches_kind,
     name_kind,
 )
-from plumbline.operators.profile import first_rows, gaps_in_first_rows, q
+from plumbline.operators.profile import first_rows, q
 
 SAMPLE_SIZE = 50
 MATCH_RATIO = 0.5
@@ -35,10 +33,6 @@ def _readable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, opaque)]
 
 
-def _first_kind(ratio: float, shares: dict[str, Column]) -> Column:
-    return F.coalesce(*[F.when(share >= ratio, F.lit(kind)) for kind, share in shares.items()])
-
-
 def pii_by_value(
     df: DataFrame,
     order_by: list[str] | None = None,
@@ -50,40 +44,39 @@ def pii_by_value(
 
     Looks at the first `sample` non-NULL values by `order_by`, or with sample=None
     at all values in one pass. A kind holds when at least `ratio` of them match.
+    One pass serves all columns without a NULL at the start; the others get their own.
     """
     columns = _readable(df) if columns is None else columns
-    ordinal = {c: i for i, c in enumerate(df.columns)}
-    if not columns:
-        return df.sparkSession.createDataFrame([], "ordinal int, name string, kind string")
-
-    def kinds(rows: DataFrame, cols: list[str]) -> DataFrame:
-        shares = {
-            f"{c}|{kind}": F.avg(matches_kind(q(c).cast("string"), kind).cast("double"))
-            for c in cols
-            for kind in VALUE_PATTERNS
-        }
-        entries = [
-            F.struct(
-                F.lit(ordinal[c]).alias("ordinal"),
-                F.lit(c).alias("name"),
-                _first_kind(ratio, {k: q(f"{c}|{k}") for k in VALUE_PATTERNS}).alias("kind"),
-            )
-            for c in cols
-        ]
-        row = rows.agg(*[share.alias(name) for name, share in shares.items()])
-        return row.select(F.inline(F.array(*entries)))
-
-    if sample is None:
-        return kinds(df, columns)
-    if not order_by:
+    if sample is not None and not order_by:
         raise ValueError("a sample needs order_by to be repeatable")
-    gaps = gaps_in_first_rows(df, columns, order_by, sample)
-    full = [c for c in columns if c not in gaps]
-    parts = [kinds(first_rows(df, order_by, sample), full)] if full else []
+    ordinal = {c: i for i, c in enumerate(df.columns)}
+    kinds, gaps = {}, []
+    if columns:
+        rows = df if sample is None else first_rows(df, order_by, sample)
+        seen = _shares(rows, columns)
+        gaps = [c for c in columns if sample is not None and seen[f"n|{c}"] < seen["n"]]
+        kinds = {c: _first_kind(seen, c, ratio) for c in columns if c not in gaps}
     for c in gaps:
         known = df.select(*[q(x) for x in dict.fromkeys([*order_by, c])]).filter(q(c).isNotNull())
-        parts.append(kinds(first_rows(known, order_by, sample), [c]))
-    return reduce(DataFrame.unionByName, parts)
+        kinds[c] = _first_kind(_shares(first_rows(known, order_by, sample), [c]), c, ratio)
+    found = [(ordinal[c], c, kinds[c]) for c in columns]
+    return df.sparkSession.createDataFrame(found, "ordinal int, name string, kind string")
+
+
+def _shares(rows: DataFrame, columns: list[str]) -> Row:
+    """Known values per column and the share of them that matches each kind."""
+    known = [F.count(q(c)).alias(f"n|{c}") for c in columns]
+    matching = [
+        F.avg(matches_kind(q(c).cast("string"), kind).cast("double")).alias(f"{c}|{kind}")
+        for c in columns
+        for kind in VALUE_PATTERNS
+    ]
+    return rows.agg(F.count(F.lit(1)).alias("n"), *known, *matching).first()
+
+
+def _first_kind(shares: Row, column: str, ratio: float) -> str | None:
+    hits = (k for k in VALUE_PATTERNS if (shares[f"{column}|{k}"] or 0) >= ratio)
+    return next(hits, None)
 
 
 def detect_pii(

@@ -16,6 +16,7 @@ CATEGORY_LIMIT = 20
 CORR_THRESHOLD = 0.9
 CORR_PAIRS = 10
 CORR_ONE_PASS_COLUMNS = 30
+PAIR_SCHEMA = "a string, b string, corr double"
 
 
 def q(name: str) -> Column:
@@ -182,30 +183,53 @@ def pearson(a: Column, b: Column) -> Column:
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns as rows (a, b, corr)."""
+    """Pearson correlation of every pair of columns as rows (a, b, corr).
+
+    NULL when a column is constant. A first pass finds the means; the second then
+    needs only one sum of products per pair of complete columns. Pairs with missing
+    values use the rows where both are known.
+    """
     pairs = list(combinations(cols, 2))
-    schema = "a string, b string, corr double"
     if not pairs:
-        return df.sparkSession.createDataFrame([], schema)
-    if len(cols) <= CORR_ONE_PASS_COLUMNS:
-        row = df.agg(
-            *[
-                pearson(q(a), q(b)).alias(str(i))
-                for i, (a, b) in enumerate(pairs)
-            ]
-        )
-        entries = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), q(str(i)).alias("corr"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-        return row.select(F.inline(F.array(*entries)))
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    if len(cols) > CORR_ONE_PASS_COLUMNS:
+        return _wide_correlations(df, cols, pairs)
+    first = df.agg(
+        *[F.avg(q(c).cast("double")).alias(f"m|{c}") for c in cols],
+        *[F.count_if(_missing(df, c)).alias(f"n|{c}") for c in cols],
+    ).first()
+    full = [c for c in cols if first[f"n|{c}"] == 0 and first[f"m|{c}"] is not None]
+    # sums around the means lose no digits
+    shifted = {c: q(c).cast("double") - F.lit(first[f"m|{c}"]) for c in full}
+    n = F.col("n")
+
+    def moment(x: str, y: str) -> Column:
+        return q(f"{x}|{y}") / n - q(f"{x}|") / n * q(f"{y}|") / n
+
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(shifted[c]).alias(f"{c}|") for c in full]]
+    sums += [F.sum(shifted[c] * shifted[c]).alias(f"{c}|{c}") for c in full]
+    entries = []
+    for a, b in pairs:
+        if a in shifted and b in shifted:
+            sums.append(F.sum(shifted[a] * shifted[b]).alias(f"{a}|{b}"))
+            spread = F.sqrt(moment(a, a)) * F.sqrt(moment(b, b))
+            corr = F.try_divide(moment(a, b), spread)
+        else:
+            sums.append(pearson(q(a), q(b)).alias(f"{a}|{b}"))
+            corr = q(f"{a}|{b}")
+        entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr.alias("corr")))
+    return df.agg(*sums).select(F.inline(F.array(*entries)))
+
+
+def _wide_correlations(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Correlations of many columns over complete rows; the matrix is columns x columns."""
     vectors = VectorAssembler(inputCols=cols, outputCol="v").transform(
         df.select(*[q(c).cast("double").alias(c) for c in cols]).dropna()
     )
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()  # columns x columns
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
     at = {c: i for i, c in enumerate(cols)}
     rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, schema)
+    return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
 
 
 def high_corr_pairs(
@@ -216,9 +240,7 @@ def high_corr_pairs(
 ) -> DataFrame:
     """The feature pairs with the highest |correlation| above the threshold."""
     cols = [c for c in numeric_columns(df) if c != target]
-    strong = correlations(df, cols).filter(
-        (F.abs("corr") > threshold) & ~F.isnan("corr")
-    )
+    strong = correlations(df, cols).filter((F.abs("corr") > threshold) & ~F.isnan("corr"))
     return strong.orderBy(F.abs("corr").desc(), "a", "b").limit(limit)
 
 
@@ -239,24 +261,17 @@ def annotate_schema(profile: DataFrame, spec: DataFrame) -> DataFrame:
 def profile(df: DataFrame, target: str | None = None, task: str = "classification") -> DataFrame:
     """Shape, missing values, statistics, target and correlations as rows.
 
-    Rows are (section, name, stat, value). One pass computes everything but the
-    class distribution.
+    Rows are (section, name, stat, value). One pass yields sizes, missing values and
+    statistics of all columns; correlations and class counts follow.
     """
     df = drop_internal(df)
     cols = numeric_columns(df)
-    pairs = list(combinations([c for c in cols if c != target], 2))
-    if len(cols) > CORR_ONE_PASS_COLUMNS:
-        pairs = []
     aggs, rows = [F.count(F.lit(1)).alias("rows")], []
 
     def entry(section: str, name: str, stat: str, value: Column) -> None:
+        keys = {"section": section, "name": name, "stat": stat}
         rows.append(
-            F.struct(
-                F.lit(section).alias("section"),
-                F.lit(name).alias("name"),
-                F.lit(stat).alias("stat"),
-                value.cast("double").alias("value"),
-            )
+            F.struct(*[F.lit(x).alias(k) for k, x in keys.items()], value.cast("double").alias("value"))
         )
 
     entry("shape", "table", "rows", q("rows"))
@@ -269,43 +284,20 @@ def profile(df: DataFrame, target: str | None = None, task: str = "classificatio
         for s, f in STATS.items():
             aggs.append(f(q(c).cast("double")).alias(f"{s}{i}"))
             entry(section, c, s, q(f"{s}{i}"))
-    for i, (a, b) in enumerate(pairs):
-        aggs.append(pearson(q(a), q(b)).alias(f"corr{i}"))
-    base = df.agg(*aggs).cache()
-    result = base.select(F.inline(F.array(*rows)))
-    if pairs:
-        entries = [
-            F.struct(
-                F.lit("high_correlation_pairs").alias("section"),
-                F.lit(a).alias("name"),
-                F.lit(b).alias("stat"),
-                q(f"corr{i}").alias("value"),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
-        strong = base.select(F.inline(F.array(*entries))).filter(
-            (F.abs("value") > CORR_THRESHOLD) & ~F.isnan("value")
-        )
-        result = result.unionByName(
-            strong.orderBy(F.abs("value").desc(), "name", "stat").limit(CORR_PAIRS)
-        )
-    elif len(cols) > CORR_ONE_PASS_COLUMNS:
-        wide = high_corr_pairs(df, target)
-        result = result.unionByName(
-            wide.select(
-                F.lit("high_correlation_pairs").alias("section"),
-                F.col("a").alias("name"),
-                F.col("b").alias("stat"),
-                F.col("corr").alias("value"),
-            )
-        )
+    result = df.agg(*aggs).select(F.inline(F.array(*rows)))
+    strong = high_corr_pairs(df, target).select(
+        F.lit("high_correlation_pairs").alias("section"),
+        F.col("a").alias("name"),
+        F.col("b").alias("stat"),
+        F.col("corr").alias("value"),
+    )
+    result = result.unionByName(strong)
     if target is not None and task == "classification":
-        result = result.unionByName(
-            class_distribution(df, target).select(
-                F.lit("class_distribution").alias("section"),
-                F.col("label").alias("name"),
-                F.lit("rows").alias("stat"),
-                F.col("n").cast("double").alias("value"),
-            )
+        classes = class_distribution(df, target).select(
+            F.lit("class_distribution").alias("section"),
+            F.col("label").alias("name"),
+            F.lit("rows").alias("stat"),
+            F.col("n").cast("double").alias("value"),
         )
+        result = result.unionByName(classes)
     return result

@@ -69,8 +69,10 @@ def fit(plan: Plan, train: DataFrame, weight: str | None = None) -> Fitted:
     if plan.family == "knn":
         return Fitted(plan, None, labels, train)
     usable = with_label(assembled(train, list(plan.features)), plan, labels)
-    usable = usable.select("features", "label", *([weight] if weight else []))
+    # several passes follow; what does not fit in memory goes to disk
+    usable = usable.select("features", "label", *([weight] if weight else [])).persist()
     model = estimator(plan.family, plan.task, len(labels), weight, **plan.params).fit(usable)
+    usable.unpersist()
     return Fitted(plan, model, labels, train)
 
 
@@ -78,9 +80,9 @@ def _vote(fitted: Fitted, rows: DataFrame) -> DataFrame:
     """Majority class of the nearest training rows; ties go to the smaller class."""
     plan = fitted.plan
     base = fitted.train.withColumnRenamed(plan.key, "__base")
-    near = nearest(rows, base, list(plan.features), plan.params.get("k", KNN), plan.key, "__base")
-    classes = base.select(F.col("__base").cast("bigint").alias("__base"), q(plan.target).alias("c"))
-    votes = near.join(classes, "__base").groupBy(q(plan.key), "c").agg(F.count(F.lit(1)).alias("n"))
+    k = plan.params.get("k", KNN)
+    near = nearest(rows, base, list(plan.features), k, plan.key, "__base", carry=plan.target)
+    votes = near.groupBy(q(plan.key), F.col("carried").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy(q(plan.key)).orderBy(F.desc("n"), "c")
     won = votes.withColumn("r", F.row_number().over(first)).filter("r = 1")
     asked = rows.select(q(plan.key), q(plan.target).alias("label"))
