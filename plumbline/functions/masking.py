@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,12 +58,9 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def name_kind(name: Column | str) -> Column:
-    """Kind suggested by a column name, else NULL."""
-    name = _col(name)
-    return F.coalesce(
-        *[F.when(name.rlike(f"(?i)({p})"), F.lit(k)) for k, p in NAME_PATTERNS.items()]
-    )
+def name_kind(name: str) -> str | None:
+    """Kind suggested by a column name."""
+    return next((k for k, p in NAME_PATTERNS.items() if re.search(p, name, re.IGNORECASE)), None)
 
 
 def matches_kind(value: Column | str, kind: str) -> Column:

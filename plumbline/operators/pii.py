@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +20,13 @@ SAMPLE_SIZE = 50
 MATCH_RATIO = 0.5
 
 
+FOUND = "ordinal int, name string, kind string"
+
+
 def pii_by_name(df: DataFrame) -> DataFrame:
     """Kind suggested by each column's name: rows (ordinal, name, kind)."""
-    names = df.sparkSession.createDataFrame(
-        list(enumerate(df.columns)), "ordinal int, name string"
-    )
-    return names.withColumn("kind", name_kind("name"))
+    rows = [(i, c, name_kind(c)) for i, c in enumerate(df.columns)]
+    return df.sparkSession.createDataFrame(rows, FOUND)
 
 
 def _readable(df: DataFrame) -> list[str]:
@@ -54,29 +55,32 @@ def pii_by_value(
     if columns:
         rows = df if sample is None else first_rows(df, order_by, sample)
         seen = _shares(rows, columns)
-        gaps = [c for c in columns if sample is not None and seen[f"n|{c}"] < seen["n"]]
-        kinds = {c: _first_kind(seen, c, ratio) for c in columns if c not in gaps}
+        gaps = [c for c in columns if sample is not None and seen[c]["known"] < seen[c]["n"]]
+        kinds = {c: _first_kind(seen[c], ratio) for c in columns if c not in gaps}
     for c in gaps:
         known = df.select(*[q(x) for x in dict.fromkeys([*order_by, c])]).filter(q(c).isNotNull())
-        kinds[c] = _first_kind(_shares(first_rows(known, order_by, sample), [c]), c, ratio)
+        kinds[c] = _first_kind(_shares(first_rows(known, order_by, sample), [c])[c], ratio)
     found = [(ordinal[c], c, kinds[c]) for c in columns]
-    return df.sparkSession.createDataFrame(found, "ordinal int, name string, kind string")
+    return df.sparkSession.createDataFrame(found, FOUND)
 
 
-def _shares(rows: DataFrame, columns: list[str]) -> Row:
-    """Known values per column and the share of them that matches each kind."""
-    known = [F.count(q(c)).alias(f"n|{c}") for c in columns]
-    matching = [
-        F.avg(matches_kind(q(c).cast("string"), kind).cast("double")).alias(f"{c}|{kind}")
-        for c in columns
-        for kind in VALUE_PATTERNS
-    ]
-    return rows.agg(F.count(F.lit(1)).alias("n"), *known, *matching).first()
+def _shares(rows: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Per column: all rows `n`, known ones `known`, and the share matching each kind."""
+    value = F.col("value")
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("name"), q(c).cast("string").alias("value")) for c in columns]
+    )
+    found = rows.select(F.inline(cells)).groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(value).alias("known"),
+        *[F.avg(matches_kind(value, kind).cast("double")).alias(kind) for kind in VALUE_PATTERNS],
+    )
+    none = dict.fromkeys(["n", "known", *VALUE_PATTERNS], 0)
+    return {**dict.fromkeys(columns, none), **{r["name"]: r.asDict() for r in found.collect()}}
 
 
-def _first_kind(shares: Row, column: str, ratio: float) -> str | None:
-    hits = (k for k in VALUE_PATTERNS if (shares[f"{column}|{k}"] or 0) >= ratio)
-    return next(hits, None)
+def _first_kind(shares: dict, ratio: float) -> str | None:
+    return next((k for k in VALUE_PATTERNS if (shares[k] or 0) >= ratio), None)
 
 
 def detect_pii(
@@ -86,11 +90,9 @@ def detect_pii(
     ratio: float = MATCH_RATIO,
 ) -> DataFrame:
     """Columns with personal data: by name first, then by values."""
-    named = pii_by_name(df)
-    hits = {r["name"] for r in named.filter("kind IS NOT NULL").collect()}  # column names
-    rest = [c for c in _readable(df) if c not in hits]
+    rest = [c for c in _readable(df) if name_kind(c) is None]
     found = pii_by_value(df, order_by, sample, ratio, rest)
-    return named.unionByName(found).filter("kind IS NOT NULL")
+    return pii_by_name(df).unionByName(found).filter("kind IS NOT NULL")
 
 
 def pii_report(detected: DataFrame) -> DataFrame:
