@@ -165,7 +165,7 @@ def _bucketed(
     total = left.count() + right.count()
     wanted = min(MAX_BUCKETS, math.ceil(total / bucket_rows))
     if wanted <= 1:
-        return instants.withColumn("__b", F.lit(0.0)), 1
+        return instants.withColumn("__b", F.lit(0)), 1
     at = micros("__t").cast("double")
     all_times = left.select(F.col(f"`{left_time}`").alias("__t")).unionByName(
         right.select(F.col(f"`{right_time}`").alias("__t"))
@@ -174,7 +174,8 @@ def _bucketed(
     cuts = all_times.select(at.alias("__at")).approxQuantile("__at", shares, 1 / (4 * wanted))
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     bucketizer = Bucketizer(splits=splits, inputCol="__at", outputCol="__b")
-    return bucketizer.transform(instants.withColumn("__at", at)).drop("__at"), len(splits) - 1
+    numbered = bucketizer.transform(instants.withColumn("__at", at)).drop("__at")
+    return numbered.withColumn("__b", F.col("__b").cast("int")), len(splits) - 1
 
 
 def _nearest_seen(
@@ -196,11 +197,15 @@ def _nearest_seen(
     # one row per bucket and key from here on, so these windows do not grow with the data
     edge = {"__last": F.max_by, "__first": F.min_by}
     edges = instants.groupBy(*by, "__b").agg(
-        *[edge[c](c, F.when(F.col(c).isNotNull(), F.col("__t"))).alias(c) for c in cols]
+        *[edge[c](c, F.when(F.col(c).isNotNull(), F.col("__t"))).alias(c) for c in cols],
+        F.max("__asked").alias("__asked"),
     )
     carry = edges.select(
-        *by, "__b", *[latest(c, by, toward[c]("__b"), -1).alias(f"_{c}") for c in cols]
+        *by, "__b", "__asked", *[latest(c, by, toward[c]("__b"), -1).alias(f"_{c}") for c in cols]
     )
+    # only buckets with left rows need it; asking also keeps this branch's input equal to
+    # that of the windows above, so both read one shuffle
+    carry = carry.filter("__asked").drop("__asked")
     found = skew.join_on(seen, carry, [*by, "__b"], "left")
     return found.withColumns({c: F.coalesce(c, f"_{c}") for c in cols}).drop(*[f"_{c}" for c in cols])
 
