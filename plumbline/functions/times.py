@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
 
 def as_time(df: DataFrame, col: str, fmt: str | None = None) -> Column:
     """`col` as TIMESTAMP_NTZ; what cannot be parsed becomes NULL.
@@ -28,8 +30,14 @@ def as_time(df: DataFrame, col: str, fmt: str | None = None) -> Column:
 def micros(col: str | Column) -> Column:
     """Microseconds since 1970 of a TIMESTAMP_NTZ column."""
     c = F.col(col) if isinstance(col, str) else col
+    if SparkSession.active().conf.get("spark.sql.session.timeZone") in UTC_NAMES:
+        return F.unix_micros(c.cast("timestamp"))
+    # other zones skip and repeat hours, so count from a naive origin: whole seconds and
+    # the rest apart, to stay in 64-bit arithmetic
     since = c - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return (since.cast("interval second").cast("decimal(24,6)") * 1_000_000).cast("bigint")
+    seconds = since.cast("interval second").cast("bigint")
+    rest = (since - F.expr("INTERVAL '1' SECOND") * seconds) * 1_000_000
+    return seconds * 1_000_000 + rest.cast("interval second").cast("bigint")
 
 
 def calendar_columns(col: str | Column) -> dict[str, Column]:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from plumbline.functions.times import as_time, micros
 from plumbline.operators import skew
 
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 250_000
 MAX_BUCKETS = 10_000
 DIRECTIONS = ("backward", "forward", "nearest")
 

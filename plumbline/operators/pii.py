@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from plumbline.functions.masking import (
     matches_kind,
     name_kind,
 )
-from plumbline.operators.profile import first_rows, q
+from plumbline.operators.profile import first_rows, known_rows, q
 
 SAMPLE_SIZE = 50
 MATCH_RATIO = 0.5
@@ -51,36 +51,46 @@ def pii_by_value(
     if sample is not None and not order_by:
         raise ValueError("a sample needs order_by to be repeatable")
     ordinal = {c: i for i, c in enumerate(df.columns)}
-    kinds, gaps = {}, []
-    if columns:
-        rows = df if sample is None else first_rows(df, order_by, sample)
-        seen = _shares(rows, columns)
-        gaps = [c for c in columns if sample is not None and seen[c]["known"] < seen[c]["n"]]
-        kinds = {c: _first_kind(seen[c], ratio) for c in columns if c not in gaps}
-    for c in gaps:
-        known = df.select(*[q(x) for x in dict.fromkeys([*order_by, c])]).filter(q(c).isNotNull())
-        kinds[c] = _first_kind(_shares(first_rows(known, order_by, sample), [c])[c], ratio)
+    kinds = {}
+    if columns and sample is None:
+        shares = _all_shares(df, columns)
+        kinds = {c: _first_kind(shares[c], ratio) for c in columns}
+    elif columns:
+        rows = _matches(first_rows(df, order_by, sample), columns)
+        for c in columns:
+            seen = [r[c] for r in rows]
+            if None in seen:
+                known = first_rows(known_rows(df, c, order_by), order_by, sample)
+                seen = [r[c] for r in _matches(known, [c])]
+            shares = {k: sum(m[k] for m in seen) / len(seen) for k in VALUE_PATTERNS if seen}
+            kinds[c] = _first_kind(shares, ratio)
     found = [(ordinal[c], c, kinds[c]) for c in columns]
     return df.sparkSession.createDataFrame(found, FOUND)
 
 
-def _shares(rows: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Per column: all rows `n`, known ones `known`, and the share matching each kind."""
-    value = F.col("value")
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("name"), q(c).cast("string").alias("value")) for c in columns]
-    )
-    found = rows.select(F.inline(cells)).groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(value).alias("known"),
-        *[F.avg(matches_kind(value, kind).cast("double")).alias(kind) for kind in VALUE_PATTERNS],
-    )
-    none = dict.fromkeys(["n", "known", *VALUE_PATTERNS], 0)
-    return {**dict.fromkeys(columns, none), **{r["name"]: r.asDict() for r in found.collect()}}
+def _matches(rows: DataFrame, columns: list[str]) -> list:
+    """For every row of a sample and column which kinds match; NULL for a NULL."""
+
+    def kinds(value: Column) -> Column:
+        flags = F.struct(*[matches_kind(value, k).cast("int").alias(k) for k in VALUE_PATTERNS])
+        return F.when(value.isNotNull(), flags)
+
+    return rows.select(*[kinds(q(c).cast("string")).alias(c) for c in columns]).collect()
+
+
+def _all_shares(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Share of all known values that match each kind, per column, in one pass."""
+    matching = [
+        F.avg(matches_kind(q(c).cast("string"), kind).cast("double")).alias(f"{c}|{kind}")
+        for c in columns
+        for kind in VALUE_PATTERNS
+    ]
+    row = df.agg(*matching).first()
+    return {c: {k: row[f"{c}|{k}"] for k in VALUE_PATTERNS} for c in columns}
 
 
 def _first_kind(shares: dict, ratio: float) -> str | None:
-    return next((k for k in VALUE_PATTERNS if (shares[k] or 0) >= ratio), None)
+    return next((k for k in VALUE_PATTERNS if (shares.get(k) or 0) >= ratio), None)
 
 
 def detect_pii(

@@ -80,50 +80,41 @@ def infer_schema(df: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
-    return df.orderBy(*[q(c) for c in order_by]).limit(n)
+    """The `n` first rows in the given order.
 
-
-def gaps_in_first_rows(df: DataFrame, cols: list[str], order_by: list[str], n: int) -> list[str]:
-    """Columns with a NULL among the first `n` rows, which need more rows for `n` values."""
-    seen = first_rows(df, order_by, n).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.count(q(c)).alias(c) for c in cols]
-    ).first()
-    return [c for c in cols if seen[c] < seen["__n"]]
+    The leading order column alone is read first, to find how far the rows reach; the
+    filter on it then keeps the scan of all columns to the files that hold them.
+    """
+    lead = q(order_by[0])
+    reach = df.select(lead.alias("k")).orderBy("k").limit(n).agg(F.max("k")).first()[0]
+    near = lead.isNull() if reach is None else lead.isNull() | (lead <= F.lit(reach))
+    return df.filter(near).orderBy(*[q(c) for c in order_by]).limit(n)
 
 
 def column_samples(df: DataFrame, order_by: list[str], n: int = 3) -> DataFrame:
     """The first `n` non-NULL values of each column, one row per value.
 
-    One pass serves all columns without a NULL at the start; the others get their own.
+    One look at the first rows serves all columns without a NULL there; the others get
+    their own.
     """
-    order = F.struct(*[q(c) for c in order_by])
     ordinal = {c: i for i, c in enumerate(df.columns)}
-    gaps = gaps_in_first_rows(df, df.columns, order_by, n)
-
-    def listed(first: DataFrame, cols: list[str]) -> DataFrame:
-        row = first.agg(
-            *[
-                F.array_sort(F.collect_list(F.struct(order.alias("at"), q(c).cast("string").alias("v")))).alias(c)
-                for c in cols
-            ]
-        )
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(ordinal[c]).alias("ordinal"), F.lit(c).alias("name"), q(c)["v"].alias("v")
-                )
-                for c in cols
-            ]
-        )
-        return row.select(F.inline(entries)).select("ordinal", "name", F.posexplode("v"))
-
-    full = [c for c in df.columns if c not in gaps]
-    parts = [listed(first_rows(df, order_by, n), full)] if full else []
-    for c in gaps:
-        known = df.select(*[q(x) for x in dict.fromkeys([*order_by, c])]).filter(q(c).isNotNull())
-        parts.append(listed(first_rows(known, order_by, n), [c]))
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.withColumnsRenamed({"pos": "position", "col": "value"})
+
+    def values(rows: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+        texts = rows.select(*[q(c).cast("string").alias(c) for c in cols]).collect()  # n rows
+        return {c: [r[c] for r in texts] for c in cols}
+
+    found = values(first_rows(df, order_by, n), df.columns)
+    for c in [c for c in df.columns if None in found[c]]:
+        found.update(values(first_rows(known_rows(df, c, order_by), order_by, n), [c]))
+    rows = [(ordinal[c], c, i, v) for c in df.columns for i, v in enumerate(found[c])]
+    return df.sparkSession.createDataFrame(
+        rows, "ordinal int, name string, position int, value string"
+    )
+
+
+def known_rows(df: DataFrame, col: str, order_by: list[str]) -> DataFrame:
+    """Rows where the column is known, without the columns nobody needs."""
+    return df.select(*[q(c) for c in dict.fromkeys([*order_by, col])]).filter(q(col).isNotNull())
 
 
 def shape(df: DataFrame, name: str = "table") -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 4_000_000
+HOT_ROWS = 1_000_000
 MAX_HOT = 1024
 SLICE = "__slice"
 SLICES = "__slices"
@@ -36,22 +36,35 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
     """Keys too big for one task with the number of slices each needs, or None.
 
-    Costs one row count, and one pre-aggregated pass over the key columns when the
-    table is large enough to hold a hot key at all.
+    Costs one row count and, when the table is large enough to hold a hot key at all, one
+    pass over the key columns that shuffles nothing but a sketch; likely keys are then
+    counted exactly. `hot_rows=0` skips the check, for keys known to be spread evenly.
     """
+    if hot_rows == 0:
+        return None
     hot_rows = hot_rows or HOT_ROWS
     total = df.count()
     if total <= hot_rows:
         return None
     floor = max(hot_rows, total // MAX_HOT)
-    counts = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.filter(F.col("__n") > floor).withColumn(
-        SLICES, F.ceil(F.col("__n") / hot_rows).cast("int")
+    hashed = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+    # the sketch overestimates, by less than total / (4 * MAX_HOT): it misses no hot key
+    sketch = f"approx_top_k(h, {2 * MAX_HOT}, {8 * MAX_HOT})"
+    top = df.select(hashed.alias("h")).agg(F.expr(sketch).alias("top")).first()["top"]
+    likely = [r["item"] for r in top if r["count"] > floor]
+    if not likely:
+        return None
+    counts = (
+        df.filter(hashed.isin(likely))
+        .groupBy(*[F.col(f"`{k}`") for k in keys])
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
-    rows = hot.drop("__n").collect()  # fewer than MAX_HOT rows
+    slices = F.ceil(F.col("__n") / hot_rows).cast("int").alias(SLICES)
+    hot = counts.filter(F.col("__n") > floor).select(*[F.col(f"`{k}`") for k in keys], slices)
+    rows = hot.collect()  # fewer than MAX_HOT rows
     if not rows:
         return None
-    return df.sparkSession.createDataFrame(rows, hot.drop("__n").schema)
+    return df.sparkSession.createDataFrame(rows, hot.schema)
 
 
 def spread(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:

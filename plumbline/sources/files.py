@@ -31,6 +31,14 @@ MISSING = (
 )
 
 
+# What every value of a column must look like to be of a type, narrowest type first.
+TYPE_PATTERNS = {
+    "bigint": r"^\s*[+-]?\d{1,18}\s*$",
+    "double": r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$",
+    "boolean": r"^(true|True|TRUE|false|False|FALSE)$",
+}
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Read one table by its extension: csv, txt, tsv or json; others count as csv."""
     name = path.lower().rstrip("/")
@@ -169,18 +177,18 @@ def infer_types(df: DataFrame, keep: tuple[str, ...] = ("__source",)) -> DataFra
     cols = [c for c in df.columns if c not in keep]
     if not cols:
         return df
+    # patterns first: a failed cast of every row would cost far more than the match
+    fits = {
+        kind: {c: q(c).rlike(pattern) for c in cols} for kind, pattern in TYPE_PATTERNS.items()
+    }
     row = df.agg(
-        *[F.bool_and(F.trim(q(c)).try_cast("bigint").isNotNull() | q(c).isNull()).alias(f"i|{c}") for c in cols],
-        *[F.bool_and(F.trim(q(c)).try_cast("double").isNotNull() | q(c).isNull()).alias(f"d|{c}") for c in cols],
-        *[F.bool_and(F.lower(q(c)).isin("true", "false") | q(c).isNull()).alias(f"b|{c}") for c in cols],
-        *[F.count(q(c)).alias(f"n|{c}") for c in cols],
+        *[F.bool_and(fit).alias(f"{kind}|{c}") for kind, of in fits.items() for c, fit in of.items()]
     ).first()
 
     def typed(c: str) -> Column:
-        if not row[f"n|{c}"]:
+        if row[f"boolean|{c}"] is None:  # no value at all
             return q(c).cast("double")
-        kinds = {"i": "bigint", "d": "double", "b": "boolean"}
-        kind = next((k for p, k in kinds.items() if row[f"{p}|{c}"]), None)
+        kind = next((k for k in TYPE_PATTERNS if row[f"{k}|{c}"]), None)
         return F.trim(q(c)).try_cast(kind) if kind else q(c)
 
     return df.withColumns({c: typed(c) for c in cols})
