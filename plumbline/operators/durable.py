@@ -23,9 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back."""
+def _at(spark: SparkSession, path: str) -> tuple:
+    """The folder's file system and Hadoop path."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def stage_path(spark: SparkSession, kind: str = "stage") -> str:
+    """A new folder name in the shared folder; what is there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    system, hadoop = _at(spark, path)
+    system.mkdirs(hadoop)
+    system.deleteOnExit(hadoop)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stage folder that nothing reads any more."""
+    system, hadoop = _at(spark, path)
+    system.delete(hadoop, True)
+
+
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write `df` as Parquet to `path`, a new stage folder by default, and read it back.
+
+    The folder stays until the driver ends, or until `discard` is called with its path.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or stage_path(spark)
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
