@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import table
-from plumbline.llm import bitpack, packing, sharding
+from plumbline.llm import bitpack, bloomdiff, packing, piecebpe, private, sharding, simhash
 from plumbline.llm.common import text_of
 from plumbline.operators.durable import stage_path
 
@@ -46,3 +46,30 @@ def op3_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = bitpack.read_ids(spark, files)
     n = (F.octet_length("ids") / 4).cast("bigint")
     return read.select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@register
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"), k=3, budget=2)
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+@register
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find_private(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piecebpe.decode(piecebpe.encode(table(spark, sf_dir, "documents"), model), model)
+    n = (F.octet_length("ids") / 4).cast("bigint")
+    return coded.select(
+        "doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+@register
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomdiff.fingerprints(table(spark, sf_dir, "documents"))
