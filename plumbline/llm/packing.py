@@ -29,8 +29,8 @@ from plumbline.llm.wordbpe import encoder
 RANK_BITS = 44
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, ids: bool = False) -> DataFrame:
-    """Token pieces: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
+def numbered_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, ids: bool = False) -> DataFrame:
+    """Token pieces for `pack`: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.binary())] * ids)
     end = np.array([end_id], "<u4").tobytes()
@@ -48,7 +48,14 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, ids: bo
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * ids
-    return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(cut, kinds)
+    texts = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
+    return texts.mapInArrow(lambda batches: _number(cut(batches)), f"{kinds}, __task int, __rank bigint")
+
+
+def number(items: DataFrame) -> DataFrame:
+    """Items with a `length`, made ready for `pack`."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    return items.mapInArrow(_number, f"{kinds}, __task int, __rank bigint")
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,18 +88,18 @@ def places(bins: list[tuple[int, tuple]]) -> dict[str, np.ndarray]:
 
 
 def pack(items: DataFrame, capacity: int, effort: int = 40_000) -> DataFrame:
-    """Adds sequence_id and offset to items that have a `length` from 1 to `capacity`.
+    """Adds sequence_id and offset to numbered items that have a `length` from 1 to `capacity`.
 
     Only the counts by length reach the driver, and the plan that goes to the tasks has an entry per
     filling and length: both are bounded by the capacity, whatever the number of rows.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    numbered = stored(items.mapInArrow(_number, f"{kinds}, __task int, __rank bigint"))
+    numbered = stored(items)
     counts = numbered.groupBy("length", "__task").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "__task", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     sizes = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
-    at, names = places(plan(sizes, capacity, effort)), items.columns
+    at, names = places(plan(sizes, capacity, effort)), [c for c in items.columns if c not in ("__task", "__rank")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name in names)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,4 +116,4 @@ def pack(items: DataFrame, capacity: int, effort: int = 40_000) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    return pack(pieces(docs, vocabulary, end_id, capacity), capacity)
+    return pack(numbered_pieces(docs, vocabulary, end_id, capacity), capacity)
