@@ -44,8 +44,8 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
     return [(r["text"], r["lang"]) for r in sorted(taken, key=lambda r: (r["h"], r["lang"], r["text"]))]
 
 
-def predict(docs: DataFrame, field: Field | None) -> DataFrame:
-    """Adds lang_pred and score; all columns of `docs` are kept."""
+def predict(docs: DataFrame, field: Field | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score under `names`; all other columns of `docs` are kept."""
     schema = "lang_pred string, score double"
     shared = docs.sparkSession.sparkContext.broadcast(field)  # bounded by buckets, labels and sample
 
@@ -61,11 +61,14 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
             langs = pa.array([lang or UNDETERMINED for lang, _ in found], pa.string())
             yield pa.StructArray.from_arrays([langs, pa.array([s for _, s in found], pa.float64())], names=["lang_pred", "score"])
 
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(*names)
     labelled = kept.withColumn("__found", label(text_of()))
-    return labelled.select(*kept.columns, "__found.lang_pred", "__found.score")
+    found = [F.col("__found.lang_pred").alias(names[0]), F.col("__found.score").alias(names[1])]
+    return labelled.select(*kept.columns, *found)
 
 
-def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(
+    docs: DataFrame, per_language: int = PER_LANGUAGE, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
     """Trains on the documents' own labels and predicts every document."""
-    return predict(docs, train(training_sample(docs, per_language)))
+    return predict(docs, train(training_sample(docs, per_language)), names)
