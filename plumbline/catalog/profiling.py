@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,6 +174,25 @@ def high_corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("corr", F.round("corr", 6))
 
 
+WIDE = {
+    f"c{k}": f"CASE WHEN (l_orderkey + l_linenumber + {k}) % 10 <> 0 "
+    f"THEN CAST(l_quantity * {k} + l_discount * {k * k % 11} * 100 + l_tax * {k % 3} AS DOUBLE) END"
+    for k in range(1, 41)
+}
+
+
+@query(
+    f"WITH x AS MATERIALIZED (SELECT {', '.join(f'{sql} AS {c}' for c, sql in WIDE.items())} FROM lineitem), r AS ("
+    "SELECT unnest(["
+    + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'corr': corr({a}, {b})}}" for a, b in combinations(WIDE, 2))
+    + "]) AS p FROM x) SELECT p.a, p.b, round(p.corr, 6) AS corr FROM r"
+)
+def high_corr_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of 40 columns of which no row is complete."""
+    wide = table(spark, sf_dir, "lineitem").select(*[F.expr(sql).alias(c) for c, sql in WIDE.items()])
+    return prof.correlations(wide, list(WIDE)).withColumn("corr", F.round("corr", 6))
+
+
 @query(
     f"""
     WITH p AS ({_kinds_sql('customer', COLUMN_KINDS['customer'])})

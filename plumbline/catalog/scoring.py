@@ -431,7 +431,8 @@ def usage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUEST_SQL = """
-    r AS (SELECT conv_id, turn, sha256(role || chr(31) || '0.2' || chr(31) || text) AS request_key,
+    r AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || '3:0.2' ||
+                        length(text) || ':' || text) AS request_key,
                  conv_id * 1000 + turn AS call, length(text) AS answer FROM conversations)
     """
 

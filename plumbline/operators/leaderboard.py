@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,62 +20,60 @@ def run_score(runs: DataFrame, task: str = "task", score: str = "score") -> Data
     return runs.withColumn(score, chosen)
 
 
-def stop_round(runs: DataFrame, session: list[str]) -> DataFrame:
+def _rounds(runs: DataFrame, session: list[str], max_rounds: int | None) -> DataFrame:
+    """One row per session: its runs as an array of structs and the round it ends with.
+
+    A session is a handful of rounds, so they fit into one row.
+    """
+    counted = runs.filter(F.col("round") >= 1)
+    if max_rounds is not None:
+        counted = counted.filter(F.col("round") <= max_rounds)
+    rest = [q(c) for c in runs.columns if c not in session]
+    per = counted.groupBy(*session).agg(F.collect_list(F.struct(*rest)).alias("__runs"))
+
+    def first(wanted) -> Column:
+        return F.array_min(F.transform(F.filter("__runs", wanted), lambda r: r["round"]))
+
+    succeeded = first(lambda r: r["ok"])
+    trusted = first(lambda r: r["ok"] & (r["verdict"] == TRUSTED))
+    broke = first(lambda r: ~r["ok"] & (r["round"] > F.col("__succeeded")))
+    last = F.array_max(F.transform("__runs", lambda r: r["round"]))
+    return per.withColumn("__succeeded", succeeded).withColumn(
+        "stop_round", F.least(trusted, broke, last).cast("int")
+    )
+
+
+def stop_round(runs: DataFrame, session: list[str], max_rounds: int | None = MAX_ROUNDS) -> DataFrame:
     """The round each session ends with.
 
     That is its first trusted round, its first failed round after a success, or its
-    last, at most the third. Runs need `round`, `ok` and `verdict`.
+    last. Rounds beyond `max_rounds` do not count; None sets no limit. Runs need
+    `round`, `ok` and `verdict`.
     """
-
-    def ok_in(i: int) -> Column:
-        return F.coalesce(F.max(F.when(F.col("round") == i, F.col("ok"))), F.lit(False))
-
-    def failed_in(i: int) -> Column:
-        return F.coalesce(F.max(F.when(F.col("round") == i, ~F.col("ok"))), F.lit(False))
-
-    rounds = range(1, MAX_ROUNDS + 1)
-    flags = [ok_in(i).alias(f"__ok{i}") for i in rounds] + [
-        failed_in(i).alias(f"__bad{i}") for i in rounds
-    ]
-    trusted = F.when(F.col("ok") & (F.col("verdict") == TRUSTED), F.col("round"))
-    per = (
-        runs.filter(F.col("round").between(1, MAX_ROUNDS))
-        .groupBy(*session)
-        .agg(*flags, F.min(trusted).alias("__trusted"), F.max("round").alias("__last"))
-    )
-    broke = F.coalesce(
-        *[
-            F.when(
-                F.col(f"__bad{i}") & reduce(lambda a, b: a | b, [F.col(f"__ok{j}") for j in range(1, i)]),
-                F.lit(i),
-            )
-            for i in rounds
-            if i > 1
-        ]
-    )
-    end = F.least("__trusted", broke, "__last").cast("int")
-    return per.select(*session, end.alias("stop_round"))
+    return _rounds(runs, session, max_rounds).select(*session, "stop_round")
 
 
-def best_run(runs: DataFrame, session: list[str]) -> DataFrame:
+def best_run(runs: DataFrame, session: list[str], max_rounds: int | None = MAX_ROUNDS) -> DataFrame:
     """The best successful run of each session up to its stop round.
 
     The highest score wins and the earliest of equal scores; a session without any
-    score keeps its latest run. Runs need `round`, `ok`, `verdict` and `score`.
+    score keeps its latest run. Rounds beyond `max_rounds` do not count; None sets no
+    limit. Runs need `round`, `ok`, `verdict` and `score`.
     """
-    tie = F.when(F.col("score").isNull(), F.col("round")).otherwise(-F.col("round"))
-    rank = F.struct(F.col("score").isNotNull(), F.col("score"), tie)
-    usable = F.col("ok") & (F.col("round") <= F.col("stop_round"))
+
+    def rank(r: Column) -> Column:
+        tie = F.when(r["score"].isNull(), r["round"]).otherwise(-r["round"])
+        return F.struct(r["score"].isNotNull(), r["score"], tie)
+
+    usable = F.filter("__runs", lambda r: r["ok"] & (r["round"] <= F.col("stop_round")))
+    better = F.reduce("__usable", F.get("__usable", F.lit(0)), lambda a, b: F.when(rank(b) > rank(a), b).otherwise(a))
     rest = [c for c in runs.columns if c not in session]
-    candidate = F.struct(*[q(c) for c in rest], F.col("stop_round"))
-    at_stop = runs.filter(F.col("round").between(1, MAX_ROUNDS)).join(
-        stop_round(runs, session), session
-    )
     return (
-        at_stop.filter(usable)
-        .groupBy(*session)
-        .agg(F.max_by(candidate, rank).alias("__best"))
-        .select(*session, "__best.*")
+        _rounds(runs, session, max_rounds)
+        .withColumn("__usable", usable)
+        .filter(F.size("__usable") > 0)
+        .withColumn("__best", better)
+        .select(*session, *[F.col("__best")[c].alias(c) for c in rest], "stop_round")
     )
 
 

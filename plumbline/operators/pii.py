@@ -14,7 +14,7 @@ from plumbline.functions.masking import (
     matches_kind,
     name_kind,
 )
-from plumbline.operators.profile import first_rows, known_rows, q
+from plumbline.operators.profile import first_values, missing, q
 
 SAMPLE_SIZE = 50
 MATCH_RATIO = 0.5
@@ -43,9 +43,9 @@ def pii_by_value(
 ) -> DataFrame:
     """Kind suggested by each column's values: rows (ordinal, name, kind).
 
-    Looks at the first `sample` non-NULL values by `order_by`, or with sample=None
-    at all values in one pass. A kind holds when at least `ratio` of them match.
-    One pass serves all columns without a NULL at the start; the others get their own.
+    Looks at the first `sample` known values by `order_by`, or with sample=None at all
+    values in one pass; NaN counts as missing. A kind holds when at least `ratio` of
+    them match. One pass serves all columns known at the start, one more all others.
     """
     columns = _readable(df) if columns is None else columns
     if sample is not None and not order_by:
@@ -56,32 +56,23 @@ def pii_by_value(
         shares = _all_shares(df, columns)
         kinds = {c: _first_kind(shares[c], ratio) for c in columns}
     elif columns:
-        rows = _matches(first_rows(df, order_by, sample), columns)
+        seen = first_values(df, {c: ~missing(df, c) for c in columns}, order_by, sample, _matches)
         for c in columns:
-            seen = [r[c] for r in rows]
-            if None in seen:
-                known = first_rows(known_rows(df, c, order_by), order_by, sample)
-                seen = [r[c] for r in _matches(known, [c])]
-            shares = {k: sum(m[k] for m in seen) / len(seen) for k in VALUE_PATTERNS if seen}
+            shares = {k: sum(m[k] for m in seen[c]) / len(seen[c]) for k in VALUE_PATTERNS if seen[c]}
             kinds[c] = _first_kind(shares, ratio)
     found = [(ordinal[c], c, kinds[c]) for c in columns]
     return df.sparkSession.createDataFrame(found, FOUND)
 
 
-def _matches(rows: DataFrame, columns: list[str]) -> list:
-    """For every row of a sample and column which kinds match; NULL for a NULL."""
-
-    def kinds(value: Column) -> Column:
-        flags = F.struct(*[matches_kind(value, k).cast("int").alias(k) for k in VALUE_PATTERNS])
-        return F.when(value.isNotNull(), flags)
-
-    return rows.select(*[kinds(q(c).cast("string")).alias(c) for c in columns]).collect()
+def _matches(value: Column) -> Column:
+    """Which kinds a value matches."""
+    return F.struct(*[matches_kind(value, k).cast("int").alias(k) for k in VALUE_PATTERNS])
 
 
 def _all_shares(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """Share of all known values that match each kind, per column, in one pass."""
     matching = [
-        F.avg(matches_kind(q(c).cast("string"), kind).cast("double")).alias(f"{c}|{kind}")
+        F.avg(F.when(~missing(df, c), matches_kind(q(c).cast("string"), kind).cast("double"))).alias(f"{c}|{kind}")
         for c in columns
         for kind in VALUE_PATTERNS
     ]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators import skew
-from plumbline.operators.order import nth_value
+from plumbline.operators.order import medians
 from plumbline.operators.profile import (
     drop_internal,
     few_distinct,
@@ -17,11 +17,20 @@ from plumbline.operators.profile import (
 )
 
 MAX_CATEGORIES = 50
+# the cast alone would also take 12D, 7f and 0x1p3
+NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Columns as DOUBLE; values that are no number become NULL."""
-    return df.withColumns({c: F.trim(q(c).cast("string")).try_cast("double") for c in cols})
+    """Columns as DOUBLE; values that are no plain number become NULL."""
+
+    def number(c: str) -> Column:
+        if isinstance(df.schema[c].dataType, T.NumericType):
+            return q(c).cast("double")
+        text = F.trim(q(c).cast("string"))
+        return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+    return df.withColumns({c: number(c) for c in cols})
 
 
 def encode_labels(
@@ -87,12 +96,7 @@ def impute(df: DataFrame, cols: list[str], how: str = "mean") -> DataFrame:
         known = [F.avg(F.when(~F.isnan(q(c).cast("double")), q(c))).alias(c) for c in cols]
         fill = df.agg(*known).first().asDict()
     elif how == "median":
-        fill = {}
-        for c in cols:
-            known = df.select(q(c).cast("double").alias(c))
-            n = known.filter(q(c).isNotNull() & ~F.isnan(q(c))).count()
-            halves = [nth_value(known, c, (n - 1) // 2), nth_value(known, c, n // 2)] if n else []
-            fill[c] = sum(halves) / 2 if n else None
+        fill = medians(df, cols)
     else:
         raise ValueError("how must be 'mean' or 'median'")
     return df.withColumns(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
+import math
+from collections.abc import Callable
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,6 @@ INTERNAL_PREFIX = "__"
 CATEGORY_LIMIT = 20
 CORR_THRESHOLD = 0.9
 CORR_PAIRS = 10
-CORR_ONE_PASS_COLUMNS = 30
 PAIR_SCHEMA = "a string, b string, corr double"
 
 
@@ -94,27 +93,44 @@ def first_rows(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
 def column_samples(df: DataFrame, order_by: list[str], n: int = 3) -> DataFrame:
     """The first `n` non-NULL values of each column, one row per value.
 
-    One look at the first rows serves all columns without a NULL there; the others get
-    their own.
+    One look at the first rows serves all columns without a NULL there; one more job
+    serves all others.
     """
-    ordinal = {c: i for i, c in enumerate(df.columns)}
-
-    def values(rows: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-        texts = rows.select(*[q(c).cast("string").alias(c) for c in cols]).collect()  # n rows
-        return {c: [r[c] for r in texts] for c in cols}
-
-    found = values(first_rows(df, order_by, n), df.columns)
-    for c in [c for c in df.columns if None in found[c]]:
-        found.update(values(first_rows(known_rows(df, c, order_by), order_by, n), [c]))
-    rows = [(ordinal[c], c, i, v) for c in df.columns for i, v in enumerate(found[c])]
+    found = first_values(df, {c: q(c).isNotNull() for c in df.columns}, order_by, n)
+    rows = [(i, c, k, v) for i, c in enumerate(df.columns) for k, v in enumerate(found[c])]
     return df.sparkSession.createDataFrame(
         rows, "ordinal int, name string, position int, value string"
     )
 
 
-def known_rows(df: DataFrame, col: str, order_by: list[str]) -> DataFrame:
-    """Rows where the column is known, without the columns nobody needs."""
-    return df.select(*[q(c) for c in dict.fromkeys([*order_by, col])]).filter(q(col).isNotNull())
+def first_values(
+    df: DataFrame, known: dict[str, Column], order_by: list[str], n: int, show: Callable[[Column], Column] | None = None
+) -> dict[str, list]:
+    """The first `n` known values of each column, in the given order of rows.
+
+    `known` tells per column which values count, `show` what to return of a value's text. Columns that are known throughout the
+    first rows are done with these; the others are read together, and each task keeps
+    its first `n` values per column before anything is shuffled.
+    """
+    cols = list(known)
+    shown = {c: show(q(c).cast("string")) if show else q(c).cast("string") for c in cols}
+    head = first_rows(df, order_by, n).select(
+        *[F.struct(known[c].alias("ok"), shown[c].alias("v")).alias(f"c{i}") for i, c in enumerate(cols)]
+    ).collect()  # n rows
+    found = {c: [r[i]["v"] for r in head] for i, c in enumerate(cols)}
+    short = [c for i, c in enumerate(cols) if not all(r[i]["ok"] for r in head)]
+    if short:
+        entries = [
+            F.when(known[c], F.struct(F.lit(i).alias("i"), shown[c].alias("v"))) for i, c in enumerate(short)
+        ]
+        places = [f"o{i}" for i in range(len(order_by))]
+        entry = F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")
+        values = df.select(*[q(c).alias(o) for c, o in zip(order_by, places)], entry).select("*", "e.*")
+        first = F.row_number().over(Window.partitionBy("i").orderBy(*places))
+        rows = values.withColumn("r", first).filter(F.col("r") <= n).orderBy("i", "r").collect()  # n per column
+        for i, c in enumerate(short):
+            found[c] = [r["v"] for r in rows if r["i"] == i]
+    return found
 
 
 def shape(df: DataFrame, name: str = "table") -> DataFrame:
@@ -124,7 +140,7 @@ def shape(df: DataFrame, name: str = "table") -> DataFrame:
     )
 
 
-def _missing(df: DataFrame, c: str) -> Column:
+def missing(df: DataFrame, c: str) -> Column:
     if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
         return q(c).isNull() | F.isnan(q(c))
     return q(c).isNull()
@@ -141,7 +157,7 @@ def _melt(row: DataFrame, parts: dict[str, dict[str, Column]]) -> DataFrame:
 
 def null_counts(df: DataFrame) -> DataFrame:
     """Missing values per column."""
-    row = df.agg(*[F.count_if(_missing(df, c)).alias(c) for c in df.columns])
+    row = df.agg(*[F.count_if(missing(df, c)).alias(c) for c in df.columns])
     return _melt(row, {c: {"n_null": q(c)} for c in df.columns})
 
 
@@ -173,54 +189,47 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _pair_sums(batches, shifts: list[float]):
+    """Per task and pair of columns: n, sums and sums of products of rows where both are known."""
+    p = len(shifts)
+    total = np.zeros((5, p, p))
+    for batch in batches:
+        x = np.stack([batch[i].to_numpy(zero_copy_only=False).astype(float) for i in range(p)], axis=1)
+        known = ~np.isnan(x)
+        x = np.where(known, x - np.array(shifts), 0.0)
+        m = known.astype(float)
+        total += [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, x.T @ x]
+    # x and y are the row's and the column's value; the square of y is that of x, mirrored
+    i, j = np.triu_indices(p, 1)
+    n, sx, sy, sxx, sxy = (t[i, j] for t in total)
+    columns = {"i": i, "j": j, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": total[3][j, i], "sxy": sxy}
+    yield pa.record_batch({k: pa.array(v, pa.int32() if k in "ij" else pa.float64()) for k, v in columns.items()})
+
+
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair of columns as rows (a, b, corr).
 
-    NULL when a column is constant. A first pass finds the means; the second then
-    needs only one sum of products per pair of complete columns. Pairs with missing
-    values use the rows where both are known.
+    Each pair uses the rows where both are known, NaN counting as missing, whatever the
+    number of columns; NULL when a column is constant there. A first pass finds the
+    means; the second multiplies whole batches of columns and sums per pair.
     """
-    pairs = list(combinations(cols, 2))
-    if not pairs:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    if len(cols) > CORR_ONE_PASS_COLUMNS:
-        return _wide_correlations(df, cols, pairs)
-    first = df.agg(
-        *[F.avg(q(c).cast("double")).alias(f"m|{c}") for c in cols],
-        *[F.count_if(_missing(df, c)).alias(f"n|{c}") for c in cols],
-    ).first()
-    full = [c for c in cols if first[f"n|{c}"] == 0 and first[f"m|{c}"] is not None]
-    # sums around the means lose no digits
-    shifted = {c: q(c).cast("double") - F.lit(first[f"m|{c}"]) for c in full}
+    numbers = df.select(*[F.nanvl(q(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = numbers.agg(*[F.avg(f"c{i}") for i in range(len(cols))]).first()
+    shifts = [0.0 if m is None or not math.isfinite(m) else m for m in means]  # sums around the means lose no digits
+    kinds = "i int, j int, " + ", ".join(f"{c} double" for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    parts = numbers.mapInArrow(lambda batches: _pair_sums(batches, shifts), kinds)
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.col("n")
-
-    def moment(x: str, y: str) -> Column:
-        return q(f"{x}|{y}") / n - q(f"{x}|") / n * q(f"{y}|") / n
-
-    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(shifted[c]).alias(f"{c}|") for c in full]]
-    sums += [F.sum(shifted[c] * shifted[c]).alias(f"{c}|{c}") for c in full]
-    entries = []
-    for a, b in pairs:
-        if a in shifted and b in shifted:
-            sums.append(F.sum(shifted[a] * shifted[b]).alias(f"{a}|{b}"))
-            spread = F.sqrt(moment(a, a)) * F.sqrt(moment(b, b))
-            corr = F.try_divide(moment(a, b), spread)
-        else:
-            sums.append(pearson(q(a), q(b)).alias(f"{a}|{b}"))
-            corr = q(f"{a}|{b}")
-        entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr.alias("corr")))
-    return df.agg(*sums).select(F.inline(F.array(*entries)))
-
-
-def _wide_correlations(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """Correlations of many columns over complete rows; the matrix is columns x columns."""
-    vectors = VectorAssembler(inputCols=cols, outputCol="v").transform(
-        df.select(*[q(c).cast("double").alias(c) for c in cols]).dropna()
-    )
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    at = {c: i for i, c in enumerate(cols)}
-    rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
+    x, y = (F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / n for c in "xy")
+    both = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    # what is left of a constant by rounding is no spread
+    tiny = 1e-12
+    spread = F.when((x > tiny * F.col("sxx")) & (y > tiny * F.col("syy")), F.sqrt(x) * F.sqrt(y))
+    corr = F.when(spread.isNotNull() & (n > 1), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), both / spread)))
+    names = F.array(*[F.lit(c) for c in cols])
+    return sums.select(F.get(names, "i").alias("a"), F.get(names, "j").alias("b"), corr.alias("corr"))
 
 
 def high_corr_pairs(
@@ -231,7 +240,7 @@ def high_corr_pairs(
 ) -> DataFrame:
     """The feature pairs with the highest |correlation| above the threshold."""
     cols = [c for c in numeric_columns(df) if c != target]
-    strong = correlations(df, cols).filter((F.abs("corr") > threshold) & ~F.isnan("corr"))
+    strong = correlations(df, cols).filter(F.abs("corr") > threshold)
     return strong.orderBy(F.abs("corr").desc(), "a", "b").limit(limit)
 
 
@@ -268,7 +277,7 @@ def profile(df: DataFrame, target: str | None = None, task: str = "classificatio
     entry("shape", "table", "rows", q("rows"))
     entry("shape", "table", "columns", F.lit(len(df.columns)))
     for i, c in enumerate(df.columns):
-        aggs.append(F.count_if(_missing(df, c)).alias(f"null{i}"))
+        aggs.append(F.count_if(missing(df, c)).alias(f"null{i}"))
         entry("null_counts", c, "nulls", q(f"null{i}"))
     for i, c in enumerate(cols):
         section = "target_stats" if c == target and task != "classification" else "numeric_stats"

@@ -54,10 +54,14 @@ def usage_delta(
 
 
 def request_key(*parts: str | Column) -> Column:
-    """SHA-256 over everything that makes two requests equal, parts in order."""
+    """SHA-256 over everything that makes two requests equal, parts in order.
+
+    Each part goes in with its length in front, a missing one as N, so no two different
+    requests are written alike.
+    """
     cols = [(q(p) if isinstance(p, str) else p).cast("string") for p in parts]
-    joined = F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in cols])
-    return F.sha2(joined, 256)
+    sized = [F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in cols]
+    return F.sha2(F.concat(*[F.coalesce(c, F.lit("N")) for c in sized]), 256)
 
 
 def dedupe_requests(

@@ -122,6 +122,6 @@ def _stronger(plan: Plan) -> str:
     return order[min(at + 1, len(order) - 1)]
 
 
-def best_of(runs: DataFrame) -> DataFrame:
-    """The best run of each session."""
-    return best_run(runs, ["session_id"])
+def best_of(runs: DataFrame, rounds: int | None = None) -> DataFrame:
+    """The best run of each session, of all recorded rounds unless limited."""
+    return best_run(runs, ["session_id"], rounds)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import fold_of
 from plumbline.functions.times import micros
-from plumbline.operators.order import nth_value
+from plumbline.operators.order import nth_values
 from plumbline.operators.profile import q
 from plumbline.plans.families import SEARCH, SEED, Plan, estimator
 from plumbline.plans.fitting import assembled, class_labels, with_label
@@ -80,7 +80,9 @@ def forward_folds(df: DataFrame, time: str, folds: int = FOLDS) -> DataFrame:
     """Add `fold` 0 .. folds by time in equal shares; fold i is tested after 0 .. i-1."""
     at = df.select(micros(q(time)).alias("at"))
     n = at.count()
-    cuts = [nth_value(at, "at", n * i // (folds + 1)) for i in range(1, folds + 1)]
+    places = [n * i // (folds + 1) for i in range(1, folds + 1)]
+    found = nth_values(at, {"at": places})
+    cuts = [found["at", p] for p in places]
     fold = sum(((micros(q(time)) >= c).cast("int") for c in cuts[1:]), (micros(q(time)) >= cuts[0]).cast("int"))
     return df.withColumn("fold", fold)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import prepare as prep
 from plumbline.operators import profile as prof
-from plumbline.operators.order import global_index, nth_value
+from plumbline.operators.order import global_index, medians, nth_value
 
 
 def test_logical_types(spark):
@@ -60,6 +60,52 @@ def test_many_columns_use_one_matrix(spark):
     assert [(r["a"], r["b"], round(r["corr"], 9)) for r in pairs] == [("c0", "c31", -1.0)]
 
 
+@pytest.mark.parametrize("columns", [2, 31, 60])
+def test_correlations_with_gaps_at_any_width(spark, columns):
+    """With 60 columns no row is complete; NaN and NULL both count as missing."""
+    rng = np.random.default_rng(columns)
+    frame = pd.DataFrame(rng.normal(size=(400, columns)), columns=[f"c{i}" for i in range(columns)])
+    frame["c1"] = frame["c0"] + 0.3 * frame["c1"]
+    frame = frame.mask(rng.random(frame.shape) < 0.1)
+    got = {(r["a"], r["b"]): r["corr"] for r in prof.correlations(spark.createDataFrame(frame), list(frame)).collect()}
+    want = frame.corr()
+    assert len(got) == columns * (columns - 1) // 2
+    assert all(abs(c - want.loc[a, b]) < 1e-9 for (a, b), c in got.items())
+    half = spark.createDataFrame(frame).withColumn("c0", F.when(~F.isnan("c0"), F.col("c0")))
+    again = prof.correlations(half, ["c0", "c1"]).first()["corr"]
+    assert abs(again - got["c0", "c1"]) < 1e-12
+
+
+def test_samples_of_many_short_columns_need_no_more_jobs_than_of_one(spark):
+    rows = [(i, *(str(i) if i > 40 + k else None for k in range(6))) for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"s{k} string" for k in range(6))).repartition(4)
+
+    def run(cols, group):
+        spark.sparkContext.setJobGroup(group, group)
+        found = prof.first_values(df, {c: F.col(c).isNotNull() for c in cols}, ["i"], 3)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    found, many = run(df.columns, "many")
+    assert found == {"i": ["0", "1", "2"], **{f"s{k}": [str(41 + k + j) for j in range(3)] for k in range(6)}}
+    assert many <= run(["i", "s0"], "one")[1]
+
+
+def test_medians_of_all_columns_together(spark):
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"a": rng.normal(size=501), "b": rng.integers(-5, 5, 501).astype(float), "c": np.nan, "d": 1e300 * rng.normal(size=501)})
+    frame.loc[::7, "a"] = np.nan
+    got = medians(spark.createDataFrame(frame).repartition(5), list("abcd"))
+    assert got["c"] is None and all(got[k] == frame[k].median() for k in "abd")
+
+
+def test_only_plain_numbers_are_coerced(spark):
+    texts = ["12", " 1.5 ", "-3e2", ".5", "12D", "7f", "0x1p3", "1_000", "abc", "", None, "inf"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["t"] for r in prep.coerce_numeric(df, ["t"]).collect()]
+    assert got == [12.0, 1.5, -300.0, 0.5, None, None, None, None, None, None, None, math.inf]
+
+
 def test_target_is_no_feature(spark):
     df = spark.createDataFrame([(float(i), float(2 * i), float(i * i)) for i in range(5)], "a double, b double, t double")
     assert [(r["a"], r["b"]) for r in prof.high_corr_pairs(df, "t").collect()] == [("a", "b")]
@@ -126,7 +172,6 @@ def test_drop_collinear_keeps_the_earlier_column(spark):
 
 @pytest.mark.parametrize("kind", ["bigint", "double"])
 def test_order_statistic_is_exact(spark, kind, monkeypatch):
-    monkeypatch.setattr("plumbline.operators.order.SMALL", 3)
     rng = np.random.default_rng(5)
     values = np.concatenate([rng.integers(-(2**62), 2**62, 300), np.repeat(5, 200), [2**62, 2**62 + 1, -(2**62)]])
     df = spark.createDataFrame([(int(v),) for v in values], "v bigint").withColumn("v", F.col("v").cast(kind))

@@ -105,6 +105,19 @@ def test_stop_and_best_round(spark, runs, stop, best):
     assert (found["round"] if found else None) == best
 
 
+@pytest.mark.parametrize("limit, stop, best", [(3, 3, 3), (5, 5, 5), (None, 5, 5), (1, 1, 1)])
+def test_rounds_beyond_the_third(spark, limit, stop, best):
+    df = sessions(spark, *[(True, 0.1 * i, C) for i in range(1, 6)])
+    assert board.stop_round(df, ["session_id"], limit).first()["stop_round"] == stop
+    assert board.best_run(df, ["session_id"], limit).first()["round"] == best
+
+
+def test_different_requests_have_different_keys(spark):
+    rows = [("a\x1fb", "c"), ("a", "b\x1fc"), (None, "x"), ("", "x"), ("1:a", ""), ("1", ":a"), ("N", None), (None, "N")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    assert df.select(use.request_key("p", "q")).distinct().count() == len(rows)
+
+
 def test_score_by_task(spark):
     df = spark.createDataFrame(
         [("classification", 0.7, 0.6, None), ("classification", 0.7, None, None), ("classification", 0.7, 0.0, None), ("regression", None, None, 0.3), ("timeseries", 0.9, 0.9, None)],
