@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import query, table
 from plumbline.operators.asof import asof_chain, asof_join
 from plumbline.operators.combine import combine, concat_tables, join_tables
-from plumbline.operators.durable import shared_dir
+from plumbline.operators.durable import stage_path
 from plumbline.sources.documents import cap_text
 from plumbline.sources.files import read_folder, read_table, require_rows, write_prepared
 
 
 def _new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    return f"{stage_path(spark, 'files')}/table"
 
 
 @query(
     """
-    SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment
+    SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
+           c_acctbal, c_mktsegment
     FROM customer
     """
 )
@@ -54,6 +53,29 @@ def folder_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT doc_id, doc_id + 1234567890123450000 AS big, nullif(lang, 'de') AS lang, text FROM documents
+    """
+)
+def read_quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with line breaks and quotes, 19-digit numbers and marks of missing values."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("doc_id") + 1234567890123450000).alias("big"),
+        F.when(F.col("lang") == "de", "NA").otherwise(F.col("lang")).alias("lang"), "text",
+    )
+    folder = _new_folder(spark)
+    docs.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    return read_folder(spark, folder).select("doc_id", "big", "lang", "text")
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def read_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _new_folder(spark) + ".json"
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").write.json(folder)
+    return read_table(spark, folder)
+
+
 BLANK = (
     r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
     r"\x{205F}\x{3000}]"
@@ -212,6 +234,40 @@ def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asof(spark, sf_dir, "nearest")
 
 
+# Times as four sources might write them, the last one nine hours ahead of UTC.
+TEXT_TIMES = {
+    "%Y-%m-%d %H:%M:%S": "yyyy-MM-dd HH:mm:ss", "%Y/%m/%d %H:%M:%S": "yyyy/MM/dd HH:mm:ss", "%m/%d/%Y %H:%M:%S": "MM/dd/yyyy HH:mm:ss",
+    "%b %d %Y %H:%M:%S": "MMM dd yyyy HH:mm:ss",
+}
+
+
+@query(
+    f"""
+    WITH e AS (SELECT event_id, event_type, value, CASE event_id % 5
+                   {' '.join(f"WHEN {i} THEN strftime(ts, '{f}')" for i, f in enumerate(TEXT_TIMES))}
+                   ELSE strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00' END AS said FROM events),
+         t AS (SELECT event_id, event_type, value, CASE WHEN said LIKE '%+09:00'
+                   THEN strptime(replace(said, '+09:00', ''), '%Y-%m-%dT%H:%M:%S') - INTERVAL 9 HOUR
+                   ELSE try_strptime(said, {list(TEXT_TIMES)}) END AS paid_at FROM e),
+         p AS (SELECT paid_at, event_id AS purchase_id FROM t WHERE event_type = 'purchase'),
+         v AS (SELECT paid_at, max(event_id) AS view_id, arg_max(value, event_id) AS view_value FROM t
+               WHERE event_type = 'view' GROUP BY 1)
+    SELECT p.paid_at, purchase_id, view_id, view_value FROM p ASOF LEFT JOIN v ON p.paid_at >= v.paid_at
+    """
+)
+def asof_text_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backward join on times given as text in several formats."""
+    choice = F.date_format(F.expr("ts + INTERVAL '9' HOUR"), "yyyy-MM-dd'T'HH:mm:ss'+09:00'")
+    for i, fmt in enumerate(TEXT_TIMES.values()):
+        choice = F.when(F.col("event_id") % 5 == i, F.date_format("ts", fmt)).otherwise(choice)
+    events = table(spark, sf_dir, "events").withColumn("paid_at", choice)
+    purchases = events.filter("event_type = 'purchase'").select("paid_at", F.col("event_id").alias("purchase_id"))
+    views = events.filter("event_type = 'view'").select(
+        "paid_at", F.col("event_id").alias("view_id"), F.col("value").alias("view_value")
+    )
+    return asof_join(purchases, views, "paid_at", "paid_at", "backward", tiebreak=["view_id"])
+
+
 @query(
     f"""{SIDES_SQL}
     SELECT paid_at, purchase_id, purchase_value,

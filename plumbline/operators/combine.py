@@ -91,7 +91,7 @@ def _hot_owner(hot: list[DataFrame | None], key: str) -> DataFrame:
 
 
 def _slice_side(df: DataFrame, owner: DataFrame, i: int, key: str) -> DataFrame:
-    flagged = skew.join_on(df, F.broadcast(owner), [key], "left")
+    flagged = skew.join_on(df, skew.broadcast_if_small(owner, skew.MAX_HOT), [key], "left")
     mine = F.col("__owner") == i
     part = F.pmod(F.spark_partition_id(), F.col(skew.SLICES))
     every = F.sequence(F.lit(0), F.coalesce(F.col(skew.SLICES), F.lit(1)) - 1)

@@ -26,9 +26,9 @@ WINDOWS = (3, 7)
 History = Callable[[WindowSpec, Callable[[int], Column]], dict[str, Column]]
 
 
-def time_order(df: DataFrame, time: str) -> DataFrame:
+def time_order(df: DataFrame, time: str, fmt: str | None = None) -> DataFrame:
     """Parse the time column and drop rows without a time; windows sort by it."""
-    return df.withColumn(time, as_time(df, time)).dropna(subset=[time])
+    return df.withColumn(time, as_time(df, time, fmt)).dropna(subset=[time])
 
 
 def with_history(
@@ -92,10 +92,11 @@ def lags(
     steps: tuple[int, ...] = LAGS,
     by: list[str] | None = None,
     tiebreak: list[str] | None = None,
+    fmt: str | None = None,
     **options,
 ) -> DataFrame:
     """The target 1, 2, 3 and 7 rows earlier."""
-    df = time_order(df, time)
+    df = time_order(df, time, fmt)
     order = [time, *(tiebreak or [])]
     return with_history(df, order, by or [], max(steps), _lag_columns(target, tuple(steps)), **options)
 
@@ -107,19 +108,20 @@ def rolling(
     widths: tuple[int, ...] = WINDOWS,
     by: list[str] | None = None,
     tiebreak: list[str] | None = None,
+    fmt: str | None = None,
     **options,
 ) -> DataFrame:
     """Mean and sample deviation of the 3 and 7 rows before the current one."""
-    df = time_order(df, time)
+    df = time_order(df, time, fmt)
     order = [time, *(tiebreak or [])]
     return with_history(
         df, order, by or [], max(widths), _rolling_columns(target, tuple(widths)), **options
     )
 
 
-def calendar(df: DataFrame, time: str) -> DataFrame:
+def calendar(df: DataFrame, time: str, fmt: str | None = None) -> DataFrame:
     """Year, month, day and day of week (Monday = 0)."""
-    return df.withColumns(calendar_columns(as_time(df, time)))
+    return df.withColumns(calendar_columns(as_time(df, time, fmt)))
 
 
 def ts_features(
@@ -131,13 +133,14 @@ def ts_features(
     by: list[str] | None = None,
     tiebreak: list[str] | None = None,
     keep_time: bool = False,
+    fmt: str | None = None,
     **options,
 ) -> DataFrame:
     """Lags, rolling statistics and calendar parts; rows without full history go.
 
     The raw time goes too unless `keep_time`, which a chronological split needs.
     """
-    df = time_order(df, time)
+    df = time_order(df, time, fmt)
     lag, roll = _lag_columns(target, tuple(steps)), _rolling_columns(target, tuple(widths))
 
     def build(window: WindowSpec, same: Callable[[int], Column]) -> dict[str, Column]:

@@ -1,9 +1,9 @@
 """Joins that hold when one key owns a large share of the rows.
 
-A key is hot when it has more rows than `HOT_ROWS` and more than 1/MAX_HOT of the
-table, so fewer than MAX_HOT hot keys can exist and their list is always safe to
-broadcast. Rows of a hot key are spread over slices; the other side of the join
-is repeated once per slice for the hot keys only.
+A key is hot when it has more rows than `HOT_ROWS`, whatever the size of the table.
+Rows of a hot key are spread over slices; the other side of the join is repeated once
+per slice for the hot keys only. A list of up to MAX_HOT hot keys is broadcast; a longer
+one, which takes a table of more than MAX_HOT * HOT_ROWS rows, is joined by shuffle.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.durable import materialize
+
 HOT_ROWS = 1_000_000
 MAX_HOT = 1024
+SKETCH_ROWS = 100_000
 SLICE = "__slice"
 SLICES = "__slices"
 
@@ -36,9 +39,9 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
     """Keys too big for one task with the number of slices each needs, or None.
 
-    Costs one row count and, when the table is large enough to hold a hot key at all, one
-    pass over the key columns that shuffles nothing but a sketch; likely keys are then
-    counted exactly. `hot_rows=0` skips the check, for keys known to be spread evenly.
+    Costs one row count and, when the table is large enough to hold a hot key at all, a
+    count per key; in large tables a sketch, which shuffles next to nothing, first finds
+    the likely keys. `hot_rows=0` skips the check, for keys known to be spread evenly.
     """
     if hot_rows == 0:
         return None
@@ -46,25 +49,24 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> Dat
     total = df.count()
     if total <= hot_rows:
         return None
-    floor = max(hot_rows, total // MAX_HOT)
-    hashed = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
-    # the sketch overestimates, by less than total / (4 * MAX_HOT): it misses no hot key
-    sketch = f"approx_top_k(h, {2 * MAX_HOT}, {8 * MAX_HOT})"
-    top = df.select(hashed.alias("h")).agg(F.expr(sketch).alias("top")).first()["top"]
-    likely = [r["item"] for r in top if r["count"] > floor]
-    if not likely:
-        return None
-    counts = (
-        df.filter(hashed.isin(likely))
-        .groupBy(*[F.col(f"`{k}`") for k in keys])
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    slices = F.ceil(F.col("__n") / hot_rows).cast("int").alias(SLICES)
-    hot = counts.filter(F.col("__n") > floor).select(*[F.col(f"`{k}`") for k in keys], slices)
-    rows = hot.collect()  # fewer than MAX_HOT rows
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, hot.schema)
+    named = [F.col(f"`{k}`") for k in keys]
+    few = total <= MAX_HOT * hot_rows  # then fewer than MAX_HOT keys can be hot
+    rows = df
+    if few and total > SKETCH_ROWS:
+        hashed = F.xxhash64(*named)
+        # the sketch overestimates, by less than total / (4 * MAX_HOT): it misses no hot key
+        sketch = f"approx_top_k(h, {2 * MAX_HOT}, {8 * MAX_HOT})"
+        top = df.select(hashed.alias("h")).agg(F.expr(sketch).alias("top")).first()["top"]
+        likely = [r["item"] for r in top if r["count"] > hot_rows]
+        if not likely:
+            return None
+        rows = df.filter(hashed.isin(likely))
+    counts = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    hot = counts.select(*named, F.ceil(F.col("__n") / hot_rows).cast("int").alias(SLICES))
+    if not few:
+        return materialize(hot)
+    found = hot.collect()  # fewer than MAX_HOT rows
+    return F.broadcast(df.sparkSession.createDataFrame(found, hot.schema)) if found else None
 
 
 def spread(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,14 +75,14 @@ def spread(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     The slice follows the input partition, so copies of one row spread too and a
     recomputed task gives every row the same slice again.
     """
-    flagged = join_on(df, F.broadcast(hot), keys, "left")
+    flagged = join_on(df, hot, keys, "left")
     part = F.pmod(F.spark_partition_id(), F.col(SLICES))
     return flagged.withColumn(SLICE, F.coalesce(part, F.lit(0))).drop(SLICES)
 
 
 def repeat(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """One copy of every row per slice of its key."""
-    flagged = join_on(df, F.broadcast(hot), keys, "left")
+    flagged = join_on(df, hot, keys, "left")
     slices = F.sequence(F.lit(0), F.coalesce(F.col(SLICES), F.lit(1)) - 1)
     return flagged.withColumn(SLICE, F.explode(slices)).drop(SLICES)
 

@@ -35,10 +35,13 @@ def cut_time(df: DataFrame, time: str, test: float = TEST_SHARE) -> int | None:
 
 
 def split_time(
-    df: DataFrame, time: str, test: float = TEST_SHARE, part: str = "part"
+    df: DataFrame, time: str, test: float = TEST_SHARE, part: str = "part", fmt: str | None = None
 ) -> DataFrame:
-    """Mark the last share of rows by time 'test'; ties at the cut stay 'train'."""
-    df = time_order(df, time)
+    """Mark the last share of rows by time 'test'; ties at the cut stay 'train'.
+
+    Rows without a valid time are dropped; `fmt` is the format of text times.
+    """
+    df = time_order(df, time, fmt)
     cut = cut_time(df, time, test)
     late = F.lit(True) if cut is None else micros(q(time)) > cut
     return df.withColumn(part, F.when(late, "test").otherwise("train"))

@@ -1,8 +1,10 @@
 """Tolerant file ingest: formats by extension, encodings, preambles, folders.
 
-Tolerant CSV files are read as lines, so large files split over many tasks; a quoted
-field therefore must not contain a line break. The raw lines are staged once as
-Parquet, because charset, header, types and data each need a look at them.
+Tolerant CSV files are read as lines, so large files split over many tasks. Files in
+which a quoted field holds a line break are found by a look at each line alone; their
+lines are put together to records again, one task per file, and all others keep
+splitting. The raw lines are staged once as Parquet, because charset, header, types and
+data each need a look at them.
 """
 
 from __future__ import annotations
@@ -11,18 +13,22 @@ import csv
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.times import as_time
 from plumbline.operators.combine import concat_tables
-from plumbline.operators.durable import materialize
+from plumbline.operators.durable import materialize, stage_path
 from plumbline.operators.profile import q
 
 HEADER_SEARCH_LINES = 30
 LEGACY_CHARSET = "x-windows-949"  # the Java name of cp949
 LAST_CHARSET = "ISO-8859-1"
 END = "\x01"  # appended to every line to tell short rows from long ones
+COPIED = "named-"  # in front of copies of files that Spark would take for hidden ones
+# A line whose fields are all closed: quoted as a whole, or not beginning with a quote.
+CLOSED = r'^(?:(?:"(?:[^"]++|"")*+"[^SEP]*+|[^"SEP][^SEP]*+|)(?:SEP|$))*+$'
+WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 # Texts that count as missing.
 MISSING = (
@@ -33,19 +39,56 @@ MISSING = (
 
 # What every value of a column must look like to be of a type, narrowest type first.
 TYPE_PATTERNS = {
-    "bigint": r"^\s*[+-]?\d{1,18}\s*$",
+    "bigint": r"^\s*[+-]?\d{1,19}\s*$",
     "double": r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$",
     "boolean": r"^(true|True|TRUE|false|False|FALSE)$",
 }
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read one table by its extension: csv, txt, tsv or json; others count as csv."""
+    """Read one table by its extension: csv, txt, tsv or json; others count as csv.
+
+    Texts that mark missing values become NULL, then types are inferred. A delimited
+    file whose quoted fields hold line breaks is read as a whole by one task.
+    """
     name = path.lower().rstrip("/")
     if name.endswith(".json"):
-        return spark.read.option("multiLine", True).json(path)
+        return _read_json(spark, path)
     sep = "\t" if name.endswith(".tsv") else ","
-    return spark.read.csv(path, header=True, inferSchema=True, sep=sep, escape='"')
+    closed = CLOSED.replace("SEP", sep)
+    broken = not spark.read.text(path).filter(~F.col("value").rlike(closed)).isEmpty()
+    text = spark.read.csv(path, header=True, sep=sep, escape='"', multiLine=broken)
+    return infer_types(text.select(*[_known(q(c)).alias(c) for c in text.columns]), ())
+
+
+def _known(value: Column, *more: str) -> Column:
+    """The text, or NULL where it marks a missing value."""
+    return F.when(~value.isin([*MISSING, *more]), value)
+
+
+def _read_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON as lines of records, as one list of records, or by column; never a part of a file.
+
+    Lines split over tasks; the other forms are one document, which one task parses.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> ''")
+    n, records = lines.agg(F.count(F.lit(1)), F.count_if(F.col("line").rlike(r"^\{.*\}$"))).first()
+    if n > 1 and n == records:
+        return spark.read.option("mode", "FAILFAST").json(path)
+    whole = spark.read.text(path, wholetext=True)
+    outer = F.from_json("value", "map<string,string>")
+    forms = whole.select(F.explode(F.map_values(outer)).alias("v")).select(F.substring(F.trim("v"), 1, 1).alias("f"))
+    found = {r["f"] for r in forms.distinct().limit(3).collect()}
+    if found == {"{"} or found == {"["}:
+        by_key = found == {"{"}
+        cells = F.from_json("value", f"map<string,{'map<string,string>' if by_key else 'array<string>'}>")
+        columns = whole.select(F.explode(cells).alias("name", "cells"))
+        inner = F.explode("cells") if by_key else F.posexplode("cells")
+        values = columns.select("name", inner.alias("row", "value"))
+        names = [r["name"] for r in columns.select("name").distinct().orderBy("name").collect()]  # one per column
+        table = values.groupBy("row").pivot("name", names).agg(F.first("value"))
+        return infer_types(table.drop("row"), ())
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def require_rows(df: DataFrame, what: str = "table") -> DataFrame:
@@ -85,57 +128,67 @@ def legacy_text(raw: Column) -> Column:
     return F.decode(raw, LEGACY_CHARSET)
 
 
-def _stage_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All lines with their file and an order within the file's first block."""
+def _visible(spark: SparkSession, pattern: str) -> list[str]:
+    """The pattern, and copies of the files that Spark would skip because of their names.
+
+    Spark takes names that begin with _ or . for its own; such files are copied to a
+    stage folder under another name. Hidden files, with a dot, stay hidden.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    glob = jvm.org.apache.hadoop.fs.Path(pattern)
+    system = glob.getFileSystem(conf)
+    found = [f.getPath() for f in system.globStatus(glob) or []]
+    skipped = [f for f in found if f.getName().startswith("_")]
+    if not skipped:
+        return [pattern]
+    folder = stage_path(spark, "named")
+    for f in skipped:
+        copy = jvm.org.apache.hadoop.fs.Path(f"{folder}/{COPIED}{f.getName()}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(system, f, copy.getFileSystem(conf), copy, False, conf)
+    return ([pattern] if len(skipped) < len(found) else []) + [folder]
+
+
+def _stage_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """All lines with their file, their place in it and whether their fields are closed."""
     try:
-        text = spark.read.text(paths)
+        text = spark.read.text(_visible(spark, pattern))
     except AnalysisException as error:
-        raise ValueError(f"no CSV file found: {paths}") from error
+        raise ValueError(f"no CSV file found: {pattern}") from error
     # the position is stored, since a second scan may cut the files differently
     return materialize(
         text.select(
             F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("__source"),
-            (F.col("_metadata.file_block_start") == 0).alias("first_block"),
+            F.regexp_replace("_metadata.file_name", f"^{COPIED}", "").alias("__source"),
+            F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("at"),
             F.col("value").cast("binary").alias("raw"),
+            F.col("value").rlike(CLOSED.replace("SEP", ",")).alias("closed"),
         )
     )
 
 
-def _describe_files(spark: SparkSession, lines: DataFrame) -> list[dict]:
-    """Charset, header line and its position for every file, one row per file."""
-    at_start = F.when(F.col("first_block"), F.col("at"))
+def _describe_files(spark: SparkSession, lines: DataFrame, header_lines: int) -> DataFrame:
+    """One row per file: charset, place and text of the header line, whether records span lines."""
+    at_start = F.when(F.col("block") == 0, F.col("at"))
     comma = F.instr(F.col("raw").cast("string"), ",") > 0
     files = lines.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
+        (~F.bool_and("closed")).alias("spans"),
         F.min(at_start).alias("start"),
         F.min(F.when(comma, at_start)).alias("comma_at"),
     )
-    near = F.col("comma_at") - F.col("start") < HEADER_SEARCH_LINES
-    files = files.withColumn(
-        "header_at", F.when(near, F.col("comma_at")).otherwise(F.col("start"))
+    near = F.col("comma_at") - F.col("start") < header_lines
+    files = files.withColumn("header_at", F.when(near, F.col("comma_at")).otherwise(F.col("start")))
+    headers = lines.filter("block = 0").join(files.select("path", "utf8", "spans", "header_at"), "path")
+    text = legacy_text(F.col("raw"))
+    odd = files.filter("NOT utf8").select("path")
+    bad = lines.join(odd, "path", "left_semi").filter(F.contains(text, F.lit("�")))
+    broken = [r["__source"] for r in bad.select("__source").distinct().orderBy("__source").limit(20).collect()]
+    if broken:
+        raise ValueError(f"unknown text encoding: {broken}")
+    return materialize(
+        headers.filter("at = header_at").select("path", "__source", "utf8", "spans", "header_at", F.col("raw").alias("header"))
     )
-    headers = lines.filter("first_block").join(
-        F.broadcast(files.select("path", "utf8", "header_at")), "path"
-    ).filter("at = header_at")
-    rows = headers.select("path", "__source", "utf8", "header_at", "raw").collect()
-    odd = [r["path"] for r in rows if not r["utf8"]]
-    if odd:
-        text = legacy_text(F.col("raw"))
-        bad = lines.filter(F.col("path").isin(odd) & F.contains(text, F.lit("�")))
-        broken = [r["__source"] for r in bad.select("__source").distinct().collect()]
-        if broken:
-            raise ValueError(f"unknown text encoding: {sorted(broken)}")
-    return [
-        {
-            "path": r["path"],
-            "utf8": r["utf8"],
-            "header_at": r["header_at"],
-            "columns": _column_names(bytes(r["raw"]).decode("utf-8-sig" if r["utf8"] else "cp949")),
-        }
-        for r in sorted(rows, key=lambda r: r["__source"])
-    ]
 
 
 def _column_names(header: str) -> tuple[str, ...]:
@@ -148,32 +201,43 @@ def _column_names(header: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-def _parse(lines: DataFrame, files: list[dict]) -> DataFrame:
-    """Rows of files with one charset and one header, all columns as text."""
-    spark = lines.sparkSession
-    columns, utf8 = files[0]["columns"], files[0]["utf8"]
-    heads = spark.createDataFrame(
-        [(f["path"], f["header_at"]) for f in files], "path string, header_at bigint"
-    )
-    body = lines.join(F.broadcast(heads), "path").filter("NOT (first_block AND at <= header_at)")
-    if len(files) <= 500:
-        body = body.filter(F.col("path").isin([f["path"] for f in files]))
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines put together to records: a line goes on while a quote is open before it."""
+    order = Window.partitionBy("path").orderBy("block", "at")
+    quotes = F.length(F.regexp_replace("text", '[^"]', ""))
+    before = F.sum(quotes).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = (F.coalesce(before, F.lit(0)) % 2 == 0).cast("int")
+    numbered = lines.withColumn("begins", begins).withColumn("record", F.sum("begins").over(order))
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "text")))
+    joined = F.array_join(F.transform(parts, lambda p: p["text"]), "\n")
+    return numbered.groupBy("path", "__source", "record").agg(joined.alias("text")).select("__source", "text")
+
+
+def _parse(lines: DataFrame, files: DataFrame, header: bytes, utf8: bool, spans: bool) -> DataFrame:
+    """Rows of the files with one charset and one header, all columns as text."""
+    columns = _column_names(header.decode("utf-8-sig" if utf8 else "cp949"))
+    alike = (F.col("header") == F.lit(header)) & (F.col("utf8") == utf8) & (F.col("spans") == spans)
+    heads = files.filter(alike).select("path", "header_at")
+    body = lines.join(heads, "path").filter("NOT (block = 0 AND at <= header_at)")
     text = F.col("raw").cast("string") if utf8 else legacy_text(F.col("raw"))
+    body = body.select("path", "__source", "block", "at", text.alias("text"))
+    if spans:
+        body = _records(body)
     fields = [f"c{i}" for i in range(len(columns) + 1)]
     schema = ", ".join(f"{c} string" for c in fields)
-    row = F.from_csv(F.concat(text, F.lit("," + END)), schema, {"escape": '"', "mode": "PERMISSIVE"})
-    parsed = body.filter(F.length(F.trim(text)) > 0).select("__source", row.alias("r"))
+    row = F.from_csv(F.concat("text", F.lit("," + END)), schema, {"escape": '"', "mode": "PERMISSIVE"})
+    parsed = body.filter(F.length(F.trim("text")) > 0).select("__source", row.alias("r"))
     # END is in the extra field of a complete row and earlier in a short one
     complete = F.array_contains(F.array(*[F.coalesce(F.col(f"r.{c}"), F.lit("")) for c in fields]), END)
-    values = [
-        F.when(~F.col(f"r.{c}").isin([*MISSING, END]), F.col(f"r.{c}")).alias(name)
-        for c, name in zip(fields, columns)
-    ]
+    values = [_known(F.col(f"r.{c}"), END).alias(name) for c, name in zip(fields, columns)]
     return parsed.filter(complete).select(*values, "__source")
 
 
 def infer_types(df: DataFrame, keep: tuple[str, ...] = ("__source",)) -> DataFrame:
-    """Cast text columns to BIGINT, DOUBLE or BOOLEAN where every value allows it."""
+    """Cast text columns to BIGINT, DOUBLE or BOOLEAN where every value allows it.
+
+    Whole numbers beyond 64 bits stay text, since DOUBLE would change them.
+    """
     cols = [c for c in df.columns if c not in keep]
     if not cols:
         return df
@@ -181,6 +245,9 @@ def infer_types(df: DataFrame, keep: tuple[str, ...] = ("__source",)) -> DataFra
     fits = {
         kind: {c: q(c).rlike(pattern) for c in cols} for kind, pattern in TYPE_PATTERNS.items()
     }
+    in_range = {c: F.trim(q(c)).try_cast("bigint").isNotNull() for c in cols}
+    fits["bigint"] = {c: F.when(q(c).isNotNull(), fit & in_range[c]) for c, fit in fits["bigint"].items()}
+    fits["whole"] = {c: q(c).rlike(WHOLE_NUMBER) for c in cols}
     row = df.agg(
         *[F.bool_and(fit).alias(f"{kind}|{c}") for kind, of in fits.items() for c, fit in of.items()]
     ).first()
@@ -189,30 +256,35 @@ def infer_types(df: DataFrame, keep: tuple[str, ...] = ("__source",)) -> DataFra
         if row[f"boolean|{c}"] is None:  # no value at all
             return q(c).cast("double")
         kind = next((k for k in TYPE_PATTERNS if row[f"{k}|{c}"]), None)
+        if kind == "double" and row[f"whole|{c}"]:
+            return q(c)
         return F.trim(q(c)).try_cast(kind) if kind else q(c)
 
     return df.withColumns({c: typed(c) for c in cols})
 
 
-def _read_lines(spark: SparkSession, paths: str | list[str], infer: bool) -> DataFrame:
-    lines = _stage_lines(spark, paths)
+def _read_lines(spark: SparkSession, pattern: str, infer: bool, header_lines: int) -> DataFrame:
+    lines = _stage_lines(spark, pattern)
     with java_charsets(spark):
-        groups: dict[tuple, list[dict]] = {}
-        for f in _describe_files(spark, lines):
-            groups.setdefault((f["utf8"], f["columns"]), []).append(f)
-        if not groups:
-            raise ValueError(f"no lines in {paths}")
-        merged = concat_tables([_parse(lines, files) for files in groups.values()])
+        files = _describe_files(spark, lines, header_lines)
+        # one entry per different header, however many files share it
+        kinds = files.groupBy("header", "utf8", "spans").agg(F.min("__source").alias("first")).orderBy("first", "header").collect()
+        if not kinds:
+            raise ValueError(f"no lines in {pattern}")
+        parts = [_parse(lines, files, bytes(k["header"]), k["utf8"], k["spans"]) for k in kinds]
+        merged = concat_tables(parts)
         return infer_types(merged) if infer else merged
 
 
-def read_csv_tolerant(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
+def read_csv_tolerant(
+    spark: SparkSession, path: str, infer: bool = True, header_lines: int = HEADER_SEARCH_LINES
+) -> DataFrame:
     """Read CSV whatever its encoding (UTF-8 with or without mark, cp949).
 
-    Lines before the first one with a comma, searched in the first 30, are skipped;
-    rows with too many fields are dropped and short ones filled with NULL.
+    Lines before the first one with a comma, searched in the first `header_lines`, are
+    skipped; rows with too many fields are dropped and short ones filled with NULL.
     """
-    return _read_lines(spark, path, infer).drop("__source")
+    return _read_lines(spark, path, infer, header_lines).drop("__source")
 
 
 def read_folder(
@@ -223,15 +295,17 @@ def read_folder(
     fmt: str = "MM.dd.yyyy HH:mm:ss",
     datetime_col: str = "",
     infer: bool = True,
+    datetime_fmt: str | None = None,
+    header_lines: int = HEADER_SEARCH_LINES,
 ) -> DataFrame:
     """All CSV files of a folder by column name, with `__source` and `__datetime`.
 
     `__datetime` comes from `datetime_col` if that column exists, else from the date
     and time columns; without either there is none. Bad times are NULL.
     """
-    text = _read_lines(spark, f"{folder.strip().rstrip('/')}/*.csv", infer=False)
+    text = _read_lines(spark, f"{folder.strip().rstrip('/')}/*.csv", False, header_lines)
     if datetime_col and datetime_col in text.columns:
-        when = as_time(text, datetime_col)
+        when = as_time(text, datetime_col, datetime_fmt)
     elif date_col in text.columns and time_col in text.columns:
         both = F.concat_ws(" ", *[F.trim(F.btrim(q(c), F.lit('"'))) for c in (date_col, time_col)])
         when = F.try_to_timestamp(both, F.lit(fmt)).cast("timestamp_ntz")

@@ -25,6 +25,67 @@ def test_read_json(spark, tmp_path):
     assert sorted(map(tuple, read_table(spark, str(path)).collect())) == [(1, 2), (3, 4)]
 
 
+BREAKS = 'id,text,n\n1,"line one\nline two",10\n2,"say ""hi"",\n\nbye",20\n3,5" wide,30\n'
+
+
+@pytest.mark.parametrize("read", ["table", "tolerant", "folder"])
+def test_quoted_line_breaks(spark, tmp_path, read):
+    (tmp_path / "t.csv").write_text(BREAKS)
+    if read == "folder":
+        (tmp_path / "u.csv").write_text("id,text,n\n4,plain,40\n")
+        got = read_folder(spark, str(tmp_path)).select("id", "text", "n")
+    else:
+        got = (read_table if read == "table" else read_csv_tolerant)(spark, str(tmp_path / "t.csv"))
+    want = [(1, "line one\nline two", 10), (2, 'say "hi",\n\nbye', 20), (3, '5" wide', 30)]
+    assert sorted(map(tuple, got.collect())) == want + [(4, "plain", 40)] * (read == "folder")
+
+
+@pytest.mark.parametrize("content, want", [
+    ('{"a": 1, "b": "x"}\n{"a": 2, "b": "y"}\n\n{"a": 3, "b": null}\n', [(1, "x"), (2, "y"), (3, None)]),
+    ('[{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]', [(1, "x"), (2, "y")]),
+    ('{"a": {"0": 1, "1": 2},\n "b": {"0": "x", "1": "y"}}', [(1, "x"), (2, "y")]),
+    ('{"a": [1, 2], "b": ["x", "y"]}', [(1, "x"), (2, "y")]),
+])
+def test_json_forms(spark, tmp_path, content, want):
+    (tmp_path / "t.json").write_text(content)
+    assert sorted(map(tuple, read_table(spark, str(tmp_path / "t.json")).select("a", "b").collect())) == want
+
+
+def test_broken_json_is_refused(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"a": 1}\n{"a": oops}\n{"a": 3}\n')
+    with pytest.raises(Exception, match="(?i)malformed|cannot parse|parse"):
+        read_table(spark, str(tmp_path / "t.json")).collect()
+
+
+def test_long_whole_numbers_and_missing_marks(spark, tmp_path):
+    rows = "id,huge,x,none\n1234567890123456789,123456789012345678901,1,NA\n1234567890123456788,5,NA,\n-1,6,2.5,null\n"
+    (tmp_path / "t.csv").write_text(rows)
+    for df in (read_table(spark, str(tmp_path / "t.csv")), read_csv_tolerant(spark, str(tmp_path / "t.csv"))):
+        assert dict(df.dtypes) == {"id": "bigint", "huge": "string", "x": "double", "none": "double"}
+        assert sorted(r["id"] for r in df.collect()) == [-1, 1234567890123456788, 1234567890123456789]
+        assert [r["x"] for r in df.orderBy("id").collect()] == [2.5, None, 1.0]
+
+
+def test_names_with_an_underscore_are_read(spark, tmp_path):
+    (tmp_path / "_x.csv").write_text("a\n1\n")
+    assert [tuple(r) for r in read_folder(spark, str(tmp_path)).collect()] == [(1, "_x.csv")]
+    (tmp_path / "y.csv").write_text("a\n2\n")
+    assert sorted(map(tuple, read_folder(spark, str(tmp_path)).collect())) == [(1, "_x.csv"), (2, "y.csv")]
+
+
+def test_many_files_take_one_plan_per_header(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"f{i}.csv").write_text(f"a,b\n{i},{i * i}\n")
+    df = read_folder(spark, str(tmp_path))
+    assert sorted((r["a"], r["b"]) for r in df.collect()) == [(i, i * i) for i in range(30)]
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_header_search_is_a_parameter(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("x\n" * 40 + "a,b\n1,2\n")
+    assert read_csv_tolerant(spark, str(tmp_path / "t.csv"), header_lines=50).columns == ["a", "b"]
+
+
 def test_empty_table_is_refused(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("col1,col2\n")
