@@ -5,111 +5,96 @@ from plumbline.functions.masking import mask_text, mask_value
 from plumbline.operators import pii
 
 
-def detected(df, **options):
+def found_kinds(df, **options):
     return {r["name"]: r["kind"] for r in pii.detect_pii(df, **options).collect()}
 
 
-def test_kind_by_column_name(spark):
-    df = spark.createDataFrame([("a@x.com", 25)], "email string, age int")
-    assert detected(df, order_by=["age"]) == {"email": "email"}
+def column(spark, values, kind="string"):
+    """A table of a row number and one column `v`."""
+    return spark.createDataFrame(list(enumerate(values)), f"i int, v {kind}")
 
 
-def test_first_kind_of_a_name_wins_and_korean_names_count(spark):
-    df = spark.createDataFrame([("x", "y", "z")], "`Email_Name` string, `연락처` string, `계좌` string")
-    assert detected(df, order_by=["계좌"]) == {"Email_Name": "name", "연락처": "phone", "계좌": "card"}
+@pytest.mark.parametrize("name, kind", [
+    ("work_email", "email"), ("Email_Name", "name"), ("연락처", "phone"), ("계좌", "card"), ("weight", None), ("v", None),
+])
+def test_kind_from_the_column_name_alone(spark, name, kind):
+    df = spark.createDataFrame([(1, "q")], f"i int, `{name}` string")
+    assert {r["name"]: r["kind"] for r in pii.pii_by_name(df).collect()}[name] == kind
 
 
-def test_kind_by_values_when_the_name_says_nothing(spark):
-    df = spark.createDataFrame([("010-1234-5678",), ("010-2222-3333",)], "contact_info string")
-    assert detected(df, order_by=["contact_info"]) == {"contact_info": "phone"}
+@pytest.mark.parametrize("values, kind", [
+    (["ruth@lake.test", "omar@hill.test", "-"], "email"), (["070-5550-0199", "031-4440-0123"], "phone"), ([7, 8, 9], None),
+    (["ruth@lake.test", "a", "b"], None), ([None, None], None),
+])
+def test_kind_from_the_values(spark, values, kind):
+    df = column(spark, values, "int" if values[0] == 7 else "string")
+    for options in ({"order_by": ["i"]}, {"sample": None}):
+        assert found_kinds(df, **options) == ({"v": kind} if kind else {})
 
 
-def test_numbers_are_no_signal(spark):
-    df = spark.createDataFrame([(10,), (20,), (30,)], "score int")
-    assert detected(df, order_by=["score"]) == {}
+@pytest.mark.parametrize("matching, hit", [(25, True), (24, False)])
+def test_half_of_the_first_fifty_known_values_decides(spark, matching, hit):
+    values = [None] * 30 + ["kim@river.test"] * matching + ["none"] * (50 - matching) + ["lee@river.test"] * 100
+    assert found_kinds(column(spark, values), order_by=["i"]) == ({"v": "email"} if hit else {})
 
 
-def test_too_few_matches_are_ignored(spark):
-    df = spark.createDataFrame([(0, "a@x.com")] + [(i, "text") for i in range(1, 10)], "i int, note string")
-    assert detected(df, order_by=["i"]) == {}
-    assert detected(df, sample=None) == {}
+def test_nan_is_no_value(spark):
+    df = column(spark, [float("nan")] * 60 + [1.5], "double")
+    assert [r["kind"] for r in pii.pii_by_value(df, ["i"], columns=["v"]).collect()] == [None]
+    seen = pii.first_values(df, {"v": ~pii.missing(df, "v")}, ["i"], 50)
+    assert seen == {"v": ["1.5"]}
 
 
-@pytest.mark.parametrize("matching, hit", [(25, True), (24, False)])
-def test_half_of_the_first_fifty_known_values_decides(spark, matching, hit):
-    rows = [(i, None) for i in range(30)]
-    rows += [(100 + i, "b@y.org" if i < matching else "no") for i in range(50)]
-    rows += [(1000 + i, "c@z.net") for i in range(100)]
-    df = spark.createDataFrame(rows, "i int, note string")
-    assert detected(df, order_by=["i"]) == ({"note": "email"} if hit else {})
-
-
-def test_all_null_and_nested_columns_are_skipped(spark):
-    df = spark.createDataFrame([(1, None, [1])], "i int, note string, parts array<int>")
-    assert detected(df, order_by=["i"]) == {}
-
-
-@pytest.mark.parametrize(
-    "value, kind, masked",
-    [
-        ("hong@example.com", "email", "h***@example.com"),
-        ("no mail", "email", "***"),
-        ("@x.com", "email", "***@x.com"),
-        ("a@b@c.com", "email", "a***@b@c.com"),
-        ("010-1234-5678", "phone", "010-****-5678"),
-        ("12-34", "phone", "***"),
-        ("901231-1234567", "resident_id", "901231-*******"),
-        ("90123", "resident_id", "***"),
-        ("1234-5678-9012-3456", "card", "****-****-****-3456"),
-        ("123", "card", "***"),
-        ("홍길동", "name", "홍**"),
-        ("홍", "name", "홍*"),
-        ("", "name", "***"),
-        ("Seoul", "address", "***"),
-        (None, "name", None),
-    ],
-)
-def test_mask_one_value(spark, value, kind, masked):
-    df = spark.createDataFrame([(value,)], "v string")
-    assert df.select(mask_value("v", kind)).first()[0] == masked
-
-
-def masked_text(spark, text, **options):
-    return spark.createDataFrame([(text,)], "t string").select(mask_text("t", **options)).first()[0]
-
-
-def test_mask_values_inside_text(spark):
-    text = "담당자 이메일은 hong@example.com이고 연락처는 010-1234-5678입니다."
-    assert masked_text(spark, text) == "담당자 이메일은 h***@example.com이고 연락처는 010-****-5678입니다."
-
-
-def test_plain_text_is_untouched(spark):
-    text = "age: 고객 나이, income: 월 소득"
-    assert masked_text(spark, text) == text
-    assert masked_text(spark, None) is None
+def test_nested_columns_are_skipped(spark):
+    df = spark.createDataFrame([(1, ["ruth@lake.test"])], "i int, parts array<string>")
+    assert found_kinds(df, order_by=["i"]) == {}
+
+
+@pytest.mark.parametrize("kind, pairs", [
+    ("email", {"ruth@lake.test": "r***@lake.test", "lake.test": "***", "@lake.test": "***@lake.test", "r@u@lake.test": "r***@u@lake.test"}),
+    ("phone", {"070-5550-0199": "070-****-0199", "0199": "***"}),
+    ("resident_id", {"850412-2000001": "850412-*******", "85041": "***"}),
+    ("card", {"9000-1111-2222-7777": "****-****-****-7777", "77": "***"}),
+    ("name", {"Ruth": "R***", "R": "R*", "": "***", None: None}),
+    ("address", {"12 Hill Road": "***"}),
+])
+def test_masks_of_single_values(spark, kind, pairs):
+    df = column(spark, list(pairs))
+    assert [r[0] for r in df.orderBy("i").select(mask_value("v", kind)).collect()] == list(pairs.values())
+
+
+@pytest.mark.parametrize("text, masked, longest_first", [
+    ("ask ruth@lake.test or 070-5550-0199 today", "ask r***@lake.test or 070-****-0199 today", False),
+    ("room 12, floor 3, since 1987", "room 12, floor 3, since 1987", False),
+    ("9000-1111-2222-7777 paid", "****-****-****-7777 paid", True),
+    (None, None, False),
+])
+def test_masks_inside_text(spark, text, masked, longest_first):
+    df = column(spark, [text])
+    assert df.select(mask_text("v", longest_first=longest_first)).first()[0] == masked
 
 
 def test_order_of_masks_matters_for_long_numbers(spark):
-    assert masked_text(spark, "1020-3456-7890-1234") == "1020-****-7890-1234"
-    assert masked_text(spark, "1020-3456-7890-1234", longest_first=True) == "****-****-****-1234"
+    df = column(spark, ["1030-5555-0000-4444"])
+    assert df.select(mask_text("v")).first()[0] != df.select(mask_text("v", longest_first=True)).first()[0]
 
 
 def test_masked_labels_that_collide_add_up(spark):
-    dist = spark.createDataFrame([("ab@x.com", 3), ("ac@x.com", 4), ("yes", 5)], "label string, n bigint")
-    assert {tuple(r) for r in pii.mask_distribution(dist).collect()} == {("a***@x.com", 7), ("yes", 5)}
+    dist = spark.createDataFrame([("rita@sea.test", 3), ("rosa@sea.test", 4), ("other", 5)], "label string, n bigint")
+    assert {tuple(r) for r in pii.mask_distribution(dist).collect()} == {("r***@sea.test", 7), ("other", 5)}
 
 
-def test_mask_table_and_report(spark):
-    df = spark.createDataFrame([("홍길동", "a@x.com", 1)], "name string, email string, v int")
+def test_detected_columns_are_masked_and_reported(spark):
+    df = spark.createDataFrame([("Omar", "omar@hill.test", 1)], "name string, mail string, v int")
     found = pii.detect_pii(df, order_by=["v"])
-    assert pii.mask_table(df, found).first() == ("홍**", "a***@x.com", 1)
-    assert {r["label"] for r in pii.pii_report(found).collect()} == {"이름", "이메일"}
+    assert pii.mask_table(df, found).first() == ("O***", "o***@hill.test", 1)
+    assert {r["name"] for r in pii.pii_report(found).collect()} == {"name", "mail"}
 
 
 def test_masking_also_runs_on_a_stream(spark, tmp_path):
-    spark.createDataFrame([("call 010-1234-5678",)], "t string").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("dial 070-5550-0199",)], "t string").write.parquet(str(tmp_path / "in"))
     rows = spark.readStream.schema("t string").parquet(str(tmp_path / "in"))
     out = rows.select(mask_text(F.col("t")).alias("t"))
     query = out.writeStream.format("memory").queryName("masked").trigger(availableNow=True).start()
     query.awaitTermination(60)
-    assert spark.table("masked").first()["t"] == "call 010-****-5678"
+    assert spark.table("masked").first()["t"] == "dial 070-****-0199"

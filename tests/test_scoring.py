@@ -55,10 +55,11 @@ def test_imbalance(spark, dist, smote, balanced, level):
 
 
 def test_collinearity_lists_three_pairs(spark):
-    pairs = [("a", "b", 0.95), ("c", "d", 0.93), ("e", "f", 0.92), ("g", "h", 0.91)]
+    pairs = [(f"left{i}", f"right{i}", 1 - i / 100) for i in range(1, 6)]
     found = checks(spark, high_correlation_pairs=pairs)[0][diag.COLLINEARITY]
-    assert found == ("warning", "a~b(0.95), c~d(0.93), e~f(0.92) 외 1쌍")
-    assert checks(spark, high_correlation_pairs=pairs[:1])[0][diag.COLLINEARITY][1] == "a~b(0.95)"
+    shown = [f"left{i}~right{i}({1 - i / 100:.2f})" for i in range(1, 4)]
+    assert found == ("warning", ", ".join(shown) + " 외 2쌍")
+    assert checks(spark, high_correlation_pairs=pairs[:1])[0][diag.COLLINEARITY][1] == shown[0]
     assert diag.COLLINEARITY not in checks(spark, high_correlation_pairs=[])[0]
     assert diag.COLLINEARITY not in checks(spark)[0]
 
@@ -142,12 +143,12 @@ def test_metrics_by_hand(spark):
     assert regression_metrics(flat.filter("prediction = 2")).first()["r2"] == 1.0
 
 
-PRICES = {"small": (3.0, 15.0), "large": (5.0, 25.0)}
+PRICES = {"oak": (2.0, 7.0), "elm": (0.5, 1.25)}
 
 
 @pytest.mark.parametrize("model, tokens_in, tokens_out, cost", [
-    ("small", 1_000_000, 1_000_000, 18.0), ("large", 200_000, 100_000, 3.5), ("other", 10**6, 10**6, 0.0),
-    (None, 10**6, 10**6, 0.0), ("small", None, 0, 0.0),
+    ("oak", 3_000_000, 500_000, 9.5), ("elm", 40_000, 8_000, 0.03), ("pine", 9_000, 9_000, 0.0),
+    (None, 9_000, 9_000, 0.0), ("oak", None, 0, 0.0),
 ])
 def test_cost(spark, model, tokens_in, tokens_out, cost):
     usage = spark.createDataFrame([(model, tokens_in, tokens_out)], "model string, input_tokens bigint, output_tokens bigint")
