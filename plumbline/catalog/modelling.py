@@ -6,10 +6,10 @@ from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.catalog.registry import QUERIES, query, table
+from plumbline.catalog.registry import ORACLE, QUERIES, query, table
 from plumbline.operators import series, split
 from plumbline.operators.asof import asof_join
 from plumbline.operators.durable import materialize
@@ -18,6 +18,7 @@ from plumbline.operators.metrics import regression_metrics
 from plumbline.operators.oversample import smote
 from plumbline.plans.families import CANDIDATES, FAMILIES, Plan, candidates
 from plumbline.plans.fitting import fit, importance
+from plumbline.plans.improving import best_of
 from plumbline.plans.improving import improve as improve_plan
 from plumbline.plans.tuning import tune
 
@@ -204,7 +205,7 @@ def candidate_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def improve(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _parts(document_features(spark, sf_dir))
     plan = Plan("logistic_regression", "classification", "toxic", tuple(DOC_FEATURES), "doc_id")
-    runs = improve_plan(plan, train, test)
+    runs = improve_plan(plan, train, test, draws=2, folds=2)
     return runs.select(
         "session_id", "round", "family", "remedy", "ok", "accuracy", "f1", "score", "verdict",
         F.size("checks").alias("n_checks"),
@@ -256,3 +257,169 @@ def forecast_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = metrics.withColumn("n_train", F.lit(sizes["n_train"]))
     checks = check_rows(diagnose(run), [])
     return checks.select("level", "item", F.round("value", 6).alias("value"))
+
+
+ITEMS_TEST_SQL = """
+    i AS (SELECT l_orderkey * 16 + l_linenumber AS k, l_extendedprice AS y,
+                 ('0x' || substr(md5((l_orderkey * 16 + l_linenumber) || '42'), 1, 8))::UBIGINT / 4294967296.0 < 0.2 AS in_test
+          FROM lineitem)
+    """
+EVENTS_TEST_SQL = """
+    h AS (SELECT event_id AS k, ts, value AS y, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+    c AS (SELECT ts AS cut FROM h WHERE n > 7 QUALIFY row_number() OVER (ORDER BY ts, k) = count(*) OVER () - ceil(count(*) OVER () * 0.2)),
+    i AS (SELECT k, y, ts > (SELECT cut FROM c) AS in_test FROM h WHERE n > 7)
+    """
+
+
+def _families_sql(task: str, leave: tuple[str, ...] = ()) -> str:
+    return ", ".join(f"('{f}')" for f in FAMILIES[task] if f not in leave)
+
+
+def _fit_checks(task: str, prefix: str, better, leave: tuple[str, ...] = ()):
+    """One row per family: predictions per test row, right labels, and what `better` tells."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = []
+        for family in FAMILIES[task]:
+            if family in leave:
+                continue
+            preds = QUERIES[f"{prefix}_{family}"](spark, sf_dir)
+            key = preds.columns[0]
+            parts.append(
+                preds.agg(
+                    F.lit(family).alias("family"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"),
+                    F.round(F.sum(F.col("label").cast("double")), 2).alias("labels"),
+                    F.count_if(F.col("prediction").isNull()).alias("n_missing"), *better,
+                )
+            )
+        return reduce(DataFrame.unionByName, parts)
+
+    return run
+
+
+INSIDE = [F.bool_and(F.col("prediction").isin(0, 1)).alias("inside")]
+# a mean predicts with the variance as its error; the prices hardly depend on the features
+NEAR_MEAN = [(F.avg((F.col("label") - F.col("prediction")) ** 2) < 1.25 * F.var_pop("label")).alias("near_mean")]
+FINITE = [F.bool_and(F.abs("prediction") < 1e9).alias("finite")]
+
+
+@query(
+    f"""
+    WITH {DOCS_SQL}, t AS (SELECT count(*) AS n, CAST(sum(quality) AS DOUBLE) AS labels FROM d WHERE in_test)
+    SELECT family, n AS n_rows, n AS n_keys, labels, CAST(0 AS BIGINT) AS n_missing, TRUE AS inside
+    FROM t, (VALUES {_families_sql('classification')}) f(family)
+    """
+)
+def fit_checks_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit_checks("classification", "fit", INSIDE)(spark, sf_dir)
+
+
+@query(
+    f"""
+    WITH {ITEMS_TEST_SQL}, t AS (SELECT count(*) AS n, count(DISTINCT k) AS n_keys, round(sum(y), 2) AS labels FROM i WHERE in_test)
+    SELECT family, n AS n_rows, n_keys, labels, CAST(0 AS BIGINT) AS n_missing, TRUE AS near_mean
+    FROM t, (VALUES {_families_sql('regression')}) f(family)
+    """
+)
+def fit_checks_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit_checks("regression", "fit_regression", NEAR_MEAN)(spark, sf_dir)
+
+
+@query(
+    f"""
+    WITH {EVENTS_TEST_SQL}, t AS (SELECT count(*) AS n, count(DISTINCT k) AS n_keys, round(sum(y), 2) AS labels FROM i WHERE in_test)
+    SELECT family, n AS n_rows, n_keys, labels, CAST(0 AS BIGINT) AS n_missing, TRUE AS finite
+    FROM t, (VALUES {_families_sql('timeseries')}) f(family)
+    """
+)
+def fit_checks_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fit_checks("timeseries", "fit_timeseries", FINITE)(spark, sf_dir)
+
+
+NB_TERM = " + ".join(f"ln(v_{c}) + (d.{c} - m_{c}) ** 2 / v_{c}" for c in DOC_FEATURES)
+ORACLE["fit_naive_bayes"] = f"""
+    WITH {DOCS_SQL}, tr AS (SELECT * FROM d WHERE NOT in_test),
+         e AS (SELECT 1e-9 * greatest({', '.join(f'var_pop({c})' for c in DOC_FEATURES)}) AS eps FROM tr),
+         g AS (SELECT quality, count(*) AS n, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) + any_value(eps) AS v_{c}' for c in DOC_FEATURES)}
+               FROM tr, e GROUP BY quality),
+         s AS (SELECT d.doc_id, d.quality AS label, g.quality AS c, ln(n) - 0.5 * ({NB_TERM}) AS score
+               FROM d, g WHERE d.in_test)
+    SELECT doc_id, any_value(label) AS label, arg_max(c, score) AS prediction FROM s GROUP BY doc_id
+    """
+
+
+@query("SELECT 'decision_tree' AS family, CAST(20 AS BIGINT) AS n_draws, CAST(20 AS BIGINT) AS n_settings, "
+       "CAST(1 AS BIGINT) AS n_best, TRUE AS best_is_highest, TRUE AS in_range")
+def tune_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The random search draws 20 different settings and marks the one with the highest score."""
+    found = QUERIES["tune_decision_tree"](spark, sf_dir)
+    return found.agg(
+        F.lit("decision_tree").alias("family"), F.count(F.lit(1)).alias("n_draws"), F.count_distinct("params").alias("n_settings"),
+        F.count_if("best").alias("n_best"), (F.max("score") == F.max(F.when(F.col("best"), F.col("score")))).alias("best_is_highest"),
+        F.bool_and(F.col("score").between(0, 1)).alias("in_range"),
+    )
+
+
+@query(
+    f"SELECT unnest({DOC_FEATURES}) AS feature, 1.0::DOUBLE AS total, TRUE AS not_negative"
+)
+def importance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances name every feature, are not negative and sum to one."""
+    every = Window.partitionBy()
+    total = F.round(F.sum("importance").over(every), 9)
+    return QUERIES["feature_importance"](spark, sf_dir).select("feature", total.alias("total"), (F.col("importance") >= 0).alias("not_negative"))
+
+
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"({i + 1}, '{f}', TRUE)" for i, f in enumerate(CANDIDATES["classification"]))
+    + ") t(rank, family, in_range)"
+)
+def candidate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three candidates of different families, each with a share of right answers."""
+    plans = QUERIES["candidate_plans"](spark, sf_dir)
+    return plans.select("rank", "family", F.col("accuracy").between(0, 1).alias("in_range"))
+
+
+@query(
+    f"""
+    WITH {DOCS_SQL}, c AS (SELECT toxic, count(*) AS n FROM d WHERE NOT in_test GROUP BY 1), m AS (SELECT max(n) AS most FROM c)
+    SELECT toxic, most - n AS n_synthetic, least(n, most - n) AS n_origins, TRUE AS in_bounds, CAST(1 AS BIGINT) AS spread FROM c, m WHERE n < most
+    """
+)
+def smote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic rows per class, their origins, and that they lie between rows of their class.
+
+    Every origin is used equally often, give or take one.
+    """
+    train, _ = _parts(document_features(spark, sf_dir))
+    made = smote(train, DOC_FEATURES, "toxic", "doc_id").filter("synthetic")
+    limits = train.groupBy("toxic").agg(
+        *[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in DOC_FEATURES for n, f in (("low", F.min), ("high", F.max))]
+    )
+    inside = reduce(
+        lambda a, b: a & b, [F.col(c).between(F.col(f"low_{c}") - 1e-9, F.col(f"high_{c}") + 1e-9) for c in DOC_FEATURES]
+    )
+    origins = train.select(F.col("doc_id").alias("origin"), F.lit(True).alias("known"))
+    rows = made.join(limits, "toxic").join(origins, "origin", "left").withColumn("ok", inside & F.col("known"))
+    per = rows.groupBy("toxic", "origin").agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok"))
+    return per.groupBy("toxic").agg(
+        F.sum("n").alias("n_synthetic"), F.count(F.lit(1)).alias("n_origins"), F.bool_and("ok").alias("in_bounds"),
+        F.greatest(F.max("n") - F.min("n"), F.lit(1)).cast("bigint").alias("spread"),
+    )
+
+
+@query("SELECT CAST(1 AS INTEGER) AS first_round, 'logistic_regression' AS first_family, TRUE AS gapless, TRUE AS at_most_three, "
+       "TRUE AS tuned, TRUE AS best_is_highest")
+def improve_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds follow each other, the first is the plan's family, each was tuned, and the best has the highest score."""
+    train, test = _parts(document_features(spark, sf_dir))
+    plan = Plan("logistic_regression", "classification", "toxic", tuple(DOC_FEATURES), "doc_id")
+    runs = materialize(improve_plan(plan, train, test, draws=2, folds=2))
+    best = best_of(runs).first()  # one session, so one row
+    return runs.agg(
+        F.min("round").alias("first_round"), F.min_by("family", "round").alias("first_family"),
+        (F.max("round") == F.count(F.lit(1))).alias("gapless"), (F.max("round") <= 3).alias("at_most_three"),
+        F.bool_and((F.size("best_params") > 0) & F.col("cv_score").between(0, 1)).alias("tuned"),
+        (F.max("score") == F.lit(best["score"])).alias("best_is_highest"),
+    )

@@ -1,8 +1,9 @@
 """Rule-based trust checks on run results.
 
 A run row may hold n_train, n_test, accuracy, r2, class_distribution (map),
-high_correlation_pairs (array of a, b, corr), feature_importance (map) and the
-mitigation flags smote and balanced. Missing columns count as NULL.
+high_correlation_pairs (array of a, b, corr), feature_importance (map), preprocessing
+(array of steps) and the mitigation flags smote and balanced; a step that names smote or
+balanced counts like its flag. Missing columns count as NULL.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ RUN_COLUMNS = {
     "feature_importance": "map<string,double>",
     "smote": "boolean",
     "balanced": "boolean",
+    "preprocessing": "array<string>",
 }
 
 
@@ -72,8 +74,12 @@ def _accuracy() -> Column:
 def _imbalance() -> Column:
     counts = F.map_values("class_distribution")
     ratio = F.array_max(counts) / F.greatest(F.array_min(counts), F.lit(1))
-    smote = F.coalesce("smote", F.lit(False))
-    balanced = F.coalesce("balanced", F.lit(False))
+
+    def applied(word: str) -> Column:
+        named = F.exists("preprocessing", lambda step: F.contains(F.lower(step), F.lit(word)))
+        return F.coalesce(word, F.lit(False)) | F.coalesce(named, F.lit(False))
+
+    smote, balanced = applied("smote"), applied("balanced")
     severe = (
         F.when(smote, _check("ok", IMBALANCE, ratio))
         .when(balanced, _check("warning", IMBALANCE, ratio))

@@ -25,15 +25,17 @@ def smote(
     key: str,
     k: int = NEIGHBORS,
     seed: int = 42,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """Raise every class to the size of the largest one.
 
     Adds `synthetic` and `origin`, the key of the row a synthetic row was made from;
-    synthetic rows have no key. All choices are hashes of key and seed.
+    synthetic rows have no key. All choices are hashes of key and seed. More than
+    `max_classes` classes are refused.
     """
-    sizes = train.groupBy(q(target)).count().limit(MAX_CLASSES + 1).collect()
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes")
+    sizes = train.groupBy(q(target)).count().limit(max_classes + 1).collect()
+    if len(sizes) > max_classes:
+        raise ValueError(f"{target!r} has more than {max_classes} classes")
     counts = {r[0]: r[1] for r in sizes}
     most = max(counts.values())
     real = train.withColumns(

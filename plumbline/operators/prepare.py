@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,13 +57,16 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.dropna("any")
 
 
-def prepare(df: DataFrame, target: str, max_categories: int = MAX_CATEGORIES) -> DataFrame:
+def prepare(
+    df: DataFrame, target: str, max_categories: int = MAX_CATEGORIES, numeric: tuple[str, ...] = ()
+) -> DataFrame:
     """Complete numeric table for model fitting.
 
-    Metadata columns go, times count as text, text with many values goes, the rest
-    is encoded; finally rows with missing values are dropped.
+    Metadata columns go, the `numeric` text columns are coerced to numbers, times count
+    as text, text with many values goes, the rest is encoded; finally rows with missing
+    values are dropped.
     """
-    df = drop_internal(df)
+    df = coerce_numeric(drop_internal(df), list(numeric))
     times = (T.DateType, T.TimestampType, T.TimestampNTZType)
     plain = (T.NumericType, T.StringType, T.BooleanType)
     as_text = {f.name: q(f.name).cast("string") for f in df.schema if isinstance(f.dataType, times)}
@@ -138,6 +142,30 @@ def drop_collinear(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.drop(*{max(r["a"], r["b"], key=at.__getitem__) for r in listed})
 
 
+def collinear_components(df: DataFrame, pairs: DataFrame, share: float = 0.95) -> DataFrame:
+    """Replace the columns of highly correlated pairs by principal components `pca_1`, ….
+
+    The columns are scaled first; the fewest components that hold `share` of their
+    variance are kept. Rows with a missing value there have NULL components. Only the
+    covariance of the listed columns is collected.
+    """
+    listed = pairs.select("a", "b").collect()  # at most the 10 pairs of the report
+    cols = [c for c in df.columns if any(c in (r["a"], r["b"]) for r in listed)]
+    if not cols:
+        return df
+    scaled = scale(df.select(*[q(c).cast("double").alias(c) for c in cols]).dropna(), cols)
+    vectors = VectorAssembler(inputCols=cols, outputCol="v").transform(scaled)
+    model = PCA(k=len(cols), inputCol="v", outputCol="p").fit(vectors)
+    held = model.explainedVariance.toArray().cumsum()
+    k = min(len(cols), int((held < share).sum()) + 1)
+    means = df.select(*[q(c).cast("double").alias(c) for c in cols]).dropna()
+    stats = means.agg(*[f(q(c)) for c in cols for f in (F.avg, F.stddev_pop)]).first()
+    parts = {c: (q(c).cast("double") - F.lit(stats[2 * i])) / F.lit(stats[2 * i + 1] or 1.0) for i, c in enumerate(cols)}
+    weights = model.pc.toArray()
+    new = {f"pca_{j + 1}": sum(parts[c] * float(weights[i, j]) for i, c in enumerate(cols)) for j in range(k)}
+    return df.withColumns(new).drop(*cols)
+
+
 def feature_columns(df: DataFrame, target: str, exclude: tuple[str, ...] = ()) -> list[str]:
     """Numeric feature columns of a prepared table."""
     return [c for c in numeric_columns(df) if c != target and c not in exclude]

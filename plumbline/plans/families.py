@@ -91,7 +91,7 @@ def estimator(
         }
     else:
         makers = {
-            "linear_regression": (reg.LinearRegression, {"solver": "normal"}),
+            "linear_regression": (reg.LinearRegression, {}),
             "ridge": (reg.LinearRegression, {"regParam": 1.0, "elasticNetParam": 0.0}),
             "lasso": (reg.LinearRegression, {"regParam": 1.0, "elasticNetParam": 1.0}),
             "elasticnet": (reg.LinearRegression, {"regParam": 1.0, "elasticNetParam": 0.5}),

@@ -47,11 +47,11 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(df)
 
 
-def class_labels(train: DataFrame, target: str) -> list:
-    """The classes in sorted order; more than MAX_CLASSES is no classification."""
-    rows = train.select(q(target)).distinct().orderBy(q(target)).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes")
+def class_labels(train: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> list:
+    """The classes in sorted order; more than `max_classes` is no classification."""
+    rows = train.select(q(target)).distinct().orderBy(q(target)).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"{target!r} has more than {max_classes} classes")
     return [r[0] for r in rows]
 
 
@@ -71,8 +71,10 @@ def fit(plan: Plan, train: DataFrame, weight: str | None = None) -> Fitted:
     usable = with_label(assembled(train, list(plan.features)), plan, labels)
     # several passes follow; what does not fit in memory goes to disk
     usable = usable.select("features", "label", *([weight] if weight else [])).persist()
-    model = estimator(plan.family, plan.task, len(labels), weight, **plan.params).fit(usable)
-    usable.unpersist()
+    try:
+        model = estimator(plan.family, plan.task, len(labels), weight, **plan.params).fit(usable)
+    finally:
+        usable.unpersist()
     return Fitted(plan, model, labels, train)
 
 

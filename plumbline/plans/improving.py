@@ -1,12 +1,12 @@
-"""Fit, diagnose, remedy and fit again, for at most three rounds."""
+"""Fit, diagnose, remedy and fit again, for a few rounds."""
 
 from __future__ import annotations
 
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from plumbline.operators import prepare as prep
 from plumbline.operators.diagnose import (
@@ -27,11 +27,13 @@ from plumbline.operators.oversample import smote
 from plumbline.operators.profile import class_distribution, high_corr_pairs, q
 from plumbline.plans.families import CANDIDATES, Plan
 from plumbline.plans.fitting import Fitted, fit, importance
+from plumbline.plans.tuning import DRAWS, FOLDS, tune
 
+FIT_ERRORS = (ValueError, AnalysisException, IllegalArgumentException)  # what data can cause
 WEAK = {ACCURACY, ACCURACY_TOO_LOW, R2, R2_NEGATIVE, R2_TOO_LOW}
 RUN_SCHEMA = (
-    "session_id string, round int, task string, family string, remedy string, ok boolean, "
-    "accuracy double, f1 double, rmse double, mae double, r2 double, n_train bigint, n_test bigint, "
+    "session_id string, round int, task string, family string, remedy string, ok boolean, error string, "
+    "derived_features array<string>, best_params map<string,string>, cv_score double, accuracy double, f1 double, rmse double, mae double, r2 double, n_train bigint, n_test bigint, "
     + ", ".join(
         f"{c} {kind}"
         for c, kind in RUN_COLUMNS.items()
@@ -50,9 +52,13 @@ def evaluate(fitted: Fitted, test: DataFrame) -> dict:
 
 def run_row(
     plan: Plan, train: DataFrame, test: DataFrame, weight: str | None = None,
-    smoted: bool = False, real: DataFrame | None = None,
+    real: DataFrame | None = None,
 ) -> dict:
-    """Fit once and describe the run as the diagnosis wants it."""
+    """Fit once and describe the run as the diagnosis wants it.
+
+    `train` may hold synthetic rows, `real` does not. Correlations are those of all
+    real rows, training and test.
+    """
     real = train if real is None else real
     fitted = fit(plan, train, weight)
     row = {**evaluate(fitted, test), "n_train": real.count(), "ok": True}
@@ -60,60 +66,81 @@ def run_row(
     row["feature_importance"] = (
         {r["feature"]: r["importance"] for r in found.collect()} if found is not None else None
     )
-    features = real.select(*[q(c) for c in plan.features])
+    every = real.unionByName(test, allowMissingColumns=True)
+    features = every.select(*[q(c) for c in plan.features])
     row["high_correlation_pairs"] = [tuple(r) for r in high_corr_pairs(features).collect()]
     if plan.task == "classification":
-        dist = class_distribution(real.unionByName(test, allowMissingColumns=True), plan.target)
+        dist = class_distribution(every, plan.target)
         row["class_distribution"] = {r["label"]: r["n"] for r in dist.collect()}  # one per class
-    return {**row, "smote": smoted, "balanced": weight is not None}
+    return row
 
 
 def improve(
-    plan: Plan, train: DataFrame, test: DataFrame, session: str = "session", rounds: int = MAX_ROUNDS
-) -> DataFrame:
-    """Diagnosed runs, one row per round, until trusted or at most three rounds.
-
-    Each round answers the checks of the one before: class weights, then synthetic
-    rows for imbalance, dropping collinear columns, a stronger family for weak scores.
+    plan: Plan, train: DataFrame, test: DataFrame, session: str = "session", rounds: int = MAX_ROUNDS,
+    draws: int = DRAWS, folds: int = FOLDS, preprocessing: tuple[str, ...] = (), derived: tuple[str, ...] = (),
+) -> DataFrame:
+    """Diagnosed runs, one row per round, until trusted or at most `rounds` rounds.
+
+    Every round first searches settings (`draws` of them, 0 for none; not for knn). Each
+    round answers the checks of the one before: class weights, then synthetic rows for
+    imbalance, dropping collinear columns, a stronger family for weak scores. What was
+    done is in `preprocessing`; the mitigation checks read it there. A round whose data
+    do not allow a fit is a failed run with its message; failures of the engine are not
+    caught.
     """
     spark = train.sparkSession
-    tables, remedy, weight, smoted = [], "none", None, False
-    names = spark.createDataFrame([], RUN_SCHEMA).columns
-    fitted_on, tested = train, test
-    for i in range(1, rounds + 1):
-        base = {"session_id": session, "round": i, "task": plan.task, "family": plan.family}
-        try:
-            row = run_row(plan, fitted_on, tested, weight, smoted, train)
-        except Exception as error:  # a failed round is a result too
-            row = {"ok": False, "remedy": f"failed: {type(error).__name__}"}
-        values = {"remedy": remedy, **base, **row}
-        run = spark.createDataFrame([tuple(values.get(c) for c in names)], RUN_SCHEMA)
-        run = run_score(diagnose(run))
-        tables.append(run)
-        seen = run.select("ok", "verdict", "checks").first()
-        succeeded = any(t.first()["ok"] for t in tables[:-1])
-        if seen["verdict"] == TRUSTED and seen["ok"] or (not seen["ok"] and succeeded):
-            break
-        failed = {c["item"] for c in seen["checks"] if c["level"] != "ok"}
-        steps = []
-        if IMBALANCE in failed and plan.task == "classification":
-            if weight is None and plan.family != "knn":
-                weight, fitted_on = "__weight", prep.class_weights(train, plan.target, "__weight")
-                steps.append("class weights")
-            else:
-                weight, smoted = None, True
-                fitted_on = smote(train, list(plan.features), plan.target, plan.key)
-                steps.append("synthetic rows")
-        if COLLINEARITY in failed:
-            columns = train.select(*[q(c) for c in plan.features])
-            kept = prep.drop_collinear(columns, high_corr_pairs(columns)).columns
-            plan = replace(plan, features=tuple(c for c in plan.features if c in kept))
-            steps.append("drop collinear")
-        if failed & WEAK or not seen["ok"]:
-            plan = replace(plan, family=_stronger(plan), params={})
-            steps.append("stronger family")
-        remedy = ", ".join(steps) or "none"
-    return reduce(DataFrame.unionByName, tables)
+    train, test = train.persist(), test.persist()  # read by every round, search and count
+    try:
+        tables, remedy, weight, smoted = [], "none", None, False
+        names = spark.createDataFrame([], RUN_SCHEMA).columns
+        fitted_on, steps_done = train, list(preprocessing)
+        succeeded = False
+        for i in range(1, rounds + 1):
+            values = {
+                "session_id": session, "round": i, "task": plan.task, "family": plan.family, "remedy": remedy,
+                "preprocessing": steps_done, "derived_features": list(derived), "smote": smoted, "balanced": weight is not None,
+            }
+            try:
+                if draws and plan.family != "knn":
+                    plan, searched = tune(plan, train, draws, folds)
+                    values["cv_score"] = searched.filter("best").first()["score"]
+                    values["best_params"] = {k: str(v) for k, v in plan.params.items()}
+                values.update(run_row(plan, fitted_on, test, weight, train))
+            except FIT_ERRORS as error:  # a failed round is a result too
+                values.update(ok=False, error=f"{type(error).__name__}: {error}"[:500])
+            run = spark.createDataFrame([tuple(values.get(c) for c in names)], RUN_SCHEMA)
+            run = run_score(diagnose(run))
+            tables.append(run)
+            seen = run.select("ok", "verdict", "checks").first()
+            if seen["verdict"] == TRUSTED and seen["ok"] or (not seen["ok"] and succeeded):
+                break
+            succeeded = succeeded or seen["ok"]
+            failed = {c["item"] for c in seen["checks"] if c["level"] != "ok"}
+            steps = []
+            if IMBALANCE in failed and plan.task == "classification":
+                if weight is None and plan.family != "knn":
+                    weight, fitted_on = "__weight", prep.class_weights(train, plan.target, "__weight")
+                    steps.append("class weights")
+                    steps_done = [*steps_done, "balanced class weights"]
+                else:
+                    weight, smoted = None, True
+                    fitted_on = smote(train, list(plan.features), plan.target, plan.key)
+                    steps.append("synthetic rows")
+                    steps_done = [*steps_done, "SMOTE"]
+            if COLLINEARITY in failed:
+                columns = train.unionByName(test).select(*[q(c) for c in plan.features])
+                kept = prep.drop_collinear(columns, high_corr_pairs(columns)).columns
+                plan = replace(plan, features=tuple(c for c in plan.features if c in kept))
+                steps.append("drop collinear")
+                steps_done = [*steps_done, "collinear columns dropped"]
+            if failed & WEAK or not seen["ok"]:
+                plan = replace(plan, family=_stronger(plan), params={})
+                steps.append("stronger family")
+            remedy = ", ".join(steps) or "none"
+        return reduce(DataFrame.unionByName, tables)
+    finally:
+        train.unpersist()
+        test.unpersist()
 
 
 def _stronger(plan: Plan) -> str:

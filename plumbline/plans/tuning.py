@@ -67,8 +67,10 @@ def tune(
             estimator=model, estimatorParamMaps=maps, evaluator=_evaluator(plan.task),
             numFolds=folds, foldCol="fold", parallelism=parallelism,
         )
-        scores = [float(x) for x in search.fit(rows).avgMetrics]
-        rows.unpersist()
+        try:
+            scores = [float(x) for x in search.fit(rows).avgMetrics]
+        finally:
+            rows.unpersist()
     best = max(range(len(settings)), key=lambda i: scores[i])
     table = spark.createDataFrame(
         [(i, str(s), scores[i], i == best) for i, s in enumerate(settings)], RESULT
@@ -90,10 +92,12 @@ def forward_folds(df: DataFrame, time: str, folds: int = FOLDS) -> DataFrame:
 def _forward_scores(plan: Plan, rows: DataFrame, settings: list[dict], folds: int) -> list[float]:
     rows = forward_folds(rows, plan.time, folds).select("features", "label", "fold").persist()
     totals = [0.0] * len(settings)
-    for i in range(1, folds + 1):
-        past, next_part = rows.filter(F.col("fold") < i), rows.filter(F.col("fold") == i)
-        for j, s in enumerate(settings):
-            model = estimator(plan.family, plan.task, **s).fit(past)
-            totals[j] += _evaluator(plan.task).evaluate(model.transform(next_part))
-    rows.unpersist()
+    try:
+        for i in range(1, folds + 1):
+            past, next_part = rows.filter(F.col("fold") < i), rows.filter(F.col("fold") == i)
+            for j, s in enumerate(settings):
+                model = estimator(plan.family, plan.task, **s).fit(past)
+                totals[j] += _evaluator(plan.task).evaluate(model.transform(next_part))
+    finally:
+        rows.unpersist()
     return [t / folds for t in totals]

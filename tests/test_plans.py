@@ -3,8 +3,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import prepare as prep
+from plumbline.operators.diagnose import IMBALANCE, diagnose
 from plumbline.operators.neighbors import nearest
 from plumbline.operators.oversample import smote
+from plumbline.operators.profile import high_corr_pairs
 from plumbline.operators.split import split_random
 from plumbline.plans.families import CANDIDATES, FAMILIES, Plan, candidates, estimator
 from plumbline.plans.fitting import fit, importance
@@ -126,10 +129,34 @@ def test_forward_folds_never_look_ahead(spark):
 
 def test_improvement_loop(spark):
     train, test = parts(points(spark, 700))
-    good = improve(Plan("decision_tree", "classification", "y", ("a", "b"), "id"), train, test)
+    good = improve(Plan("decision_tree", "classification", "y", ("a", "b"), "id"), train, test, draws=2, folds=2, preprocessing=("scaled",))
+    row = good.first()
+    assert row["cv_score"] > 0.5 and set(row["best_params"]) == {"maxDepth", "minInstancesPerNode"} and row["preprocessing"][0] == "scaled"
     assert 1 <= good.count() <= 3
     best = best_of(good).first()
     assert best["score"] == good.agg(F.max("score")).first()[0]
-    missing = improve(Plan("decision_tree", "classification", "y", ("none",), "id"), train, test)
+    missing = improve(Plan("decision_tree", "classification", "y", ("none",), "id"), train, test, draws=0)
     assert [r["ok"] for r in missing.collect()] == [False] * 3
+    assert all("none" in r["error"] for r in missing.collect())
     assert best_of(missing).count() == 0
+
+
+def test_collinear_columns_become_components(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=300)
+    frame = pd.DataFrame({"a": a, "b": 2 * a + 0.01 * rng.normal(size=300) + 5, "c": rng.normal(size=300)})
+    df = spark.createDataFrame(frame)
+    got = prep.collinear_components(df, high_corr_pairs(df))
+    assert got.columns == ["c", "pca_1"]
+    first = np.array([r["pca_1"] for r in got.orderBy("c").collect()])
+    assert abs(np.corrcoef(first, frame.sort_values("c")["a"])[0, 1]) > 0.999
+    assert abs(first.mean()) < 1e-9
+    assert prep.collinear_components(df.select("c"), high_corr_pairs(df.select("c"))).columns == ["c"]
+
+
+def test_named_steps_count_as_mitigation(spark):
+    run = {"n_train": 500, "n_test": 100, "class_distribution": {"a": 500, "b": 20}}
+    for steps, level in ((["SMOTE"], "ok"), (["balanced class weights"], "warning"), (["scaled"], "critical"), (None, "critical")):
+        row = spark.createDataFrame([(500, 100, run["class_distribution"], steps)], "n_train int, n_test int, class_distribution map<string,bigint>, preprocessing array<string>")
+        found = {c["item"]: c["level"] for c in diagnose(row).first()["checks"]}
+        assert found[IMBALANCE] == level
