@@ -27,14 +27,20 @@ CUT_ROWS = 20
 DIRECTIONS = ("backward", "forward", "nearest")
 
 
-def prepare_time(df: DataFrame, col: str, side: str = "table", fmt: str | None = None) -> DataFrame:
-    """Parse the time column, drop rows without a time, refuse an empty result."""
+def prepare_time(
+    df: DataFrame, col: str, side: str = "table", fmt: str | None = None
+) -> tuple[DataFrame, int]:
+    """Parse the time column, drop rows without a time, refuse an empty result.
+
+    Also returns the number of rows, which tells apart all the rest that depends on it.
+    """
     if col not in df.columns:
         raise ValueError(f"{side}: no column {col!r} in {df.columns[:10]}")
     timed = df.withColumn(col, as_time(df, col, fmt)).dropna(subset=[col])
-    if timed.isEmpty():
+    n = timed.select(f"`{col}`").count()
+    if not n:
         raise ValueError(f"{side}: no row of {col!r} holds a valid time")
-    return timed
+    return timed, n
 
 
 def asof_join(
@@ -59,12 +65,13 @@ def asof_join(
     format of text times.
     """
     by = list(by or [])
-    left = prepare_time(left, left_time, "left", fmt)
-    right = prepare_time(right, right_time, "right", fmt)
+    left, n_left = prepare_time(left, left_time, "left", fmt)
+    right, n_right = prepare_time(right, right_time, "right", fmt)
+    buckets = math.ceil((n_left + n_right) / bucket_rows)
     matches, payload = _matches(
-        left, right, left_time, right_time, direction, tolerance_seconds, by, tiebreak, bucket_rows
+        left, right, left_time, right_time, direction, tolerance_seconds, by, tiebreak, buckets, n_left + n_right
     )
-    hot = skew.hot_keys(left, [*by, left_time], hot_rows)
+    hot = skew.hot_keys(left, [*by, left_time], hot_rows, n_left)
     joined = skew.lookup_join(left, matches, [*by, left_time], "left", hot)
     return _with_payload(joined, left.columns, payload)
 
@@ -90,12 +97,14 @@ def asof_chain(
     for i, df in enumerate(tables):
         if time_col not in df.columns:
             raise ValueError(f"table {i + 1} has no {time_col!r}; its columns: {df.columns[:10]}")
-    result = left = prepare_time(tables[0], time_col, "table 1", fmt)
-    hot = skew.hot_keys(left, [time_col], hot_rows)
+    left, n_left = prepare_time(tables[0], time_col, "table 1", fmt)
+    result, hot = left, skew.hot_keys(left, [time_col], hot_rows, n_left)
     for i, right in enumerate(tables[1:], start=2):
-        right = prepare_time(right, time_col, f"table {i}", fmt)
+        right, n_right = prepare_time(right, time_col, f"table {i}", fmt)
+        total = n_left + n_right
+        buckets = math.ceil(total / bucket_rows)
         matches, payload = _matches(
-            left, right, time_col, time_col, direction, tolerance_seconds, [], tiebreak, bucket_rows
+            left, right, time_col, time_col, direction, tolerance_seconds, [], tiebreak, buckets, total
         )
         joined = skew.lookup_join(result, matches, [time_col], "left", hot)
         result = _with_payload(joined, result.columns, payload)
@@ -111,7 +120,8 @@ def _matches(
     tolerance_seconds: float | None,
     by: list[str],
     tiebreak: list[str] | None,
-    bucket_rows: int,
+    buckets: int,
+    total: int,
 ) -> tuple[DataFrame, list[str]]:
     """One row per left (key, time) with the matched right row as struct `__m`."""
     if direction not in DIRECTIONS:
@@ -135,7 +145,7 @@ def _matches(
     instants = asked.unionByName(found).groupBy(*by, "__t").agg(
         F.max(F.col("__p").isNull()).alias("__asked"), *[p.alias(c) for c, p in picks.items()]
     )
-    instants, buckets = _bucketed(instants, left, right, left_time, right_time, bucket_rows)
+    instants, buckets = _bucketed(instants, left, right, left_time, right_time, buckets, total)
     seen = _nearest_seen(instants, by, buckets, list(picks)).filter("__asked")
 
     gaps = {
@@ -165,11 +175,11 @@ def _bucketed(
     right: DataFrame,
     left_time: str,
     right_time: str,
-    bucket_rows: int,
+    wanted: int,
+    total: int,
 ) -> tuple[DataFrame, int]:
-    """Number time buckets of about `bucket_rows` rows; one bucket needs no cuts."""
-    total = left.count() + right.count()
-    wanted = min(MAX_BUCKETS, math.ceil(total / bucket_rows))
+    """Number time buckets of about equal size; one bucket needs no cuts."""
+    wanted = min(MAX_BUCKETS, wanted)
     if wanted <= 1:
         return instants.withColumn("__b", F.lit(0)), 1
     at = micros("__t").cast("double")

@@ -36,17 +36,19 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
     return joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
+def hot_keys(
+    df: DataFrame, keys: list[str], hot_rows: int | None = None, total: int | None = None
+) -> DataFrame | None:
     """Keys too big for one task with the number of slices each needs, or None.
 
-    Costs one row count and, when the table is large enough to hold a hot key at all, a
+    Costs one row count, unless `total` gives it, and, when the table is large enough to hold a hot key at all, a
     count per key; in large tables a sketch, which shuffles next to nothing, first finds
     the likely keys. `hot_rows=0` skips the check, for keys known to be spread evenly.
     """
     if hot_rows == 0:
         return None
     hot_rows = hot_rows or HOT_ROWS
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= hot_rows:
         return None
     named = [F.col(f"`{k}`") for k in keys]

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import skew
 from plumbline.operators.asof import DIRECTIONS, asof_chain, asof_join
 from plumbline.operators.combine import combine, concat_tables, join_tables
 
@@ -156,3 +157,43 @@ def test_combine_checks_its_parameters(spark):
             combine([a, b], strategy, **params)
     with pytest.raises(ValueError):
         combine([])
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+@pytest.mark.parametrize("max_hot", [skew.MAX_HOT, 1])
+def test_hot_keys_change_nothing(spark, monkeypatch, parts, max_hot):
+    """A low floor, and a list of hot keys that is broadcast or joined by shuffle."""
+    monkeypatch.setattr(skew, "MAX_HOT", max_hot)
+    left = pd.DataFrame({"k": [1] * 40 + [2] * 30 + list(range(3, 20)), "v": range(87)})
+    right = pd.DataFrame({"k": [1] * 7 + [2, 2, 25, 3], "w": range(11)})
+    frames = [spark.createDataFrame(f).repartition(parts) for f in (left, right)]
+    got = join_tables(frames, "k", hot_rows=5).toPandas()
+    want = left.merge(right, on="k", how="outer")
+    rows = lambda f: sorted(map(str, f[["k", "v", "w"]].astype(float).itertuples(index=False)))
+    assert rows(got) == rows(want)
+
+
+def test_the_floor_does_not_grow_with_the_table(spark):
+    keys = F.when(F.col("id") < 50, 0).otherwise(F.col("id"))
+    for n in (1_000, 200_000):
+        hot = skew.hot_keys(spark.range(n).withColumn("k", keys), ["k"], 40)
+        assert [tuple(r) for r in hot.collect()] == [(0, 2)]
+    assert skew.hot_keys(spark.range(1_000).withColumn("k", keys), ["k"], 60) is None
+
+
+def test_hot_keys_are_split_in_the_plan(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)], "k int, v int")
+    hot = skew.hot_keys(left, ["k"], 10)
+    joined = skew.lookup_join(left, spark.createDataFrame([(1, "a")], "k int, x string"), ["k"], "left", hot)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert skew.SLICE in plan and "strategy=broadcast" in plan
+    assert joined.count() == 50
+
+
+def test_asof_counts_each_side_once(spark):
+    left, right = frames(5)
+    group = "asof"
+    spark.sparkContext.setJobGroup(group, group)
+    asof_join(side(spark, left), side(spark, right), "t", "t", "nearest").collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 12
