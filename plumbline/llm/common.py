@@ -24,7 +24,3 @@ def small_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -
         rows = max(1, int(batch.num_rows * limit // max(limit, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
