@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.combining import LABELLED_SQL, labelled_documents
 from plumbline.catalog.registry import TABLES, query, table
-from plumbline.functions.masking import VALUE_PATTERNS, mask_text, mask_value
+from plumbline.functions.masking import KIND_LABELS, NAME_PATTERNS, VALUE_PATTERNS, mask_text, mask_value
 from plumbline.operators import pii
 from plumbline.operators import profile as prof
 
@@ -266,7 +266,6 @@ VALUE_COLUMNS = {
     "conversations": ["conv_id", "turn", "role", "text"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
 }
-LABELS = {"name": "이름", "email": "이메일", "phone": "전화번호", "resident_id": "주민번호", "card": "카드/계좌"}
 
 
 def _first_kind_sql(value: str) -> str:
@@ -290,13 +289,28 @@ def _detect_sql() -> str:
                     (SELECT CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL
                      ORDER BY {', '.join(KEYS[t])} LIMIT 50)"""
             )
-    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())
+    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND_LABELS.items())
     return (
         f"WITH d AS ({' UNION ALL '.join(rows)}) "
         f"SELECT table_name, name, kind, CASE kind {labels} END AS label FROM d WHERE kind IS NOT NULL"
     )
 
 
+def _name_kinds_sql() -> str:
+    cases = " ".join(f"WHEN regexp_matches(name, '{p}', 'i') THEN '{k}'" for k, p in NAME_PATTERNS.items())
+    columns = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, CAST(row_number() OVER () - 1 AS INTEGER) AS ordinal, column_name AS name FROM (DESCRIBE {t})"
+        for t in KEYS
+    )
+    return f"SELECT table_name, ordinal, name, CASE {cases} END AS kind FROM ({columns})"
+
+
+@query(_name_kinds_sql())
+def pii_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [pii.pii_by_name(table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "*") for t in KEYS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(_detect_sql())
 def detect_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
