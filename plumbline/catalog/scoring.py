@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog.registry import query, table
 from plumbline.operators import diagnose as diag
 from plumbline.operators import leaderboard as board
+from plumbline.operators import skew
 from plumbline.operators import usage as use
 from plumbline.operators.profile import pearson
 from plumbline.operators.metrics import classification_metrics, regression_metrics
@@ -64,7 +65,7 @@ def clf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
     means = items.groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("guess"))
-    preds = items.join(means, "l_quantity")
+    preds = items.join(skew.broadcast_if_small(means), "l_quantity")
     found = regression_metrics(preds, "l_extendedprice", "guess")
     return found.select(
         F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"),
@@ -328,13 +329,13 @@ METRICS = ("accuracy", "f1", "rmse", "mae", "r2", "n_train", "n_test")
 @query(
     f"WITH {CHECKS_SQL} "
     + " UNION ALL ".join(
-        f"SELECT session_id, round, '{m}' AS metric, round(CAST({m} AS DOUBLE), 6) AS value FROM runs "
+        f"SELECT session_id, round, '{m}' AS metric, round(CAST({m} AS DOUBLE), 4) AS value FROM runs "
         f"WHERE {m} IS NOT NULL"
         for m in METRICS
     )
 )
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return board.report(runs(spark, sf_dir), RUN, digits=6)
+    return board.report(runs(spark, sf_dir), RUN)
 
 
 IMPORTANCE_SQL = "i AS (SELECT p_brand AS feature, sum(p_size) / (SELECT sum(p_size) FROM part) AS importance FROM part GROUP BY 1)"
