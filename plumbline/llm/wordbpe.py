@@ -17,7 +17,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 400_000
 KEPT_LENGTH = 64
 #: outside printable ASCII and precomposed Latin letters, or the beginning of a special token
 OTHER = re.compile(r"[^\t\n\x20-\x7e¡-įı-ž]|<\|")
