@@ -1,11 +1,16 @@
 """Operator 5: near copies by SimHash and a self-join of the binary trie of fingerprints.
 
-Fingerprints are first reduced to distinct ones. The trie over their bits is cut into leaves of a few
-thousand fingerprints, deeper where they lie dense; a bounded sample places the cuts. Two leaves meet
-in one task if their prefixes differ in few enough bits. There the pair of subtries is traversed from
-the top: each step goes to the pairs of children, adds the bit in which they differ and drops pairs
-beyond the budget. A task returns a spanning forest of the links it found, not the links, so a dense
-group costs no more than its size; components over all forests follow.
+Fingerprints are first reduced to distinct ones. Two of them that differ in at most `budget` bits agree
+in one whole block of bits if the 64 bits are cut into `budget` + 1 blocks. So the trie is built once
+per block, over the bits rotated to begin with that block, and only pairs that agree there are followed:
+each fingerprint is dealt `budget` + 1 times, however many there are. Each trie is cut into leaves of a
+few thousand fingerprints, one task each; a bounded sample places the cuts. Only where the cuts go
+deeper than the block, in dense places, do two leaves meet whose prefixes differ in few enough bits.
+
+In a task the pairs of nodes are traversed from the top: each step goes to the pairs of children, adds
+the bit in which they differ and drops pairs beyond the budget. A task returns a spanning forest of the
+links it found, not the links, so a dense group costs no more than its size; components over all
+forests follow.
 
 Null and empty texts have the fingerprint zero and link like any other; texts under `k` words are one
 shingle; repeated rows have one fingerprint; a null doc_id gets a component but never names one that
@@ -67,10 +72,12 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
-def trie_links(a: np.ndarray, b: np.ndarray, budget: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) with a[i] and b[j] at most `budget` bits apart; each pair once if a is b.
+def trie_links(
+    a: np.ndarray, b: np.ndarray, budget: int, same: bool, block: int = 0
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) with a[i] and b[j] at most `budget` bits apart, none of them in the first `block`.
 
-    Both are sorted and distinct. A node is a range of places that share the bits above `bit`. Pairs
+    Each pair is found once, also if a is b. Both are sorted and distinct. A node is a range of places that share the bits above `bit`. Pairs
     of nodes are taken in portions, deepest first, so memory holds a few portions per level.
     """
     if not len(a) or not len(b):
@@ -86,7 +93,10 @@ def trie_links(a: np.ndarray, b: np.ndarray, budget: int, same: bool) -> Iterato
             pair = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
             i, j = al[done][pair] + at // nb[pair], bl[done][pair] + at % nb[pair]
-            near = np.bitwise_count(a[i] ^ b[j]) <= budget
+            differing = a[i] ^ b[j]
+            near = np.bitwise_count(differing) <= budget
+            if block:
+                near &= differing >> np.uint64(BITS - block) == 0
             if same:
                 near &= i < j
             if near.any():
@@ -98,12 +108,9 @@ def trie_links(a: np.ndarray, b: np.ndarray, budget: int, same: bool) -> Iterato
         am = np.clip(np.searchsorted(a, (a[al] & above) | one), al, ah)
         bm = np.clip(np.searchsorted(b, (b[bl] & above) | one), bl, bh)
         twin = (al == bl) if same else np.zeros(len(al), bool)
-        children = (
-            (al, am, bl, bm, off, None),
-            (am, ah, bm, bh, off, None),
-            (al, am, bm, bh, off + 1, None),
-            (am, ah, bl, bm, off + 1, twin),
-        )
+        children = [(al, am, bl, bm, off, None), (am, ah, bm, bh, off, None)]
+        if bit < BITS - block:
+            children += [(al, am, bm, bh, off + 1, None), (am, ah, bl, bm, off + 1, twin)]
         parts = []
         for cal, cah, cbl, cbh, coff, mirrored in children:
             live = (cal < cah) & (cbl < cbh) & (coff <= budget)
@@ -143,75 +150,96 @@ def cut_trie(sample: np.ndarray, per_leaf: int) -> tuple[np.ndarray, np.ndarray]
     return np.array([s for s, _ in leaves], np.uint64), np.array([d for _, d in leaves], np.int64)
 
 
-def near_leaves(starts: np.ndarray, depths: np.ndarray, budget: int) -> np.ndarray:
-    """Pairs of leaves whose common prefix length holds at most `budget` differing bits, p <= q."""
-    found = []
-    for p in range(len(starts)):
-        shared = np.minimum(depths[p], depths[p:])
-        differing = np.where(shared > 0, (starts[p] ^ starts[p:]) >> np.minimum(BITS - shared, BITS - 1).astype(np.uint64), 0)
-        q = np.flatnonzero(np.bitwise_count(differing) <= budget) + p
+def near_leaves(starts: np.ndarray, depths: np.ndarray, budget: int, block: int) -> np.ndarray:
+    """Pairs of leaves, p <= q, whose common prefixes agree in the first `block` bits and differ in `budget` at most."""
+    found = [np.stack([np.arange(len(starts))] * 2, axis=1)]
+    for p in np.flatnonzero(depths > block):
+        q = np.arange(p + 1, len(starts))
+        shared = np.minimum(depths[p], depths[q])
+        differing = (starts[p] ^ starts[q]) >> np.minimum(BITS - shared, BITS - 1).astype(np.uint64)
+        same = (starts[p] ^ starts[q]) >> np.uint64(BITS - block) == 0 if block else True
+        q = q[(np.bitwise_count(differing) <= budget) & same]
         found.append(np.stack([np.full(len(q), p), q], axis=1))
     return np.concatenate(found)
 
 
+def rotated(x: np.ndarray, by: int) -> np.ndarray:
+    """Bits moved up by `by` places, those that leave at the top come in below."""
+    return x if by % BITS == 0 else (x << np.uint64(by % BITS)) | (x >> np.uint64(BITS - by % BITS))
+
+
 def link_forest(distinct: DataFrame, n: int, budget: int) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp` that connect exactly the linked ones."""
     leaves = int(min(MAX_LEAVES, max(1, n // LEAF)))
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(PER_LEAF_SAMPLE * leaves)  # n / 256 at most
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(PER_LEAF_SAMPLE * leaves)  # n / 256 at most
     values = np.array([r["fp"] for r in sample.collect()], np.int64).view(np.uint64)
-    starts, depths = cut_trie(values, PER_LEAF_SAMPLE if leaves > 1 else len(values))
-    pairs = near_leaves(starts, depths, budget)
-    ends = np.concatenate([pairs[:, 0], pairs[pairs[:, 0] != pairs[:, 1], 1]])
-    numbers = np.concatenate([np.arange(len(pairs)), np.flatnonzero(pairs[:, 0] != pairs[:, 1])])
-    order = np.argsort(ends, kind="stable")
-    of_leaf, first = numbers[order], np.searchsorted(ends[order], np.arange(len(starts) + 1))
+    ends = [BITS * (j + 1) // (budget + 1) for j in range(budget + 1)]
+    tries, pairs = [], []  # one of each per block; pairs are numbered through
+    for begin, end in zip([0, *ends], ends):
+        starts, depths = cut_trie(rotated(values, begin), PER_LEAF_SAMPLE if leaves > 1 else len(values))
+        meeting = near_leaves(starts, depths, budget, end - begin)
+        apart = np.flatnonzero(meeting[:, 0] != meeting[:, 1])
+        leaf = np.concatenate([meeting[:, 0], meeting[apart, 1]])
+        number = np.concatenate([np.arange(len(meeting)), apart]) + sum(map(len, pairs))
+        order = np.argsort(leaf, kind="stable")
+        first = np.searchsorted(leaf[order], np.arange(len(starts) + 1))
+        tries.append((begin, end - begin, starts, number[order], first))
+        pairs.append(np.column_stack([np.full(len(meeting), len(pairs)), meeting]))
+    every = np.concatenate(pairs)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK // 8):
-                fp = whole["fp"].slice(at, CHUNK // 8).to_numpy(zero_copy_only=False)
-                leaf = np.searchsorted(starts, fp.view(np.uint64), "right") - 1
+            fp = whole["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
+            for begin, _, starts, of_leaf, first in tries:
+                turned = rotated(fp, begin)
+                leaf = np.searchsorted(starts, turned, "right") - 1
                 n_pairs = first[leaf + 1] - first[leaf]
                 place = np.arange(n_pairs.sum()) - np.repeat(np.cumsum(n_pairs) - n_pairs, n_pairs)
                 pair = of_leaf[np.repeat(first[leaf], n_pairs) + place]
-                yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(np.repeat(fp, n_pairs))], names=["pair", "fp"])
+                dealt = np.repeat(turned, n_pairs).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(dealt)], names=["pair", "fp"])
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        p, q = pairs[group["pair"].iat[0]]
+        trie, p, q = every[group["pair"].iat[0]]
+        begin, block, starts, _, _ = tries[trie]
         fp = np.sort(group["fp"].to_numpy().view(np.uint64))
         parent = np.arange(len(fp))
         if p == q:
-            for i, j in trie_links(fp, fp, budget, True):
+            for i, j in trie_links(fp, fp, budget, True, block):
                 parent = join_roots(parent, i, j)
         else:
             leaf = np.searchsorted(starts, fp, "right") - 1
             left, right = np.flatnonzero(leaf == p), np.flatnonzero(leaf == q)
-            for i, j in trie_links(fp[left], fp[right], budget, False):
+            for i, j in trie_links(fp[left], fp[right], budget, False, block):
                 parent = join_roots(parent, left[i], right[j])
         child = np.flatnonzero(parent != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[child].view(np.int64), "b": fp[parent[child]].view(np.int64)})
+        ends = [rotated(fp[x], BITS - begin).view(np.int64) for x in (child, parent[child])]
+        return pd.DataFrame({"a": ends[0], "b": ends[1]})
 
     return distinct.select("fp").mapInArrow(deal, "pair bigint, fp bigint").groupBy("pair").applyInPandas(join, "a bigint, b bigint")
 
 
+def _classes(prints: DataFrame, budget: int) -> DataFrame:
+    """fp, the first (no id, doc_id, text_hash) that has it, and the root of its component."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    distinct = stored(prints.groupBy("fp").agg(first.alias("first")))
+    roots = smallest_reachable(link_forest(distinct, distinct.count(), budget)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, k: int = 3, budget: int = 2) -> DataFrame:
     """doc_id, text_hash, fp and component_id, the smallest doc_id reachable over links."""
     prints = stored(fingerprints(docs, k))
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = smallest_reachable(link_forest(distinct, distinct.count(), budget)).withColumnRenamed("node", "fp")
-    linked = distinct.join(roots.union(roots.select(F.col("root"), F.col("root"))).distinct(), "fp")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("linked_id"))
-    named = linked.select("fp", "root").join(smallest, "root").select("fp", "linked_id")
-    component = F.coalesce("linked_id", "first_id").alias("component_id")
-    of_print = distinct.join(named, "fp", "left").select("fp", component)
+    classes = _classes(prints, budget)
+    smallest = classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    of_print = classes.join(smallest, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 3, budget: int = 2) -> DataFrame:
     """One row of each component: that of its smallest doc_id, then text hash; all columns are kept."""
-    found = components(docs, k, budget)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("first")
-    kept = found.groupBy("component_id").agg(first).select("first.doc_id", "first.text_hash")
+    classes = _classes(stored(fingerprints(docs, k)), budget)
+    kept = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
     hashed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__hash": F.xxhash64(text_of())})
     same = hashed["__id"].eqNullSafe(kept["doc_id"]) & (hashed["__hash"] == kept["text_hash"])
     once = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__hash"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from plumbline.llm import queries, simhash
@@ -58,15 +59,31 @@ def test_trie_links_are_all_links():
         assert len(found) == len(set(found)) and set(found) == set(zip(*map(list, np.nonzero(near))))
 
 
-def test_forest_over_many_leaves(spark, monkeypatch):
+def test_trie_links_that_agree_in_a_block():
+    values = np.array(clustered(500, 4), np.uint64)
+    far = values[:, None] ^ values[None, :]
+    want = np.triu((np.bitwise_count(far) <= 3) & (far >> np.uint64(54) == 0), 1)
+    got = {(int(i), int(j)) for a, b in simhash.trie_links(values, values, 3, True, 10) for i, j in zip(a, b)}
+    assert got == set(zip(*map(list, np.nonzero(want))))
+
+
+def test_rotation_goes_round():
+    x = np.array([1, 1 << 63, 0x0123456789ABCDEF], np.uint64)
+    assert simhash.rotated(x, 4).tolist() == [16, 8, 0x123456789ABCDEF0]
+    for by in (0, 1, 21, 63, 64):
+        assert (simhash.rotated(simhash.rotated(x, by), 64 - by) == x).all()
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2, 4])
+def test_forest_over_many_leaves(spark, monkeypatch, budget):
     """A hot prefix is cut deeper; the result does not depend on the cuts."""
     monkeypatch.setattr(simhash, "LEAF", 40)
     values = clustered(900, 2)
     table = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp bigint")
-    edges = simhash.link_forest(table, len(values), 2).collect()
+    edges = simhash.link_forest(table, len(values), budget).collect()
     got = {frozenset((r["a"], r["b"])) for r in edges}
     root = {}
-    for v, c in zip(values, plain_components(values, 2)):
+    for v, c in zip(values, plain_components(values, budget)):
         root[int(np.uint64(v).view(np.int64))] = c
     parent = {}
 
