@@ -17,7 +17,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 250_000  # in each of two generations
 KEPT_LENGTH = 64
 #: outside printable ASCII and precomposed Latin letters, or the beginning of a special token
 OTHER = re.compile(r"[^\t\n\x20-\x7e¡-įı-ž]|<\|")
@@ -31,10 +31,15 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordEncoder(dict):
-    """Chunk -> its ids as little-endian unsigned 32-bit integers."""
+    """Chunk -> its ids as little-endian unsigned 32-bit integers.
+
+    When full, the chunks kept become the older generation; those met again come back from there,
+    so frequent chunks are never encoded twice.
+    """
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
@@ -46,14 +51,14 @@ class WordEncoder(dict):
         self.letters = byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = [
-            token.id
-            for word in self.words.findall(chunk.lower())
-            for token in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        ]
-        packed = np.array(ids, "<u4").tobytes()
+        packed = self.older.get(chunk)
+        if packed is None:
+            words = self.words.findall(chunk.lower())
+            found = [self.model.tokenize(w.encode().decode("latin-1").translate(self.letters)) for w in words]
+            packed = np.array([token.id for tokens in found for token in tokens], "<u4").tobytes()
         if len(chunk) <= KEPT_LENGTH:
             if len(self) >= KEPT_CHUNKS:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = packed
         return packed

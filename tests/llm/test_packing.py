@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from plumbline.llm import binpacking, packing, queries
+from plumbline.llm import binpacking, packing, queries, wordbpe
 from plumbline.llm.wordbpe import WordEncoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -144,7 +144,9 @@ def test_pack_other_items(spark):
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
 
 
-def test_words_equal_the_library(library, texts):
+@pytest.mark.parametrize("kept", [250_000, 5])
+def test_words_equal_the_library(library, texts, kept, monkeypatch):
+    monkeypatch.setattr(wordbpe, "KEPT_CHUNKS", kept)
     words = WordEncoder(VOCABULARY)
     alphabet = ["a", "Don't", "'ll", "é", "É", "é", " ", "\n", "\x1f", "\x85", "ß", "İ", "ſ", "½", "12", "<|endoftext|>", "🎉", "日本", "--", "_"]
     rng = random.Random(4)
