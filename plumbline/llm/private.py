@@ -3,7 +3,9 @@
 Plain e-mail addresses, IP addresses, card and phone numbers are found in the text as it is. Then two
 transducers rewrite what may be a disguise: the first drops invisible characters, turns look-alike
 letters and digits into ASCII, bracketed at and dot into signs and runs of spelled digits into digits;
-the second turns "name at host dot tld" into an address. Each keeps, for every character it writes,
+the second turns "name at host dot tld" and "name @ host.tld" into an address, wherever they stand; "name
+at host.tld" only if the name holds a digit or sign as in "jo.do", since "look at example.com" names a
+host and no person. Each keeps, for every character it writes,
 the source characters it stands for, so matches in the rewritten text map back to the original. A
 disguised match that overlaps a plain one of its kind is dropped: the plain one stays.
 
@@ -57,12 +59,19 @@ RUN_PART = re.compile(rf"(?P<plus>{PLUS_WORDS})|(?P<dot>{DOT_WORDS})|(?P<digit>{
 BRACKETED = re.compile(
     rf"\x20*[\[({{<]\x20*(?:(?P<at>{AT_WORDS}|@)|(?:{DOT_WORDS}|\.))\x20*[\])}}>]\x20*", re.IGNORECASE
 )
+_NAME, _PART = "[A-Za-z0-9._%+-]++", "[A-Za-z0-9-]+"
+_AT, _DOT, _TOP = rf"\x20+(?:{AT_WORDS})\x20+", rf"\x20+(?:{DOT_WORDS})\x20+", r"[A-Za-z]{2,6}\b"
 SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\x20+(?:{AT_WORDS})\x20+|\x20*@\x20*)"
-    rf"[A-Za-z0-9-]+(?:(?:\x20+(?:{DOT_WORDS})\x20+|\.)[A-Za-z0-9-]+)*"
-    rf"(?:\x20+(?:{DOT_WORDS})\x20+|\.)[A-Za-z]{{2,6}}\b",
+    rf"(?<![A-Za-z0-9._%+-])(?:"
+    rf"{_NAME}{_AT}{_PART}(?:\.{_PART})*{_DOT}(?:{_PART}(?:{_DOT}|\.))*{_TOP}"
+    rf"|{_NAME}\x20*@\x20*{_PART}(?:(?:{_DOT}|\.){_PART})*(?:{_DOT}|\.){_TOP}"
+    rf"|[A-Za-z](?=[A-Za-z-]*[0-9._%+]){_NAME}(?<!\.){_AT}{_PART}(?:\.{_PART})*\.{_TOP})",
     re.IGNORECASE,
 )
+# what every match of SPOKEN holds that rewriting changes
+MAYBE_SPOKEN = re.compile(
+    rf"\x20(?:{AT_WORDS})\x20+{_PART}(?:{_DOT}|\.)|(?:\x20@\x20*|@\x20+){_PART}(?:{_DOT}|\.)|@[A-Za-z0-9.-]+{_DOT}", re.IGNORECASE
+)
 SPOKEN_PART = re.compile(rf"\x20+(?P<at>{AT_WORDS})\x20+|\x20*(?P<sign>@)\x20*|\x20+(?:{DOT_WORDS})\x20+", re.IGNORECASE)
 IN_RUN = frozenset([*DIGIT_WORDS, *"0123456789", *DOT_WORDS.split("|"), *PLUS_WORDS.split("|")])
 
@@ -164,10 +173,6 @@ def _counted(low: str) -> bool:
     return b"\1\1\1\1" in bytes(map(IN_RUN.__contains__, low.replace("-", " ").replace(",", " ").split()))
 
 
-def _spoken(low: str) -> bool:
-    return any(f" {w} " in low for w in DOT_WORDS.split("|")) and any(f" {w} " in low for w in AT_WORDS.split("|"))
-
-
 def disguised(text: str) -> list[Span]:
     """Spans in the original of what only the rewritten text shows."""
     low = text.lower()
@@ -177,7 +182,7 @@ def disguised(text: str) -> list[Span]:
         (RUN, _digits, _counted(low) and RUN.search(text)),
     ]
     odd = bool(steps[0][2])
-    if not any(wanted for _, _, wanted in steps) and not _spoken(low):
+    if not any(wanted for _, _, wanted in steps) and not MAYBE_SPOKEN.search(text):
         return []
     now = Rewritten(text, list(range(len(text))), list(range(1, len(text) + 1)))
     for pattern, parts, wanted in steps:

@@ -87,3 +87,17 @@ def test_odd_rows(odd, odd_rows, none):
     assert masked.columns == odd.columns
     assert {(r["doc_id"], r["text"]) for r in masked.collect()} == {(r[0], r[1]) for r in odd_rows}
     assert private.find_private(none).count() == private.mask_private(none).count() == 0
+
+
+@pytest.mark.parametrize("far", ["", " α", " x² (at) y", " we met at noon, full dot stop"])
+@pytest.mark.parametrize(("text", "hidden"), [
+    ("mail jo.do at site.com now", "jo.do at site.com"),
+    ("mail jo.do @ site.com now", "jo.do @ site.com"),
+    ("mail jo @ mail.site.com now", "jo @ mail.site.com"),
+    ("mail jo@site dot com now", "jo@site dot com"),
+    ("look at jo.do at site.com now", "jo.do at site.com"),
+    ("look at example.com now", ""),
+    ("e.g. at example.com now", ""),
+])
+def test_spoken_addresses_do_not_depend_on_the_rest(text, hidden, far):
+    assert [text[s:e] for s, k, e in private.spans(text + far)[1] if k == 0] == [hidden] * bool(hidden)
