@@ -12,6 +12,8 @@ from collections import Counter
 
 Filling = tuple[tuple[int, int], ...]  # (size, how many), sizes descending
 Bins = list[tuple[int, Filling]]  # (how many such bins, filling)
+DESCENTS = 4
+DIGITS = bytes([48, 49, *range(2, 256)])
 
 
 def lower_bound(sizes: dict[int, int], capacity: int) -> int:
@@ -57,26 +59,29 @@ def best_fit(sizes: dict[int, int], capacity: int) -> Bins:
     return [group for groups in by_room.values() for group in groups]
 
 
-def dominated(filling: Filling, room: int, others: list[int]) -> bool:
+def dominated(filling: Filling, room: int, others: list[int] | int) -> bool:
     """Whether a larger document not in the filling could replace some of its documents.
 
     Such a filling never beats the replaced one, since the freed documents fit wherever the larger
-    one would have gone.
+    one would have gone. `others`: sizes left, or a number with their bits.
     """
     slack = room - sum(s * n for s, n in filling)
+    bits = others if isinstance(others, int) else sum(1 << x for x in set(others))
+    bits &= (1 << (room + 1)) - 1
     sums = 1
     for size, n in filling:
         for _ in range(n):
             sums |= sums << size
-    held = {s for s, _ in filling}
-    for x in others:
-        if x > room:
-            continue
-        low = max(0, x - slack)  # 0: it also fits beside them
-        found = (sums >> low) & ((1 << (x - low + 1)) - 1)
-        if x in held and low <= x:  # a document of its own size it need not replace
-            found &= ~(1 << (x - low))
-        if found:
+    reach, width = sums, 1  # sums and what is at most `slack` above one
+    while width <= slack:
+        step = min(width, slack + 1 - width)
+        reach, width = reach | reach << step, width + step
+    own = sum(1 << s for s, _ in filling)
+    if reach & bits & ~own:
+        return True
+    for x, _ in filling:  # a document of its own size it need not replace
+        low = max(0, x - slack)
+        if bits >> x & 1 and (sums >> low) & ((1 << (x - low)) - 1):
             return True
     return False
 
@@ -103,9 +108,13 @@ def fillings(room: int, sizes: list[int], counts: Counter, waste: int, width: in
 
     extend(room, len(sizes), [])
     kept: list[Filling] = []
+    flags = bytearray(room + 1)  # one for each size that fits
+    for s in sizes[: bisect_right(sizes, room)]:
+        flags[room - s] = 1
+    every = int(flags.translate(DIGITS).decode(), 2)
     for left, _, filling in heapq.nsmallest(8 * width, found):
-        available = [s for s in sizes if counts[s] > dict(filling).get(s, 0)]
-        if not dominated(filling, room, available):
+        gone = sum(1 << s for s, n in filling if counts[s] <= n)
+        if not dominated(filling, room, every & ~gone):
             kept.append(filling)
         if len(kept) == width:
             break
@@ -178,7 +187,10 @@ def complete(sizes: dict[int, int], capacity: int, target: int, best: int, effor
 
 
 def plan(sizes: dict[int, int], capacity: int, effort: int = 40_000) -> Bins:
-    """Bins for all documents: the best of best-fit decreasing and what bin completion finds."""
+    """Bins for all documents: the best of best-fit decreasing and what bin completion finds.
+
+    The search has `effort` beside that of some whole descents, which grows with the distinct sizes.
+    """
     if not sizes:
         return []
     if min(sizes) <= 0 or max(sizes) > capacity:
@@ -188,5 +200,6 @@ def plan(sizes: dict[int, int], capacity: int, effort: int = 40_000) -> Bins:
     if used > -(-sum(s * n for s, n in sizes.items()) // capacity):
         least = lower_bound(sizes, capacity)
         if used > least:
-            bins = complete(sizes, capacity, least, used, effort) or bins
+            whole = len(sizes) * (1 + len(sizes) // 64)  # of a descent in which each step uses up a size
+            bins = complete(sizes, capacity, least, used, effort + DESCENTS * whole) or bins
     return bins

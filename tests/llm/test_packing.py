@@ -73,6 +73,16 @@ def test_bin_completion_beats_best_fit_decreasing():
     assert gained
 
 
+def test_bin_completion_of_many_distinct_sizes_beats_best_fit_decreasing():
+    rng = random.Random(5)
+    sizes = Counter(rng.randint(300, 2300) for _ in range(300_000))
+    assert len(sizes) > 2000
+    first = sum(n for n, _ in binpacking.best_fit(sizes, 4096))
+    bins = binpacking.plan(dict(sizes), 4096)
+    check_bins(bins, sizes, 4096)
+    assert binpacking.lower_bound(sizes, 4096) <= sum(n for n, _ in bins) < first
+
+
 def test_best_fit_of_counts_equals_one_by_one():
     rng = random.Random(3)
     for _ in range(100):
