@@ -205,7 +205,7 @@ def candidate_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def improve(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _parts(document_features(spark, sf_dir))
     plan = Plan("logistic_regression", "classification", "toxic", tuple(DOC_FEATURES), "doc_id")
-    runs = improve_plan(plan, train, test, draws=2, folds=2)
+    runs = improve_plan(plan, train, test)
     return runs.select(
         "session_id", "round", "family", "remedy", "ok", "accuracy", "f1", "score", "verdict",
         F.size("checks").alias("n_checks"),
@@ -413,7 +413,7 @@ def improve_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds follow each other, the first is the plan's family, each was tuned, and the best has the highest score."""
     train, test = _parts(document_features(spark, sf_dir))
     plan = Plan("logistic_regression", "classification", "toxic", tuple(DOC_FEATURES), "doc_id")
-    runs = materialize(improve_plan(plan, train, test, draws=2, folds=2))
+    runs = materialize(improve_plan(plan, train, test))
     best = best_of(runs).first()  # one session, so one row
     return runs.agg(
         F.min("round").alias("first_round"), F.min_by("family", "round").alias("first_family"),

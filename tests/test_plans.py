@@ -160,3 +160,20 @@ def test_named_steps_count_as_mitigation(spark):
         row = spark.createDataFrame([(500, 100, run["class_distribution"], steps)], "n_train int, n_test int, class_distribution map<string,bigint>, preprocessing array<string>")
         found = {c["item"]: c["level"] for c in diagnose(row).first()["checks"]}
         assert found[IMBALANCE] == level
+
+
+@pytest.mark.parametrize("name", ["improve", "improve_checks"])
+def test_registered_rounds_search_as_much_as_the_operator(spark, monkeypatch, name):
+    from plumbline.catalog import QUERIES
+    from plumbline.plans import improving, tuning
+
+    asked = []
+
+    def search(plan, train, draws, folds):
+        asked.append((draws, folds))
+        raise RuntimeError("enough")
+
+    monkeypatch.setattr(improving, "tune", search)
+    with pytest.raises(RuntimeError, match="enough"):
+        QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert asked == [(tuning.DRAWS, tuning.FOLDS)]
