@@ -1,0 +1,99 @@
+import random
+
+import corpus_pipeline
+import numpy as np
+import public_tokenizers
+from test_packing import check_pieces, ids_of
+from tokenizers import Tokenizer
+
+from plumbline.llm import crf, languageid, nearcopies, private
+
+
+def plain_sets(texts):
+    sets = []
+    for text in texts:
+        words = text.lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return sets
+
+
+def plain_groups(sets):
+    """Smallest place reachable over pairs of a similarity of 0.8 or more, by comparing all."""
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def made():
+    """Copies with few edits, one large group whose members are similar to some others only, short texts."""
+    rng = random.Random(9)
+    texts = ["", "", "one two", "One  two", "one two three"]
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 200))]
+        texts += [" ".join(words), *(edited(rng, words, n) for n in (1, len(words) // 60, len(words) // 30))]
+    words = [f"v{rng.randrange(5000)}" for _ in range(150)]
+    texts += [edited(rng, words, rng.randint(0, 5)) for _ in range(150)]
+    return texts
+
+
+def test_stage_keeps_one_of_each_group_at_similarity_080(spark):
+    texts = made()
+    groups = plain_groups(plain_sets(texts))
+    assert 20 < len(set(groups)) < len(texts) - 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups))
+
+
+def test_stage_on_documents(spark, docs):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
+    groups = plain_groups(plain_sets([t for _, t in rows]))
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(rows[g][0] for g in set(groups))
+
+
+def test_whole_run_against_plain_python(spark, docs_dir, docs):
+    """What test_pipeline's test of all stages holds, with near copies by their similarity."""
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    field = crf.train(languageid.training_sample(docs))
+    found = field.predict([r["text"] or "" for r in rows])
+    kept = [r for r, (lang, score) in zip(rows, found) if lang and score > corpus_pipeline.SURE]
+    single = [kept[g] for g in sorted(set(plain_groups(plain_sets([r["text"] for r in kept]))))]
+    assert len(single) < len(kept)
+    masked = {r["doc_id"]: private.mask(r["text"]) for r in single}
+    out = corpus_pipeline.run(spark, docs_dir).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = [(d, np.append(ids_of(library, t), 1).astype("<u4")) for d, t in masked.items()]
+    check_pieces(out, wanted, corpus_pipeline.SEQUENCE)
+
+
+def test_joined_sets_are_the_components_of_all_pairs():
+    texts = made()[5:]
+    sets, groups = [nearcopies.shingles(t) for t in texts], plain_groups(plain_sets(texts))
+    root = np.arange(len(sets))
+    root[-40:] = [groups[i] if groups[i] < len(sets) - 40 else i for i in range(len(sets) - 40, len(sets))]
+    for x, y in nearcopies.joined(sets, root):
+        assert groups[x] == groups[y]
+        root[root == root[y]] = root[x]
+    assert len(set(root)) == len(set(groups)) == len(set(zip(root, groups)))
+
+
+def test_keys_find_pairs_at_the_threshold():
+    rng = random.Random(10)
+    for _ in range(300):
+        n = rng.randint(20, 400)
+        hashes = np.array([rng.getrandbits(64) for _ in range(n + 2 * (n // 8))], np.uint64)
+        a, b = hashes[: n + n // 8], np.concatenate([hashes[:n], hashes[n + n // 8 :]])  # n of n + n / 4
+        assert (nearcopies.band_keys(a) == nearcopies.band_keys(b)).any()
