@@ -18,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,7 +33,8 @@ Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# a match begins where its digits begin: after a failure there, none begins among them
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
@@ -57,7 +60,7 @@ _STEP = rf"(?:[\x20,-]+|[\x20]+(?:{DOT_WORDS})[\x20]+)"
 RUN = re.compile(rf"\b(?:(?:{PLUS_WORDS})\x20+)?{_DIGIT}(?:{_STEP}{_DIGIT}){{3,}}\b", re.IGNORECASE)
 RUN_PART = re.compile(rf"(?P<plus>{PLUS_WORDS})|(?P<dot>{DOT_WORDS})|(?P<digit>{_DIGIT})", re.IGNORECASE)
 BRACKETED = re.compile(
-    rf"\x20*[\[({{<]\x20*(?:(?P<at>{AT_WORDS}|@)|(?:{DOT_WORDS}|\.))\x20*[\])}}>]\x20*", re.IGNORECASE
+    rf"(?:(?<!\x20)\x20*+)?[\[({{<]\x20*+(?:(?P<at>{AT_WORDS}|@)|(?:{DOT_WORDS}|\.))\x20*[\])}}>]\x20*", re.IGNORECASE
 )
 _NAME, _PART = "[A-Za-z0-9._%+-]++", "[A-Za-z0-9-]+"
 _AT, _DOT, _TOP = rf"\x20+(?:{AT_WORDS})\x20+", rf"\x20+(?:{DOT_WORDS})\x20+", r"[A-Za-z]{2,6}\b"
@@ -98,7 +101,8 @@ def plain(text: str) -> list[Span]:
     """Spans of all kinds in the text as it is, by start, then kind."""
     found = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        parts = [p.lstrip("0") for p in m.group().split(".")]
+        if all(len(p) < 3 or (len(p) == 3 and p <= "255") for p in parts):
             found.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -117,12 +121,12 @@ class Rewritten:
 
     __slots__ = ("text", "starts", "ends")
 
-    def __init__(self, text: str, starts: list[int], ends: list[int]):
+    def __init__(self, text: str, starts: array, ends: array):
         self.text, self.starts, self.ends = text, starts, ends
 
     def rewrite(self, pattern: re.Pattern, parts: Callable[[re.Match], list[tuple[str, int, int]]]) -> Rewritten:
         """Replaces each match by pieces (new text, from, to); all characters of a piece share its source."""
-        out, starts, ends, at = [], [], [], 0
+        out, starts, ends, at = [], array("q"), array("q"), 0
         for m in pattern.finditer(self.text):
             for new, a, b in [(self.text[at : m.start()], at, m.start()), *parts(m)]:
                 out.append(new)
@@ -130,8 +134,8 @@ class Rewritten:
                     starts += self.starts[a:b]
                     ends += self.ends[a:b]
                 else:
-                    starts += [self.starts[a]] * len(new)
-                    ends += [self.ends[b - 1]] * len(new)
+                    starts += self.starts[a : a + 1] * len(new)
+                    ends += self.ends[b - 1 : b] * len(new)
             at = m.end()
         return Rewritten("".join(out) + self.text[at:], starts + self.starts[at:], ends + self.ends[at:])
 
@@ -184,7 +188,7 @@ def disguised(text: str) -> list[Span]:
     odd = bool(steps[0][2])
     if not any(wanted for _, _, wanted in steps) and not MAYBE_SPOKEN.search(text):
         return []
-    now = Rewritten(text, list(range(len(text))), list(range(1, len(text) + 1)))
+    now = Rewritten(text, array("q", range(len(text))), array("q", range(1, len(text) + 1)))
     for pattern, parts, wanted in steps:
         if wanted or odd:
             now = now.rewrite(pattern, parts)
@@ -195,12 +199,15 @@ def disguised(text: str) -> list[Span]:
 def spans(text: str) -> tuple[list[Span], list[Span]]:
     """Plain spans, and all spans: the plain ones and the disguised ones that overlap none of their kind."""
     base = plain(text)
-    taken = set(base)
-    for span in disguised(text):
-        start, kind, end = span
-        if not any(k == kind and s < end and start < e for s, k, e in taken):
-            taken.add(span)
-    return base, sorted(taken)
+    found = list(base)
+    taken = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]
+    last = [0] * len(KINDS)  # where the last added span of each kind ends
+    for start, kind, end in disguised(text):
+        i = bisect_left(taken[kind], (end, 0))  # plain spans of a kind are apart, so only the last before `end` may overlap
+        if start >= last[kind] and (i == 0 or taken[kind][i - 1][1] <= start):
+            found.append((start, kind, end))
+            last[kind] = end
+    return base, sorted(found)
 
 
 def written(found: list[Span]) -> str:

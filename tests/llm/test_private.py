@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+from array import array
 
 import pytest
 
@@ -101,3 +103,28 @@ def test_odd_rows(odd, odd_rows, none):
 ])
 def test_spoken_addresses_do_not_depend_on_the_rest(text, hidden, far):
     assert [text[s:e] for s, k, e in private.spans(text + far)[1] if k == 0] == [hidden] * bool(hidden)
+
+
+def test_long_runs_take_linear_time():
+    n = 1_000_000
+    runs = ["1" * n, "1." * n, " " * n + "(", "( " * (n // 2), "@" * n, "a@" * (n // 2), "(" + " " * n, "[at]" * (n // 4), "1 " * (n // 2)]
+    runs += ["one " * (n // 4) + "x", "+1" + "(" * n, "x at " + "b." * (n // 2)]
+    for text in [*runs, "0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 5000 + "256"]:
+        start = time.process_time()
+        private.spans(text)
+        assert time.process_time() - start < 10, text[:20]
+    assert private.written(private.plain("0" * 5000 + "1.2.3.4")) == "ip:0:5007" and private.plain("1.2.3." + "0" * 5000 + "256") == []
+
+
+def test_disguises_among_very_many_plain_spans():
+    text = "a@b.co " * 50_000 + "jo [at] site [dot] com " + "c@d.co " * 50_000
+    base, found = private.spans(text)
+    assert len(base) == 100_000 and len(found) == 100_001
+    assert text[found[50_000][0] : found[50_000][2]] == "jo [at] site [dot] com"
+
+
+def test_bracketed_signs_side_by_side():
+    for text in ("jo (at) (x) y", "jo   (at)   site (dot) (dot) com", "x(at)y(dot)z", "   (at)   "):
+        now = private.Rewritten(text, array("q", range(len(text))), array("q", range(1, len(text) + 1)))
+        now = now.rewrite(private.BRACKETED, private._sign).text
+        assert now == re.sub(r"\x20*\(\x20*at\x20*\)\x20*", "@", re.sub(r"\x20*\(\x20*dot\x20*\)\x20*", ".", text)), text
