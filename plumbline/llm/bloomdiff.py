@@ -4,7 +4,8 @@ A document is the multiset of its paragraphs: lines, cut at the ends of sentence
 words of a longer one, and for texts under 64 words the single words as well. Each digest goes into three cells, which hold a count, the XOR of
 digests and the XOR of their checks. Subtracting two sketches leaves the digests in which the versions
 differ; cells with one digest give it away and peeling recovers the rest. If peeling gets stuck, both
-sides make a sketch four times as large and try again. The likeness is the number of paragraphs in
+sides make a sketch four times as large and try again; beyond the largest size the sets of digests are
+compared themselves. The likeness is the number of paragraphs in
 common over the number in either.
 
 Null text is empty; empty texts have no paragraph and are alike with likeness 1; documents follow each
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches, text_of
+from plumbline.llm.common import small_batches, stored, text_of
 
 SMALL = 16
 LARGEST = 1 << 20
@@ -147,11 +148,16 @@ class Document:
         self.small = Sketch.of(self.keys)
 
     def like(self, other: Document) -> float:
-        """Likeness of the two, 0 if even the largest sketches get stuck."""
+        """Likeness of the two; where the largest sketches get stuck, from the digests themselves."""
+
         def larger(size: int) -> tuple[Sketch, Sketch]:
             return Sketch.of(self.keys, size), Sketch.of(other.keys, size)
 
-        return likeness(self.small, other.small, larger) or 0.0
+        found = likeness(self.small, other.small, larger)
+        if found is None:
+            common = len({*self.keys} & {*other.keys})
+            found = common / (len(self.keys) + len(other.keys) - common)
+        return found
 
     def row(self, following: Document) -> tuple:
         cut = len(self.text) // 4
@@ -228,8 +234,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(pieces, *by).sortWithinPartitions(*by).select("doc_id", "text")
-    edges = ordered.mapInArrow(_edges, "piece bigint, first_text string, last_id bigint, last_text string")
-    line = Window.orderBy("piece")  # a row per partition
-    wrapped = F.first("first_text").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    following = edges.withColumn("next_text", F.coalesce(F.lead("first_text").over(line), wrapped))
+    edges = stored(ordered.mapInArrow(_edges, "piece bigint, first_text string, last_id bigint, last_text string"))
+    line = Window.orderBy("piece")  # a number per partition; the texts go by the join
+    wrapped = F.first("piece").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    after = edges.select("piece", F.coalesce(F.lead("piece").over(line), wrapped).alias("next"))
+    firsts = edges.select(F.col("piece").alias("next"), F.col("first_text").alias("next_text"))
+    following = edges.join(after, "piece").join(firsts, "next").select("last_id", "last_text", "next_text")
     return ordered.mapInArrow(_inner, KINDS).unionByName(following.mapInArrow(_outer, KINDS))

@@ -29,6 +29,13 @@ def test_a_stuck_sketch_says_so_and_a_larger_one_recovers():
     assert sizes == sorted(sizes) and sizes[-1] > 200
 
 
+def test_beyond_the_largest_sketch_the_likeness_is_exact(monkeypatch):
+    monkeypatch.setattr(bloomdiff, "LARGEST", 32)
+    a, b = ("\n".join(f"{kind} {i}" for i in range(2000)) for kind in "xy")
+    one, other = bloomdiff.Document(1, a), bloomdiff.Document(2, a + "\n" + b)
+    assert one.like(other) == other.like(one) == 0.5 and one.like(bloomdiff.Document(3, b)) == 0.0
+
+
 def test_fingerprint_is_the_sketch():
     sketch = Sketch.of(bloomdiff.digests("One two. Three four!\nFive. Five. Five."))
     again = Sketch.read(sketch.text())
