@@ -13,7 +13,9 @@ from collections import Counter
 
 import numpy as np
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: characters of words that are no letters: superscripts, fractions, circled and other numbers
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 BUCKETS = 1 << 17
 CHAIN = 256
 LONGEST = 32

@@ -7,7 +7,7 @@ the largest sum of word marginals; the score is that sum over the number of word
 
 Null text and text without letters is `und` with score 0, and so is every text if there is nothing to
 learn from; a null doc_id counts as the empty id; null lang is never learned; repeated rows give
-repeated results; an empty table gives no rows; other columns are not read.
+repeated results; an empty table gives no rows; other columns are not read, and kept but for those named like the two results.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches, text_of
+from plumbline.llm.common import small_batches, text_of, whole_row
 from plumbline.llm.crf import Field, train
 
 PER_LANGUAGE = 100
@@ -62,9 +62,8 @@ def predict(docs: DataFrame, field: Field | None, names: tuple[str, str] = ("lan
             yield pa.StructArray.from_arrays([langs, pa.array([s for _, s in found], pa.float64())], names=["lang_pred", "score"])
 
     kept = docs.drop(*names)
-    labelled = kept.withColumn("__found", label(text_of()))
-    found = [F.col("__found.lang_pred").alias(names[0]), F.col("__found.score").alias(names[1])]
-    return labelled.select(*kept.columns, *found)
+    labelled = kept.select(whole_row(kept).alias("row"), label(text_of()).alias("found"))
+    return labelled.select("row.*", F.col("found.lang_pred").alias(names[0]), F.col("found.score").alias(names[1]))
 
 
 def identify(

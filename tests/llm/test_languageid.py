@@ -28,6 +28,12 @@ def test_forward_backward_equals_summing_over_all_paths():
     assert np.allclose(expected, pairs)
 
 
+def test_numbers_that_are_no_digits_are_no_letters(docs):
+    assert crf.core("² ½ ①") == crf.core("Ⅷ") == "" and crf.core("x²y½") == "xy" and crf.core("9é_ß") == "éß"
+    field = crf.train(languageid.training_sample(docs))
+    assert field.predict(["² ½ ①"])[0] == (None, 0.0)
+
+
 def test_features_are_those_of_the_word():
     def of(words):
         return crf.features(words, {"house": 1}, -1)
