@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import whole_row
 from plumbline.operators.order import global_index
 
 STEP = np.uint64(2862933555777941757)  # fixed value of the published function
@@ -53,8 +54,10 @@ def shard(docs: DataFrame, key: str = "doc_id", shards: int = 16) -> DataFrame:
         raise ValueError("at least one shard is needed")
     kept = docs.drop("shard", "slot", "grown_shard")
     k = F.col(f"`{key}`")
-    placed = kept.withColumns({"shard": shard_of(k, shards), "grown_shard": shard_of(k, shards + 1)})
-    ordered = global_index(placed, ["shard", key], "__index")
-    first = ordered.groupBy("shard").agg(F.min("__index").alias("__first"))  # a row per shard
+    placed = kept.select(
+        whole_row(kept).alias("row"), k.alias("key"), shard_of(k, shards).alias("shard"), shard_of(k, shards + 1).alias("grown_shard")
+    )
+    ordered = global_index(placed, ["shard", "key"], "index")
+    first = ordered.groupBy("shard").agg(F.min("index").alias("first"))  # a row per shard
     joined = ordered.join(F.broadcast(first), "shard")
-    return joined.withColumn("slot", F.col("__index") - F.col("__first")).select(*kept.columns, "shard", "slot", "grown_shard")
+    return joined.select("row.*", "shard", (F.col("index") - F.col("first")).alias("slot"), "grown_shard")

@@ -14,7 +14,7 @@ forests follow.
 
 Null and empty texts have the fingerprint zero and link like any other; texts under `k` words are one
 shingle; repeated rows have one fingerprint; a null doc_id gets a component but never names one that
-has another id; an empty table gives no rows; other columns are not read.
+has another id; an empty table gives no rows; other columns are not read, and all kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches, stored, text_of
+from plumbline.llm.common import small_batches, stored, text_of, whole_row
 from plumbline.llm.components import smallest_reachable
 
 BITS = 64
@@ -240,10 +240,10 @@ def keep_one(docs: DataFrame, k: int = 3, budget: int = 2) -> DataFrame:
     """One row of each component: that of its smallest doc_id, then text hash; all columns are kept."""
     classes = _classes(stored(fingerprints(docs, k)), budget)
     kept = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
-    hashed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__hash": F.xxhash64(text_of())})
-    same = hashed["__id"].eqNullSafe(kept["doc_id"]) & (hashed["__hash"] == kept["text_hash"])
-    once = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__hash"))
-    return hashed.join(kept, same, "left_semi").withColumn("__once", once).filter("__once = 1").select(*docs.columns)
+    hashed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text_of()).alias("hash"))
+    same = hashed["id"].eqNullSafe(kept["doc_id"]) & (hashed["hash"] == kept["text_hash"])
+    once = F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))
+    return hashed.join(kept, same, "left_semi").withColumn("once", once).filter("once = 1").select("row.*")
 
 
 def hex_digits(column: str = "fp") -> Column:
