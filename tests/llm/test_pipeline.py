@@ -7,7 +7,7 @@ from test_packing import check_pieces, ids_of
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from plumbline.llm import crf, languageid, private, simhash
+from plumbline.llm import crf, languageid, private, sharding, simhash
 
 
 def test_stages_against_plain_python(spark, docs_dir, docs):
@@ -33,6 +33,7 @@ def test_stages_against_plain_python(spark, docs_dir, docs):
             assert {r["doc_id"] for r in stage.collect()} == {r["doc_id"] for r in kept}
         if name == "near_dedup":
             assert sorted(r["doc_id"] for r in stage.collect()) == sorted(r["doc_id"] for r in single)
+    assert 0 < len(single) < len(kept)
     masked = {r["doc_id"]: (private.mask(r["text"]), len(private.mask(r["text"]))) for r in single}
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in stage.collect()} == masked
     out = corpus_pipeline.run(spark, docs_dir).collect()
@@ -50,9 +51,23 @@ def test_odd_rows_and_empty_table(spark, odd, none, docs_dir):
         assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_columns_with_our_own_names_keep_their_values(spark):
+    names = ["__found", "__lang", "__score", "__id", "__hash", "__once", "__first", "__index", "__origin", "__at", "row", "lang_pred", "hash"]
+    text = "the quick brown fox and the dog went over to the other side of the water"
+    rows = [(i, f"{text} {i % 2}", "en", "s", 3, *(f"{n}{i}" for n in names)) for i in range(4)] + [(9, "1 2", None, None, 3, *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    named = corpus_pipeline.language_id(spark, docs, "")
+    assert sorted(map(tuple, named.collect())) == rows[:4] and named.columns == docs.columns
+    single = corpus_pipeline.near_dedup(spark, named, "")
+    assert single.columns == docs.columns and {tuple(r) for r in single.collect()} <= set(rows[:4])
+    sharded = sharding.shard(docs, "doc_id", 3)
+    assert sharded.columns == [*docs.columns, "shard", "slot", "grown_shard"]
+    assert sorted(tuple(r)[:-3] for r in sharded.collect()) == rows
+
+
 def test_entry_lists_every_operator(monkeypatch):
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert not any(n.startswith("op") for n in __spark_entry__.queries())
