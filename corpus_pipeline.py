@@ -10,10 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import languageid, nearcopies, packing, private
+from plumbline.llm import languageid, packing, private, simhash
+from plumbline.llm.common import free_names
 from plumbline.operators.durable import materialize
 
 SURE = 0.5
+WORDS, BITS = 3, 2  # shingle length and largest distance of near copies
 SEQUENCE = 4096
 END_ID = 1
 
@@ -25,17 +27,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from these documents' own labels outside the held-out fifth.
     """
-    found = languageid.identify(docs, names=("__lang", "__score"))
-    sure = (F.col("__lang") != languageid.UNDETERMINED) & (F.col("__score") > SURE)
-    return found.filter(sure).select(*docs.columns)
+    lang, score = free_names(docs.columns, "lang_pred", "score")
+    found = languageid.identify(docs, names=(lang, score))
+    return found.filter((F.col(lang) != languageid.UNDETERMINED) & (F.col(score) > SURE)).drop(lang, score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each group of near copies.
 
-    Linked are texts whose shingles of five words have a Jaccard similarity of 0.8 or more.
+    Linked are texts whose SimHash fingerprints, of shingles of three words, differ in two bits or fewer.
     """
-    return nearcopies.keep_one(docs)
+    return simhash.keep_one(docs, WORDS, BITS)
 
 
 def mask_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
