@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import table
-from plumbline.llm import bitpack, bloomdiff, chat, impact, languageid, packing, piecebpe, private, sharding, simhash
+from plumbline.llm import bitpack, bloomdiff, bytebpe, chat, impact, languageid, packing, piecebpe, private, sharding, simhash
 from plumbline.llm.common import text_of
 from plumbline.operators.durable import stage_path
 
@@ -107,3 +107,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloomdiff.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
