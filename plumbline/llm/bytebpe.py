@@ -54,6 +54,7 @@ class Merges:
         self.letters = [""] * size
         for letters, token in self.id.items():
             self.letters[token] = letters
+        self.length = [len(letters) for letters in self.letters]
         #: when a token comes into being: single bytes before all merges
         self.made = [-1 if len(letters) == 1 else token for token, letters in enumerate(self.letters)]
         self.longest = ahocorasick.Automaton()
@@ -111,22 +112,21 @@ class Merges:
                 right = self.undo(right)[0]
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether `right` may follow `left`; -1 stands for the beginning."""
-        key = left * self.size + right
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.reachable(right) and (left < 0 or self.stays_apart(left, right))
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
+        """Whether `right` may follow `left`, also kept in `pairs`; -1 stands for the beginning."""
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        known = self.reachable(right) and (left < 0 or self.stays_apart(left, right))
+        self.pairs[left * self.size + right] = known
         return known
 
     def shorter(self, token: int) -> int:
         """The longest token that is a proper prefix, -1 if there is none."""
-        if token not in self.prefix:
+        known = self.prefix.get(token)
+        if known is None:
             letters = self.letters[token]
-            self.prefix[token] = next((self.id[letters[:n]] for n in range(len(letters) - 1, 0, -1) if letters[:n] in self.id), -1)
-        return self.prefix[token]
+            known = next((self.id[letters[:n]] for n in range(len(letters) - 1, 0, -1) if letters[:n] in self.id), -1)
+            self.prefix[token] = known
+        return known
 
     def encode(self, raw: bytes) -> list[int]:
         """Ids of the bytes of one match."""
@@ -134,25 +134,28 @@ class Merges:
         whole = self.id.get(text)
         if whole is not None:
             return [whole]
-        n, letters = len(text), self.letters
+        n, length, size, pairs = len(text), self.length, self.size, self.pairs
         first = [0] * n
         for end, token in self.longest.iter(text):
-            first[end + 1 - len(letters[token])] = token  # of those that begin there, longer ones end later
+            first[end + 1 - length[token]] = token  # of those that begin there, longer ones end later
         dead = bytearray(n + 1)
-        tokens, at, token = [], 0, first[0]
+        tokens, last, at, token = [], -1, 0, first[0]
         while True:
-            after = at + len(letters[token])
-            if not dead[after] and self.fits(tokens[-1] if tokens else -1, token):
-                tokens.append(token)
-                if after == n:
-                    return tokens
-                at, token = after, first[after]
-                continue
+            after = at + length[token]
+            if not dead[after]:
+                fit = pairs.get(last * size + token)
+                if fit or (fit is None and self.fits(last, token)):
+                    tokens.append(token)
+                    if after == n:
+                        return tokens
+                    last, at, token = token, after, first[after]
+                    continue
             token = self.shorter(token)
             while token < 0:  # nothing fits here after what is before
                 dead[at] = 1
                 token = tokens.pop()
-                at -= len(letters[token])
+                at -= length[token]
+                last = tokens[-1] if tokens else -1
                 token = self.shorter(token)
 
 
