@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import table
-from plumbline.llm import bitpack, bloomdiff, bytebpe, chat, impact, languageid, negatives, packing, piecebpe, private, sharding, simhash
+from plumbline.llm import bitpack, bloomdiff, bytebpe, chat, impact, languageid, negatives, packing, piecebpe, prefixtrie, private, sharding, simhash
 from plumbline.llm.common import text_of
 from plumbline.operators.durable import stage_path
 
@@ -148,3 +148,44 @@ WITH usable AS (
 )
 SELECT * FROM found WHERE rank <= 5
 """
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefixtrie.with_heads(table(spark, sf_dir, "conversations"), every=100, longest=6)
+    return prefixtrie.trie(turns, convs).drop("turn_id", "length")
+
+
+ORACLE["op13_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS donor, xor(list_reduce(
+    list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ord(CAST(conv_id AS VARCHAR)[i]) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+    4294967295), 4294967295) % 6 AS h
+  FROM turns
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS own, t.p, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.donor AND t.p <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.p, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.p > c.h
+), whole AS (
+  SELECT c.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY own, p) FILTER (own IS NOT NULL), []) AS path
+  FROM convs c LEFT JOIN rebuilt USING (conv_id) GROUP BY c.conv_id
+), members AS (
+  SELECT conv_id, CAST(unnest(range(0, len(path) + 1)) AS BIGINT) AS depth, path FROM whole
+), nodes AS (
+  SELECT path[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256
+  FROM members GROUP BY ALL
+), counted AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.prefix[1:n.depth] = n.prefix) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+)
+SELECT v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, count_if(u.n_children = 0) AS n_leaves,
+  CAST(sum((u.n_convs - 1) * CASE WHEN u.depth = 0 THEN 0 ELSE length(u.prefix[u.depth].text) END) AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM counted v JOIN counted u ON u.depth >= v.depth AND u.prefix[1:v.depth] = v.prefix
+GROUP BY ALL
+"""
