@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches, stored, text_of
+from plumbline.llm.common import SLICE, small_batches, stored, text_of
 from plumbline.llm.wordbpe import encoder
 
 MAGIC = b"IDBITS01"
@@ -144,15 +144,15 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, vocabulary_size: in
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer = encoder(vocabulary).encode, None
+        encode, writer = encoder(vocabulary).encode_all, None
         system, path = fs.FileSystem.from_uri(folder)
         name = f"{path}/{uuid.uuid4().hex}.bits"
-        for batch in small_batches(batches):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+        for batch in small_batches(batches, SLICE):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"])):
                 if writer is None:
                     system.create_dir(path, recursive=True)
                     writer = IdWriter(system.open_output_stream(name), bits)
-                writer.add(doc_id, np.frombuffer(encode(text) + end, "<u4"))
+                writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
         if writer is not None:
             writer.close()
             writer.out.close()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.binpacking import plan
-from plumbline.llm.common import small_batches, stored, text_of
+from plumbline.llm.common import SLICE, small_batches, stored, text_of
 from plumbline.llm.wordbpe import encoder
 
 RANK_BITS = 44
@@ -36,11 +36,11 @@ def numbered_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        for batch in small_batches(batches):
+        encode = encoder(vocabulary).encode_all
+        for batch in small_batches(batches, SLICE):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                packed = encode(text) + end
+            for doc_id, encoded in zip(batch["doc_id"].to_pylist(), encode(batch["text"])):
+                packed = encoded + end
                 for i, at in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[at : at + 4 * capacity]
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)) + (part,) * ids)

@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -156,10 +158,23 @@ def test_pack_other_items(spark):
 
 @pytest.mark.parametrize("kept", [250_000, 5])
 def test_words_equal_the_library(library, texts, kept, monkeypatch):
-    monkeypatch.setattr(wordbpe, "KEPT_CHUNKS", kept)
+    monkeypatch.setattr(wordbpe, "KEPT", kept)
     words = WordEncoder(VOCABULARY)
     alphabet = ["a", "Don't", "'ll", "é", "É", "é", " ", "\n", "\x1f", "\x85", "ß", "İ", "ſ", "½", "12", "<|endoftext|>", "🎉", "日本", "--", "_"]
     rng = random.Random(4)
     made = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     for text in [*made, *(t for _, t in texts)]:
         assert words.encode(text) == ids_of(library, text).tobytes(), text
+
+
+def test_plain_letters_are_lowered_and_split_alike():
+    """Arrow and Python agree on every character that goes the short way."""
+    plain = [c for c in map(chr, range(0x110000)) if not (0xD800 <= ord(c) < 0xE000) and not wordbpe.OTHER.search(c)]
+    assert pc.utf8_lower(pa.array(plain)).to_pylist() == [c.lower() for c in plain]
+    assert [c for c in plain if pc.ascii_split_whitespace(pa.array([f"a{c}b"]))[0].as_py() != [f"a{c}b"]] == [c for c in plain if c.isspace()]
+
+
+def test_batches_equal_single_texts(library, texts):
+    mixed = [t for _, t in texts] + ["", " ", "日本", "a  b", "\n", "<|endoftext|> x"]
+    assert WordEncoder(VOCABULARY).encode_all(pa.array(mixed)) == [ids_of(library, t).tobytes() for t in mixed]
+    assert WordEncoder(VOCABULARY).encode_all(pa.array([], pa.string())) == []
