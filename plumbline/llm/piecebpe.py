@@ -5,7 +5,8 @@ characters that no piece holds side by side. A part is encoded from the left wit
 Aho-Corasick pass. Two neighbouring pieces are accepted if merging them anew would not choose another
 pair across their border; this is found by undoing their merges from the last one backwards. Where no
 piece fits, the last one is taken back for a shorter, and a bit per position remembers dead ends, so
-no position is tried twice. Distinct parts are kept per Python worker.
+no position is tried twice. Each distinct word of a batch is encoded once, and frequent ones once per
+Python worker.
 
 Null text is empty; a null doc_id is kept; repeated rows give repeated results; an empty table gives
 no rows; other columns are not read.
@@ -22,20 +23,20 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches, text_of
+from plumbline.llm.common import SLICE, Kept, gather, small_batches, text_of
 
 SPACE = "▁"
-KEPT_PARTS = 300_000
-KEPT_LENGTH = 64
-KEPT_PAIRS = 300_000
+KEPT_WORDS = 150_000  # in each of two generations
+KEPT_PAIRS = 200_000
 
 
-class PieceModel:
-    """Pieces, merge order and byte fallback of a SentencePiece BPE model."""
+class Pieces:
+    """Pieces and byte fallback of a SentencePiece model: all that decoding needs."""
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -46,6 +47,49 @@ class PieceModel:
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in every if sp.is_byte(i)}
         special = self.control | {self.unknown, *self.byte.values()}
         self.piece = {i: sp.id_to_piece(i) for i in every if i not in special}
+        self.bytes = [b""] * len(every)
+        for i, p in self.piece.items():
+            self.bytes[i] = p.replace(SPACE, " ").encode()
+        for b, i in self.byte.items():
+            self.bytes[i] = bytes([b])
+        self.bytes[self.unknown] = " ⁇ ".encode()
+        self.is_byte = {*self.byte.values()}
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.size = np.array([len(b) for b in self.bytes], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        codecs.register_error("each_byte", _each_byte)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: invalid bytes become U+FFFD each, one leading space goes."""
+        return self.decode_all([np.array(ids, "<u4").tobytes()])[0]
+
+    def decode_all(self, packed: list[bytes]) -> list[str]:
+        """The texts of little-endian unsigned 32-bit ids."""
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        joined, ends = gather(self.flat, self.first, self.size, ids)
+        ends = np.concatenate([[0], ends])
+        found, at, raw = [], 0, joined.tobytes()
+        for one in packed:
+            i, to = at, at + len(one) // 4
+            while i < to and ids[i] in self.control:
+                i += 1
+            start, end = int(ends[at]), int(ends[to])
+            if i < to and raw[start : start + 1] == b" " and ids[i] not in self.is_byte and ids[i] != self.unknown:
+                start += 1
+            try:
+                found.append(raw[start:end].decode())
+            except UnicodeDecodeError:
+                found.append(raw[start:end].decode(errors="each_byte"))
+            at = to
+        return found
+
+
+class PieceModel(Pieces):
+    """Merge order and backtracking of a SentencePiece BPE model with byte fallback."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.id = {p: i for i, p in self.piece.items()}
         self.score = {p: sp.get_score(i) for p, i in self.id.items() if len(p) > 1}
         runs = [p for p in self.score if not p.strip(SPACE)]
@@ -57,23 +101,15 @@ class PieceModel:
             raise ValueError("needs distinct scores, and a piece for each character of a piece")
         order = sorted(words, key=lambda p: -self.score[p])
         self.rank = {i: -1 for i in self.piece} | {self.id[p]: n for n, p in enumerate(order)}
-        self.length = [len(self.piece.get(i, "")) for i in every]
+        self.length = [len(self.piece.get(i, "")) for i in range(len(self.bytes))]
         self.found = ahocorasick.Automaton()
         for p in [*words, *(p for p in self.id if len(p) == 1)]:
             self.found.add_word(p, self.id[p])
         self.found.make_automaton()
         self.beside = {p[i : i + 2] for p in words for i in range(len(p) - 1)}
-        self.parts: dict[str, list[int]] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.prefix: dict[int, int | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.bytes = [b""] * len(every)
-        for i, p in self.piece.items():
-            self.bytes[i] = p.replace(SPACE, " ").encode()
-        for b, i in self.byte.items():
-            self.bytes[i] = bytes([b])
-        self.bytes[self.unknown] = " ⁇ ".encode()
-        self.is_byte = {*self.byte.values()}
 
     def merge(self, text: str) -> list[tuple[str, str, str]]:
         """Plain merging, best score first, then leftmost: (piece, its left half, its right half)."""
@@ -188,72 +224,62 @@ class PieceModel:
         return ids
 
     def whole(self, part: str) -> list[int]:
-        """Ids of a part without cuts; short ones are kept."""
-        ids = self.parts.get(part)
-        if ids is None:
-            if part in self.id:
-                ids = [self.id[part]] if self.usable(self.id[part]) else self.backtrack(part)
-            elif len(part) == 1:
-                ids = [self.byte[b] for b in part.encode()]
-            else:
-                ids = self.backtrack(part)
-            if len(part) <= KEPT_LENGTH:
-                if len(self.parts) >= KEPT_PARTS:
-                    self.parts.clear()
-                self.parts[part] = ids
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: invalid bytes become U+FFFD each, one leading space goes."""
-        i = 0
-        while i < len(ids) and ids[i] in self.control:
-            i += 1
-        if i == len(ids):
-            return ""
-        joined = b"".join(map(self.bytes.__getitem__, ids))
-        if joined[:1] == b" " and ids[i] not in self.is_byte and ids[i] != self.unknown:
-            joined = joined[1:]
-        try:
-            return joined.decode()
-        except UnicodeDecodeError:
-            return joined.decode(errors="each_byte")
+        """Ids of a part without cuts."""
+        known = self.id.get(part)
+        if known is not None:
+            return [known] if self.usable(known) else self.backtrack(part)
+        if len(part) == 1:
+            return [self.byte[b] for b in part.encode()]
+        return self.backtrack(part)
 
 
 def _each_byte(error: UnicodeError) -> tuple[str, int]:
     return "�", error.start + 1
 
 
-class PartEncoder(dict):
-    """Word without the space before it -> ids as little-endian unsigned 32-bit integers."""
+class PartEncoder:
+    """Ids as little-endian unsigned 32-bit integers, with the begin and end ids."""
 
     def __init__(self, path: str):
-        super().__init__()
-        codecs.register_error("each_byte", _each_byte)
         self.model = PieceModel(path)
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.model.begin, self.model.end))
+        self.words = Kept(lambda word: np.array(self.model.part(SPACE + word), "<u4").tobytes(), KEPT_WORDS)
 
-    def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.model.part(SPACE + word), "<u4").tobytes()
-        if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PARTS:
-                self.clear()
-            self[word] = packed
-        return packed
+    def _spaced(self, text: str) -> bytes:
+        """Ids of a text with runs of spaces."""
+        parts = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
+        return b"".join(
+            self.words[p[1:]] if SPACE not in p[1:] and p[0] == SPACE else np.array(self.model.part(p), "<u4").tobytes() for p in parts
+        )
 
     def encode(self, text: str) -> bytes:
-        """Ids with the begin and end ids."""
-        if not text:
-            return self.begin + self.end
-        words = text.split(" ")
-        if SPACE in text or "" in words:
-            parts = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", SPACE + text.replace(" ", SPACE))
-            found = [self[p[1:]] if SPACE not in p[1:] and p[0] == SPACE else np.array(self.model.part(p), "<u4").tobytes() for p in parts]
-        else:
-            found = map(self.__getitem__, words)
-        return self.begin + b"".join(found) + self.end
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; in all of them together a distinct word is looked up once."""
+        found, plain = [self.begin + self.end] * len(texts), []
+        for i, text in enumerate(texts.to_pylist()):
+            if SPACE in text or "  " in text or text[:1] == " " or text[-1:] == " ":
+                found[i] = self.begin + self._spaced(text) + self.end
+            elif text:
+                plain.append(i)
+        if not plain:
+            return found
+        if len(plain) < len(texts):
+            texts = texts.take(pa.array(plain))
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        known = [self.words[w] for w in coded.dictionary.to_pylist()]
+        n = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, ends = gather(np.frombuffer(b"".join(known), "<u4"), np.cumsum(n) - n, n, coded.indices.to_numpy())
+        packed = ids.tobytes()
+        bounds = (4 * np.concatenate([[0], ends])[split.offsets.to_numpy()]).tolist()
+        for i, a, b in zip(plain, bounds, bounds[1:]):
+            found[i] = self.begin + packed[a:b] + self.end
+        return found
 
     def decode(self, packed: bytes) -> str:
-        return self.model.decode(np.frombuffer(packed, "<u4").tolist())
+        return self.model.decode_all([packed])[0]
 
 
 @lru_cache(maxsize=2)
@@ -262,13 +288,19 @@ def encoder(path: str) -> PartEncoder:
     return PartEncoder(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Pieces:
+    """One decoder per model file and Python worker."""
+    return Pieces(path)
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32 bits, with begin and end) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(model).encode
-        for batch in small_batches(batches):
-            ids = pa.array([one(t) for t in batch["text"].to_pylist()], pa.binary())
+        one = encoder(model)
+        for batch in small_batches(batches, SLICE):
+            ids = pa.array(one.encode_all(batch["text"]), pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
@@ -279,8 +311,13 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     @F.arrow_udf("string")
     def decoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        one = encoder(model).decode
+        one = decoder(model)
         for part in parts:
-            yield pa.array([None if ids is None else one(ids) for ids in part.to_pylist()], pa.string())
+            found = []
+            for some in small_batches([pa.record_batch([part], names=["ids"])], SLICE):
+                ids = some["ids"].to_pylist()
+                texts = iter(one.decode_all([i for i in ids if i is not None]))
+                found.append(pa.array([None if i is None else next(texts) for i in ids], pa.string()))
+            yield pa.concat_arrays(found) if found else pa.array([], pa.string())
 
     return encoded.withColumn("decoded", decoded("ids"))
