@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import neighbors
 from plumbline.operators import prepare as prep
 from plumbline.operators.diagnose import IMBALANCE, diagnose
 from plumbline.operators.neighbors import nearest
@@ -177,3 +178,52 @@ def test_registered_rounds_search_as_much_as_the_operator(spark, monkeypatch, na
     with pytest.raises(RuntimeError, match="enough"):
         QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert asked == [(tuning.DRAWS, tuning.FOLDS)]
+
+
+@pytest.mark.parametrize(("kind", "most"), [("uncorrelated", 0.10), ("clustered", 0.02)])
+def test_few_distances_are_computed(spark, kind, most):
+    """Twelve features, compared pairs counted, neighbours those of all pairs."""
+    rng = np.random.default_rng(11)
+    n, width, k = 100_000, 12, 5
+    x = rng.random((n, width)) if kind == "uncorrelated" else 10 * rng.normal(size=(200, width))[rng.integers(0, 200, n)] + rng.normal(size=(n, width))
+    names = [f"f{i}" for i in range(width)]
+    base = pd.DataFrame(x, columns=names).assign(base=np.arange(n))
+    asked = base.iloc[:: n // 200].rename(columns={"base": "key"})
+    counter = spark.sparkContext.accumulator(0)
+    table = spark.createDataFrame(base).repartition(8)
+    got = nearest(spark.createDataFrame(asked), table, names, k, "key", "base", chunk_rows=8192, compared=counter).collect()
+    assert k * len(asked) < counter.value < most * n * len(asked)
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["key"], []).append(r["base"])
+    for key, v in zip(asked["key"], asked[names].to_numpy()):
+        d2 = ((x - v) ** 2).sum(axis=1)
+        assert found[key] == np.lexsort((np.arange(n), d2))[:k].tolist()
+
+
+def test_box_trees():
+    rng = np.random.default_rng(12)
+    for n, width, cells in [(0, 2, 5), (1, 1, 4), (700, 3, 16), (400, 2, 100)]:
+        sample = np.round(rng.normal(size=(n, width)), 1)
+        tree = neighbors.cuts(sample, cells)
+        number = neighbors.cell_of(rng.normal(size=(500, width)), tree)
+        assert len(tree) < cells and set(number.tolist()) <= set(range(len(tree) + 1))
+        sizes = np.bincount(neighbors.cell_of(sample, tree), minlength=1)
+        assert n < 700 or sizes.max() < 3 * n / cells
+    places = neighbors.split(np.zeros((100, 2)), 16)
+    assert sorted(np.concatenate(places).tolist()) == list(range(100)) and max(map(len, places)) <= 16
+    points, low, high = np.array([[0.0, 5.0], [2.0, 2.0]]), np.array([[1.0, 1.0]]), np.array([[3.0, 3.0]])
+    assert neighbors.box_distance(points, low, high).tolist() == [[5.0], [0.0]]
+
+
+def test_a_cell_with_many_rows_is_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "CELLS", 2)
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 40, (900, 2)).astype(float)
+    base = spark.createDataFrame([(i, *v) for i, v in enumerate(x.tolist())], "base int, a double, b double")
+    asked = spark.createDataFrame([(i, *v) for i, v in enumerate(x[:60].tolist())], "key int, a double, b double")
+    got = {(r["key"], r["rank"]): r["base"] for r in nearest(asked, base, ["a", "b"], 4, "key", "base", chunk_rows=50).collect()}
+    for key in range(60):
+        d2 = ((x - x[key]) ** 2).sum(axis=1)
+        assert [got[key, i + 1] for i in range(4)] == np.lexsort((np.arange(900), d2))[:4].tolist()
+    assert nearest(asked, base.filter("false"), ["a", "b"], 4, "key", "base").count() == 0
