@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from plumbline.operators import skew
 from plumbline.operators.profile import q
 
-CHUNK_ROWS = 16_384
+CHUNK_ROWS = 8192
+QUERY_ROWS = 2048  # of a cell that one task answers
 CELLS = 4096
 SAMPLE_PER_CELL = 32
 LEAF = 16
@@ -131,6 +132,8 @@ def search(
             d2[inner < 0] = np.inf
             if own is not None:
                 d2[keys[inner] == own[rows][:, None]] = np.inf
+            better = (d2 <= best[rows, -1:]).any(axis=1)
+            rows, d2, inner = rows[better], d2[better], inner[better]
             found, where = np.concatenate([best[rows], d2], axis=1), np.concatenate([place[rows], inner], axis=1)
             near = np.lexsort((where, found), axis=1)[:, :k]
             best[rows], place[rows] = np.take_along_axis(found, near, 1), np.take_along_axis(where, near, 1)
@@ -230,7 +233,7 @@ def nearest(
     points = points.join(slices, "cell").select("cell", part("bk").alias("slice"), "bk", F.col("v").alias("bv"), "c")
     asked = asked.withColumn("cell", home_of("v")).join(slices, "cell").withColumn("slice", part("qk"))
     run = _searcher(k, same_row, compared)
-    home = _searched(asked.withColumn("r2", F.lit(math.inf)), points, run, schema, chunk_rows)
+    home = _searched(asked.withColumn("r2", F.lit(math.inf)), points, run, schema)
     if len(sizes) == 1 and sizes[0][1] == 1:
         return _result(home, k, query_key, base_key, carry)
     bound = home.groupBy("qk").agg(F.when(F.count("bk") >= k, F.max("d2")).alias("r2"))
@@ -238,7 +241,7 @@ def nearest(
     sent = bounded.withColumn("r2", F.coalesce("r2", F.lit(math.inf)))
     sent = sent.withColumn("cell", F.explode(reached("v", "r2"))).join(slices, "cell")
     sent = sent.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    found = home.unionByName(_searched(sent.filter("NOT (cell = home AND slice = own)"), points, run, schema, chunk_rows))
+    found = home.unionByName(_searched(sent.filter("NOT (cell = home AND slice = own)"), points, run, schema))
     return _result(found, k, query_key, base_key, carry)
 
 
@@ -255,17 +258,16 @@ def _result(found: DataFrame, k: int, query_key: str, base_key: str, carry: str
     )
 
 
-def _searched(asked: DataFrame, points: DataFrame, run, schema: str, block_rows: int) -> DataFrame:
+def _searched(asked: DataFrame, points: DataFrame, run, schema: str) -> DataFrame:
     """Run the search per chunk, the queries of a busy cell cut into blocks."""
     counts = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     # at most CELLS rows
-    busy = F.broadcast(counts.select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
+    busy = F.broadcast(counts.select("cell", F.ceil(F.col("n") / QUERY_ROWS).cast("int").alias("blocks")))
     spread = asked.join(busy, "cell").withColumn("block", F.pmod(F.xxhash64("qk"), F.col("blocks")).cast("int"))
     repeated = points.join(busy, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["cell", "slice", "block"]
-    return (
-        spread.select(*keys, "qk", "v", "r2")
-        .groupBy(*keys)
-        .cogroup(repeated.select(*keys, "bk", "bv", "c").groupBy(*keys))
-        .applyInPandas(run, schema)
-    )
+    # a given number, since the work is not in the bytes by which adaptive execution would merge tasks
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    queries = spread.select(*keys, "qk", "v", "r2").repartition(tasks, *keys).groupBy(*keys)
+    rows = repeated.select(*keys, "bk", "bv", "c").repartition(tasks, *keys).groupBy(*keys)
+    return queries.cogroup(rows).applyInPandas(run, schema)
