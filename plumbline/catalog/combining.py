@@ -13,6 +13,9 @@ from plumbline.sources.documents import cap_text
 from plumbline.sources.files import read_folder, read_table, require_rows, write_prepared
 
 
+DOCUMENT_ROWS = 10_000
+
+
 def _new_folder(spark: SparkSession) -> str:
     return f"{stage_path(spark, 'files')}/table"
 
@@ -76,6 +79,18 @@ def read_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, folder)
 
 
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def read_json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one list each, some thousand objects long, over several lines."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    documents = 2 + rows.count() // DOCUMENT_ROWS
+    dealt = rows.select(F.pmod(F.xxhash64("c_custkey"), F.lit(documents)).alias("d"), F.to_json(F.struct(*rows.columns)).alias("o"))
+    lists = dealt.groupBy("d").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("o"), ",\n "), F.lit("]")).alias("value"))
+    folder = _new_folder(spark) + ".json"
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return read_table(spark, folder)
+
+
 BLANK = (
     r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
     r"\x{205F}\x{3000}]"

@@ -2,9 +2,9 @@
 
 Tolerant CSV files are read as lines, so large files split over many tasks. Files in
 which a quoted field holds a line break are found by a look at each line alone; their
-lines are put together to records again, one task per file, and all others keep
-splitting. The raw lines are staged once as Parquet, because charset, header, types and
-data each need a look at them.
+lines are put together to records again, also by many tasks (`records.py`). The raw lines
+are staged once as Parquet, because charset, header, types and data each need a look at
+them.
 """
 
 from __future__ import annotations
@@ -13,21 +13,20 @@ import csv
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.times import as_time
 from plumbline.operators.combine import concat_tables
 from plumbline.operators.durable import materialize, stage_path
 from plumbline.operators.profile import q
+from plumbline.sources.records import closing, json_objects, quoted_records
 
 HEADER_SEARCH_LINES = 30
 LEGACY_CHARSET = "x-windows-949"  # the Java name of cp949
 LAST_CHARSET = "ISO-8859-1"
 END = "\x01"  # appended to every line to tell short rows from long ones
 COPIED = "named-"  # in front of copies of files that Spark would take for hidden ones
-# A line whose fields are all closed: quoted as a whole, or not beginning with a quote.
-CLOSED = r'^(?:(?:"(?:[^"]++|"")*+"[^SEP]*+|[^"SEP][^SEP]*+|)(?:SEP|$))*+$'
 WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 # Texts that count as missing.
@@ -48,19 +47,35 @@ TYPE_PATTERNS = {
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Read one table by its extension: csv, txt, tsv or json; others count as csv.
 
-    Texts that mark missing values become NULL, then types are inferred. A delimited
-    file whose quoted fields hold line breaks is read as a whole by one task.
+    Texts that mark missing values become NULL, then types are inferred. Quoted fields
+    may hold line breaks; a quote that is never closed ends with its line.
     """
     name = path.lower().rstrip("/")
     if name.endswith(".json"):
         return _read_json(spark, path)
     sep = "\t" if name.endswith(".tsv") else ","
-    closed = CLOSED.replace("SEP", sep)
-    broken = not spark.read.text(path).filter(~F.col("value").rlike(closed)).isEmpty()
-    text = spark.read.csv(path, header=True, sep=sep, escape='"', multiLine=broken)
+    lines = spark.read.text(path)
+    if lines.filter(~closing(F.col("value"), sep)["closed"]).isEmpty():
+        text = spark.read.csv(path, header=True, sep=sep, escape='"')
+    else:
+        text = _read_records(spark, path, sep)
     return infer_types(text.select(*[_known(q(c)).alias(c) for c in text.columns]), ())
 
 
+def _read_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """Delimited files whose records span lines, all columns as text; each file has its header."""
+    # only the first record is read for the names
+    columns = spark.read.csv(path, header=True, sep=sep, escape='"', multiLine=True).columns
+    lines = _stage_lines(spark, [path], sep).withColumn("text", F.col("raw").cast("string"))
+    records = materialize(quoted_records(lines.drop("raw")).filter(F.length(F.trim("text")) > 0))
+    headers = records.groupBy("path").agg(F.min(F.struct("block", "at")).alias("header"))
+    body = records.join(headers, "path").filter(F.struct("block", "at") != F.col("header"))
+    schema = ", ".join(f"c{i} string" for i in range(len(columns)))
+    row = F.from_csv("text", schema, {"escape": '"', "sep": sep, "mode": "PERMISSIVE"})
+    parsed = body.select(row.alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def _known(value: Column, *more: str) -> Column:
     """The text, or NULL where it marks a missing value."""
     return F.when(~value.isin([*MISSING, *more]), value)
@@ -69,8 +84,14 @@ def _known(value: Column, *more: str) -> Column:
 def _read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON as lines of records, as one list of records, or by column; never a part of a file.
 
-    Lines split over tasks; the other forms are one document, which one task parses.
+    Lines and lists split over tasks; the form by column is one document, which one task parses.
     """
+    start = spark.read.option("lineSep", "}").text(path).select(F.ltrim(F.regexp_replace("value", r"[\x{FEFF}\s]+", " ")).alias("s"))
+    first = start.filter("s <> ''").first()
+    if first is not None and first["s"].startswith("["):
+        folder = f"{stage_path(spark, 'objects')}/lines"
+        json_objects(spark, path).write.text(folder)
+        return spark.read.option("mode", "FAILFAST").json(folder)
     lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> ''")
     n, records = lines.agg(F.count(F.lit(1)), F.count_if(F.col("line").rlike(r"^\{.*\}$"))).first()
     if n > 1 and n == records:
@@ -148,12 +169,9 @@ def _visible(spark: SparkSession, pattern: str) -> list[str]:
     return ([pattern] if len(skipped) < len(found) else []) + [folder]
 
 
-def _stage_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """All lines with their file, their place in it and whether their fields are closed."""
-    try:
-        text = spark.read.text(_visible(spark, pattern))
-    except AnalysisException as error:
-        raise ValueError(f"no CSV file found: {pattern}") from error
+def _stage_lines(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
+    """All lines with their file, their place in it and what they do to open quotes."""
+    text = spark.read.text(paths)
     # the position is stored, since a second scan may cut the files differently
     return materialize(
         text.select(
@@ -162,7 +180,7 @@ def _stage_lines(spark: SparkSession, pattern: str) -> DataFrame:
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("at"),
             F.col("value").cast("binary").alias("raw"),
-            F.col("value").rlike(CLOSED.replace("SEP", ",")).alias("closed"),
+            *[c.alias(name) for name, c in closing(F.col("value"), sep).items()],
         )
     )
 
@@ -201,18 +219,6 @@ def _column_names(header: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """Lines put together to records: a line goes on while a quote is open before it."""
-    order = Window.partitionBy("path").orderBy("block", "at")
-    quotes = F.length(F.regexp_replace("text", '[^"]', ""))
-    before = F.sum(quotes).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = (F.coalesce(before, F.lit(0)) % 2 == 0).cast("int")
-    numbered = lines.withColumn("begins", begins).withColumn("record", F.sum("begins").over(order))
-    parts = F.array_sort(F.collect_list(F.struct("block", "at", "text")))
-    joined = F.array_join(F.transform(parts, lambda p: p["text"]), "\n")
-    return numbered.groupBy("path", "__source", "record").agg(joined.alias("text")).select("__source", "text")
-
-
 def _parse(lines: DataFrame, files: DataFrame, header: bytes, utf8: bool, spans: bool) -> DataFrame:
     """Rows of the files with one charset and one header, all columns as text."""
     columns = _column_names(header.decode("utf-8-sig" if utf8 else "cp949"))
@@ -220,9 +226,9 @@ def _parse(lines: DataFrame, files: DataFrame, header: bytes, utf8: bool, spans:
     heads = files.filter(alike).select("path", "header_at")
     body = lines.join(heads, "path").filter("NOT (block = 0 AND at <= header_at)")
     text = F.col("raw").cast("string") if utf8 else legacy_text(F.col("raw"))
-    body = body.select("path", "__source", "block", "at", text.alias("text"))
+    body = body.select("path", "__source", "block", "at", text.alias("text"), "closed", "closes")
     if spans:
-        body = _records(body)
+        body = quoted_records(body)
     fields = [f"c{i}" for i in range(len(columns) + 1)]
     schema = ", ".join(f"{c} string" for c in fields)
     row = F.from_csv(F.concat("text", F.lit("," + END)), schema, {"escape": '"', "mode": "PERMISSIVE"})
@@ -264,7 +270,10 @@ def infer_types(df: DataFrame, keep: tuple[str, ...] = ("__source",)) -> DataFra
 
 
 def _read_lines(spark: SparkSession, pattern: str, infer: bool, header_lines: int) -> DataFrame:
-    lines = _stage_lines(spark, pattern)
+    try:
+        lines = _stage_lines(spark, _visible(spark, pattern))
+    except AnalysisException as error:
+        raise ValueError(f"no CSV file found: {pattern}") from error
     with java_charsets(spark):
         files = _describe_files(spark, lines, header_lines)
         # one entry per different header, however many files share it
