@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from random import Random
 
 from pyspark.ml import Estimator
 from pyspark.ml import classification as cls
 from pyspark.ml import regression as reg
 
+from plumbline.plans.bayes import SmoothedBayes
+
 SEED = 42
 TASKS = ("classification", "regression", "timeseries")
 
@@ -31,18 +35,33 @@ CANDIDATES = {
     "timeseries": ("ridge", "decision_tree", "gradient_boosting"),
 }
 
-# Values tried by the random search.
+@dataclass(frozen=True)
+class Range:
+    """Any value from `low` to `high`, drawn evenly or, with `log`, evenly in its logarithm."""
+
+    low: float
+    high: float
+    log: bool = False
+
+    def draw(self, rng: Random) -> float:
+        if self.log:
+            return math.exp(rng.uniform(math.log(self.low), math.log(self.high)))
+        return rng.uniform(self.low, self.high)
+
+
+# What the random search draws from: ranges, or values to choose from. The penalty of plain least
+# squares is too small to matter but for columns that almost determine each other.
 SEARCH = {
-    "logistic_regression": {"regParam": [0.0, 0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.25, 0.5, 1.0]},
+    "logistic_regression": {"regParam": Range(1e-4, 1.0, log=True), "elasticNetParam": Range(0.0, 1.0)},
     "random_forest": {"numTrees": [10, 20, 40, 80], "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 5, 20]},
-    "gradient_boosting": {"maxIter": [5, 10, 20], "maxDepth": [2, 3, 5], "stepSize": [0.05, 0.1, 0.2]},
-    "svm": {"regParam": [0.0, 0.001, 0.01, 0.1, 1.0], "maxIter": [20, 50, 100, 200]},
+    "gradient_boosting": {"maxIter": [5, 10, 20], "maxDepth": [2, 3, 5], "stepSize": Range(0.02, 0.3, log=True)},
+    "svm": {"regParam": Range(1e-4, 1.0, log=True), "maxIter": [20, 50, 100, 200]},
     "decision_tree": {"maxDepth": [2, 3, 5, 8, 10], "minInstancesPerNode": [1, 5, 20, 50]},
-    "naive_bayes": {"smoothing": [0.5, 1.0, 2.0]},
-    "linear_regression": {"fitIntercept": [True, False]},
-    "ridge": {"regParam": [0.001, 0.01, 0.1, 1.0, 10.0]},
-    "lasso": {"regParam": [0.001, 0.01, 0.1, 1.0, 10.0]},
-    "elasticnet": {"regParam": [0.001, 0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.1, 0.3, 0.5, 0.7, 0.9]},
+    "naive_bayes": {"varSmoothing": Range(1e-9, 0.1, log=True)},
+    "linear_regression": {"regParam": Range(1e-9, 1e-4, log=True), "fitIntercept": [True, True, False]},
+    "ridge": {"regParam": Range(1e-3, 10.0, log=True)},
+    "lasso": {"regParam": Range(1e-3, 10.0, log=True)},
+    "elasticnet": {"regParam": Range(1e-3, 10.0, log=True), "elasticNetParam": Range(0.05, 0.95)},
 }
 
 
@@ -87,7 +106,7 @@ def estimator(
             "gradient_boosting": (cls.GBTClassifier, {"seed": SEED}),
             "svm": (cls.LinearSVC, {}),
             "decision_tree": (cls.DecisionTreeClassifier, {"seed": SEED}),
-            "naive_bayes": (cls.NaiveBayes, {"modelType": "gaussian"}),
+            "naive_bayes": (SmoothedBayes, {}),
         }
     else:
         makers = {

@@ -15,7 +15,8 @@ from plumbline.functions.hashing import fold_of
 from plumbline.functions.times import micros
 from plumbline.operators.order import nth_values
 from plumbline.operators.profile import q
-from plumbline.plans.families import SEARCH, SEED, Plan, estimator
+from plumbline.plans import grams
+from plumbline.plans.families import SEARCH, SEED, Plan, Range, estimator
 from plumbline.plans.fitting import assembled, class_labels, with_label
 
 DRAWS = 20
@@ -24,10 +25,12 @@ RESULT = "draw int, params string, score double, best boolean"
 
 
 def draw_params(family: str, draws: int = DRAWS, seed: int = SEED) -> list[dict]:
-    """Different settings from the family's search values; all when there are fewer."""
-    space = SEARCH[family]
-    grid = [dict(zip(space, values)) for values in itertools.product(*space.values())]
-    return random.Random(seed).sample(grid, min(draws, len(grid)))
+    """Different settings: drawn from the family's ranges, or from all combinations of its values."""
+    space, rng = SEARCH[family], random.Random(seed)
+    if not any(isinstance(values, Range) for values in space.values()):
+        grid = [dict(zip(space, values)) for values in itertools.product(*space.values())]
+        return rng.sample(grid, min(draws, len(grid)))
+    return [{name: v.draw(rng) if isinstance(v, Range) else rng.choice(v) for name, v in space.items()} for _ in range(draws)]
 
 
 def _evaluator(task: str):
@@ -47,7 +50,7 @@ def tune(
     """The plan with its best settings, and one row (draw, params, score, best) per draw.
 
     Folds are a hash of the key. For time series each fold is tested after the times
-    it was trained on, never before.
+    it was trained on, never before. Linear families take one pass for all settings and folds.
     """
     if plan.family == "knn":
         raise ValueError("knn has no settings to search")
@@ -55,7 +58,14 @@ def tune(
     settings = draw_params(plan.family, draws, seed)
     labels = class_labels(train, plan.target) if plan.task == "classification" else []
     rows = with_label(assembled(train, list(plan.features)), plan, labels)
-    if plan.task == "timeseries":
+    if plan.family in grams.FAMILIES:
+        forward = plan.task == "timeseries"
+        dealt = forward_folds(rows, plan.time, folds) if forward else rows.withColumn("fold", fold_of(plan.key, folds=folds, seed=seed))
+        pairs = [(list(range(i)), i) for i in range(1, folds + 1)] if forward else [
+            ([j for j in range(folds) if j != i], i) for i in range(folds)
+        ]
+        scores = grams.scores(dealt.select("features", "label", F.col("fold").cast("int")), plan.family, settings, pairs)
+    elif plan.task == "timeseries":
         scores = _forward_scores(plan, rows, settings, folds)
     else:
         rows = rows.select("features", "label", fold_of(plan.key, folds=folds, seed=seed).alias("fold"))

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import fold_of
 from plumbline.operators import neighbors
 from plumbline.operators import prepare as prep
 from plumbline.operators.diagnose import IMBALANCE, diagnose
@@ -10,6 +11,7 @@ from plumbline.operators.neighbors import nearest
 from plumbline.operators.oversample import smote
 from plumbline.operators.profile import high_corr_pairs
 from plumbline.operators.split import split_random
+from plumbline.plans import grams
 from plumbline.plans.families import CANDIDATES, FAMILIES, Plan, candidates, estimator
 from plumbline.plans.fitting import fit, importance
 from plumbline.plans.improving import best_of, improve
@@ -227,3 +229,74 @@ def test_a_cell_with_many_rows_is_cut_into_slices(spark, monkeypatch):
         d2 = ((x - x[key]) ** 2).sum(axis=1)
         assert [got[key, i + 1] for i in range(4)] == np.lexsort((np.arange(900), d2))[:4].tolist()
     assert nearest(asked, base.filter("false"), ["a", "b"], 4, "key", "base").count() == 0
+
+
+def test_every_family_draws_twenty_settings():
+    for family in {f for of in FAMILIES.values() for f in of} - {"knn"}:
+        drawn = draw_params(family)
+        assert len(drawn) == len({str(s) for s in drawn}) == 20 and drawn == draw_params(family), family
+
+
+def correlated(spark, n=400):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(n, 3)) * [1, 50, 0.01] + [1e4, -3, 0]
+    x[:, 2] += 0.02 * (x[:, 0] - 1e4)
+    y = 3 * x[:, 0] - 0.2 * x[:, 1] + rng.normal(size=n) + 100
+    frame = pd.DataFrame({"id": np.arange(n), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "same": 5.0, "y": y})
+    return spark.createDataFrame(frame).withColumn("t", F.timestamp_seconds("id").cast("timestamp_ntz")).repartition(5)
+
+
+@pytest.mark.parametrize("family", grams.FAMILIES)
+@pytest.mark.parametrize("task", ["regression", "timeseries"])
+def test_one_pass_scores_equal_fits_one_by_one(spark, family, task):
+    if family not in FAMILIES[task]:
+        return
+    df = correlated(spark)
+    plan = Plan(family, task, "y", ("a", "b", "c", "same"), "id", "t")
+    found = tune(plan, df, draws=4)[1].orderBy("draw").collect()
+    if task == "timeseries":
+        dealt = forward_folds(df, "t")
+        parts = [(dealt.filter(F.col("fold") < i), dealt.filter(F.col("fold") == i)) for i in (1, 2, 3)]
+    else:
+        dealt = df.withColumn("fold", fold_of("id", folds=3, seed=42))
+        parts = [(dealt.filter(F.col("fold") != i), dealt.filter(F.col("fold") == i)) for i in range(3)]
+    for r, s in zip(found, draw_params(family, 4)):
+        assert r["params"] == str(s)
+        total = 0.0
+        for past, test in parts:
+            predicted = fit(Plan(family, task, "y", plan.features, "id", "t", params=s), past).predict(test).toPandas()
+            rest = ((predicted["label"] - predicted["prediction"]) ** 2).sum()
+            total += 1 - rest / ((predicted["label"] - predicted["label"].mean()) ** 2).sum()
+        assert r["score"] == pytest.approx(total / 3, abs=2e-4), s
+
+
+def test_a_search_of_a_linear_family_takes_one_pass(spark):
+    df = correlated(spark)
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        reads.add(1)
+        return v
+
+    rows = df.select("id", "a", "b", "c", counted("y").alias("y"))
+    plan = Plan("ridge", "regression", "y", ("a", "b", "c"), "id")
+    table = tune(plan, rows)[1]
+    assert table.count() == 20 and table.filter("best").count() == 1
+    assert 400 <= reads.value <= 2 * 400  # the sums of each row, and the first rows for the centre
+
+
+def test_smoothed_variances(spark):
+    train, test = parts(points(spark))
+    plain, same, wide = (
+        fit(Plan("naive_bayes", "classification", "y", ("a", "b"), "id", params=p), train) for p in ({}, {"varSmoothing": 0.0}, {"varSmoothing": 0.5})
+    )
+    assert sorted(map(tuple, plain.predict(test).collect())) == sorted(map(tuple, same.predict(test).collect()))
+    variances = plain.model.sigma.toArray()
+    assert np.allclose(wide.model.sigma.toArray(), variances + 0.5 * variances.max())
+    x = np.array([[r["a"], r["b"]] for r in test.orderBy("id").collect()])
+    means, v, prior = wide.model.theta.toArray(), wide.model.sigma.toArray(), wide.model.pi.toArray()
+    logs = prior - 0.5 * (np.log(v)[None] + (x[:, None] - means) ** 2 / v).sum(axis=2)
+    assert [r["prediction"] for r in wide.predict(test).orderBy("id").collect()] == [wide.labels[i] for i in logs.argmax(axis=1)]
+    best, table = tune(Plan("naive_bayes", "classification", "y", ("a", "b"), "id"), train, draws=3)
+    assert table.count() == 3 and set(best.params) == {"varSmoothing"}
