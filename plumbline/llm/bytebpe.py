@@ -173,8 +173,8 @@ class Decoder:
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The bytes of each run of ids, the runs given by their n + 1 offsets."""
         joined, ends = gather(self.flat, self.first, self.size, ids)
-        bounds = np.concatenate([[0], ends])[offsets].astype("<i8")
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(joined)])
+        bounds = np.concatenate([[0], ends])[offsets].astype("<i4")
+        return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(joined)])
 
 
 class TextEncoder:
@@ -211,16 +211,24 @@ def decoder(path: str) -> Decoder:
     return Decoder(read_ranks(path))
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (an array) of every whole text, by the ranks file at `path` and its pattern."""
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (an array) of every whole text, by the ranks file at `path` and its pattern.
+
+    If asked for, also `decoded`, the bytes that the ids give, from the same Python worker.
+    """
+    names = ["doc_id", "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(path, pattern)
-        for batch in small_batches(batches, SLICE):
+        for batch in small_batches(batches, SLICE // 4):  # matches are Python strings
             ids = one.encode_all(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], ids], names=["doc_id", "ids"])
+            columns = [batch["doc_id"], ids]
+            if decoded:
+                columns.append(decoder(path).decode_all(ids.values.to_numpy(), ids.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    kinds = "doc_id bigint, ids array<int>" + ", decoded binary" * decoded
+    return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, kinds)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -234,7 +242,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for some in small_batches([pa.record_batch([part], names=["ids"])], SLICE):
                 lists = some["ids"]
                 offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                raw = one.decode_all(lists.flatten().to_numpy(zero_copy_only=False), offsets).cast(pa.binary())
+                raw = one.decode_all(lists.flatten().to_numpy(zero_copy_only=False), offsets)
                 found.append(pc.if_else(lists.is_valid(), raw, pa.scalar(None, pa.binary())))
             yield pa.concat_arrays(found) if found else pa.array([], pa.binary())
 

@@ -294,16 +294,24 @@ def decoder(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32 bits, with begin and end) of every whole text."""
+def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32 bits, with begin and end) of every whole text.
+
+    If asked for, also `decoded`, the text that the ids give, from the same Python worker.
+    """
+    names = ["doc_id", "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(model)
-        for batch in small_batches(batches, SLICE):
-            ids = pa.array(one.encode_all(batch["text"]), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], ids], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, ids binary")
+        for batch in small_batches(batches, SLICE // 2):
+            ids = one.encode_all(batch["text"])
+            columns = [batch["doc_id"], pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array(one.model.decode_all(ids), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = "doc_id bigint, ids binary" + ", decoded string" * decoded
+    return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, kinds)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

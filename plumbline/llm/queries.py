@@ -90,7 +90,7 @@ def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = piecebpe.decode(piecebpe.encode(table(spark, sf_dir, "documents"), model), model)
+    coded = piecebpe.encode(table(spark, sf_dir, "documents"), model, decoded=True)
     n = (F.octet_length("ids") / 4).cast("bigint")
     return coded.select(
         "doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
@@ -112,7 +112,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    coded = bytebpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decoded=True)
     return coded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
