@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import SLICE, Kept, gather, small_batches, text_of
 
 SPACE = "▁"
-KEPT_WORDS = 150_000  # in each of two generations
+KEPT_WORDS = 300_000  # in each of two generations
 KEPT_PAIRS = 200_000
 
 
