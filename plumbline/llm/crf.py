@@ -13,9 +13,7 @@ from collections import Counter
 
 import numpy as np
 
-#: characters of words that are no letters: superscripts, fractions, circled and other numbers
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # and numbers that are no digits, such as superscripts
 BUCKETS = 1 << 17
 CHAIN = 256
 LONGEST = 32
@@ -24,7 +22,8 @@ KEPT_WORDS = 200_000
 
 def core(chunk: str) -> str:
     """The letters of a chunk in lower case; empty if it has none."""
-    return "".join(LETTERS.findall(chunk)).lower()
+    found = "".join(LETTERS.findall(chunk))
+    return (found if found.isalpha() else "".join(filter(str.isalpha, found))).lower()
 
 
 def chunks(text: str) -> list[str]:
