@@ -11,23 +11,27 @@ from pyspark.ml import classification as cls
 from pyspark.ml import regression as reg
 
 from plumbline.plans.bayes import SmoothedBayes
+from plumbline.plans.newton import BoostedNewton
 
 SEED = 42
 TASKS = ("classification", "regression", "timeseries")
 
-# Families offered per task.
+# Families offered per task; `boosted_newton` is the second-order form of boosting.
 FAMILIES = {
     "classification": (
         "logistic_regression", "random_forest", "gradient_boosting", "svm", "knn",
-        "decision_tree", "naive_bayes",
+        "decision_tree", "naive_bayes", "boosted_newton",
     ),
     "regression": (
         "linear_regression", "ridge", "lasso", "random_forest", "gradient_boosting",
-        "elasticnet", "decision_tree",
+        "elasticnet", "decision_tree", "boosted_newton",
     ),
-    "timeseries": ("random_forest", "gradient_boosting", "decision_tree", "ridge", "lasso"),
+    "timeseries": ("random_forest", "gradient_boosting", "decision_tree", "ridge", "lasso", "boosted_newton"),
 }
 
+# Families that place missing values themselves; the others need complete rows.
+TAKES_MISSING = ("boosted_newton",)
+
 # Simple, balanced, strong: three different families per task.
 CANDIDATES = {
     "classification": ("logistic_regression", "decision_tree", "gradient_boosting"),
@@ -55,6 +59,10 @@ SEARCH = {
     "logistic_regression": {"regParam": Range(1e-4, 1.0, log=True), "elasticNetParam": Range(0.0, 1.0)},
     "random_forest": {"numTrees": [10, 20, 40, 80], "maxDepth": [3, 5, 8], "minInstancesPerNode": [1, 5, 20]},
     "gradient_boosting": {"maxIter": [5, 10, 20], "maxDepth": [2, 3, 5], "stepSize": Range(0.02, 0.3, log=True)},
+    "boosted_newton": {
+        "maxIter": [10, 20, 40], "maxDepth": [2, 3, 4, 6], "stepSize": Range(0.05, 0.5, log=True),
+        "regLambda": Range(0.1, 10.0, log=True), "minChildWeight": [1.0, 5.0, 20.0],
+    },
     "svm": {"regParam": Range(1e-4, 1.0, log=True), "maxIter": [20, 50, 100, 200]},
     "decision_tree": {"maxDepth": [2, 3, 5, 8, 10], "minInstancesPerNode": [1, 5, 20, 50]},
     "naive_bayes": {"varSmoothing": Range(1e-9, 0.1, log=True)},
@@ -107,6 +115,7 @@ def estimator(
             "svm": (cls.LinearSVC, {}),
             "decision_tree": (cls.DecisionTreeClassifier, {"seed": SEED}),
             "naive_bayes": (SmoothedBayes, {}),
+            "boosted_newton": (BoostedNewton, {"classes": classes}),
         }
     else:
         makers = {
@@ -117,6 +126,7 @@ def estimator(
             "random_forest": (reg.RandomForestRegressor, {"seed": SEED}),
             "gradient_boosting": (reg.GBTRegressor, {"seed": SEED}),
             "decision_tree": (reg.DecisionTreeRegressor, {"seed": SEED}),
+            "boosted_newton": (BoostedNewton, {}),
         }
     maker, fixed = makers[family]
     single = maker(**{**fixed, **common, **params})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import skew
 from plumbline.operators.neighbors import nearest
 from plumbline.operators.profile import q
-from plumbline.plans.families import Plan, estimator
+from plumbline.plans.families import TAKES_MISSING, Plan, estimator
 
 KNN = 5
 MAX_CLASSES = 1000
@@ -32,7 +32,7 @@ class Fitted:
         plan = self.plan
         if plan.family == "knn":
             return _vote(self, rows)
-        scored = self.model.transform(assembled(rows, list(plan.features)))
+        scored = self.model.transform(assembled(rows, list(plan.features), plan.family))
         if plan.task == "classification":
             names = F.array(*[F.lit(x) for x in self.labels])
             predicted = F.get(names, F.col("prediction").cast("int"))
@@ -43,8 +43,10 @@ class Fitted:
         )
 
 
-def assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(df)
+def assembled(df: DataFrame, features: list[str], family: str | None = None) -> DataFrame:
+    """Add `features`; missing values become NaN for families that take them and are an error for others."""
+    invalid = "keep" if family in TAKES_MISSING else "error"
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid=invalid).transform(df)
 
 
 def class_labels(train: DataFrame, target: str, max_classes: int = MAX_CLASSES) -> list:
@@ -64,11 +66,11 @@ def with_label(df: DataFrame, plan: Plan, labels: list) -> DataFrame:
 
 
 def fit(plan: Plan, train: DataFrame, weight: str | None = None) -> Fitted:
-    """Fit the plan on complete training rows."""
+    """Fit the plan on complete training rows; families that take missing values need no complete ones."""
     labels = class_labels(train, plan.target) if plan.task == "classification" else []
     if plan.family == "knn":
         return Fitted(plan, None, labels, train)
-    usable = with_label(assembled(train, list(plan.features)), plan, labels)
+    usable = with_label(assembled(train, list(plan.features), plan.family), plan, labels)
     # several passes follow; what does not fit in memory goes to disk
     usable = usable.select("features", "label", *([weight] if weight else [])).persist()
     try:

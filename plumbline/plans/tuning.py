@@ -57,7 +57,7 @@ def tune(
     spark = train.sparkSession
     settings = draw_params(plan.family, draws, seed)
     labels = class_labels(train, plan.target) if plan.task == "classification" else []
-    rows = with_label(assembled(train, list(plan.features)), plan, labels)
+    rows = with_label(assembled(train, list(plan.features), plan.family), plan, labels)
     if plan.family in grams.FAMILIES:
         forward = plan.task == "timeseries"
         dealt = forward_folds(rows, plan.time, folds) if forward else rows.withColumn("fold", fold_of(plan.key, folds=folds, seed=seed))
