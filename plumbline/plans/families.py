@@ -11,6 +11,7 @@ from pyspark.ml import classification as cls
 from pyspark.ml import regression as reg
 
 from plumbline.plans.bayes import SmoothedBayes
+from plumbline.plans.fourier import FourierSVR
 from plumbline.plans.newton import BoostedNewton
 
 SEED = 42
@@ -24,7 +25,7 @@ FAMILIES = {
     ),
     "regression": (
         "linear_regression", "ridge", "lasso", "random_forest", "gradient_boosting",
-        "elasticnet", "decision_tree", "boosted_newton",
+        "svr", "elasticnet", "decision_tree", "boosted_newton",
     ),
     "timeseries": ("random_forest", "gradient_boosting", "decision_tree", "ridge", "lasso", "boosted_newton"),
 }
@@ -64,6 +65,7 @@ SEARCH = {
         "regLambda": Range(0.1, 10.0, log=True), "minChildWeight": [1.0, 5.0, 20.0],
     },
     "svm": {"regParam": Range(1e-4, 1.0, log=True), "maxIter": [20, 50, 100, 200]},
+    "svr": {"regParam": Range(1e-5, 0.1, log=True), "epsilon": Range(0.01, 0.5, log=True), "gamma": Range(0.01, 2.0, log=True)},
     "decision_tree": {"maxDepth": [2, 3, 5, 8, 10], "minInstancesPerNode": [1, 5, 20, 50]},
     "naive_bayes": {"varSmoothing": Range(1e-9, 0.1, log=True)},
     "linear_regression": {"regParam": Range(1e-9, 1e-4, log=True), "fitIntercept": [True, True, False]},
@@ -127,6 +129,7 @@ def estimator(
             "gradient_boosting": (reg.GBTRegressor, {"seed": SEED}),
             "decision_tree": (reg.DecisionTreeRegressor, {"seed": SEED}),
             "boosted_newton": (BoostedNewton, {}),
+            "svr": (FourierSVR, {}),
         }
     maker, fixed = makers[family]
     single = maker(**{**fixed, **common, **params})

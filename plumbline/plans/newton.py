@@ -21,7 +21,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.durable import discard, materialize, stage_path
@@ -94,7 +94,7 @@ def _unpack(frame: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(state: DataFrame, done: list[list[Tree]], trees: list[Tree], level: int, width: int, bins: int, loss: str) -> DataFrame:
-    """Sums of gradients and Hessians per margin, node of the level, feature and bin."""
+    """Each task's sums of gradients and Hessians per margin, node of the level, feature and bin."""
     first, nodes = 2**level - 1, 2**level
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,42 +115,35 @@ def _cells(state: DataFrame, done: list[list[Tree]], trees: list[Tree], level: i
         c, node, f, b = np.nonzero(h_sum)
         yield pd.DataFrame({"c": c, "node": node + first, "f": f, "bin": b, "g": g_sum[c, node, f, b], "h": h_sum[c, node, f, b]})
 
-    return state.mapInPandas(add, CELLS).groupBy("c", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    return state.mapInPandas(add, CELLS)
+
+
+BEST_SPLITS = """
+    WITH sums AS (SELECT c, node, f, bin, sum(g) AS g, sum(h) AS h FROM {cells} GROUP BY c, node, f, bin),
+         sides AS (SELECT *, sum(g) OVER each AS g_all, sum(h) OVER each AS h_all, sum(g) OVER so_far AS g_low, sum(h) OVER so_far AS h_low,
+                          coalesce(sum(IF(bin = :bins, g, NULL)) OVER each, 0D) AS g_gone,
+                          coalesce(sum(IF(bin = :bins, h, NULL)) OVER each, 0D) AS h_gone
+                   FROM sums WINDOW each AS (PARTITION BY c, node, f), so_far AS (PARTITION BY c, node, f ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+         options AS (SELECT c, node, f, bin, g_all, h_all, missing_right, o.g, o.h
+                     FROM sides LATERAL VIEW inline(array(struct(TRUE AS r, g_low AS g, h_low AS h), struct(FALSE AS r, g_low + g_gone AS g, h_low + h_gone AS h))) o AS missing_right, g, h
+                     WHERE missing_right OR h_gone > 0)
+    SELECT c, node, inline(array(max(struct(
+               IF(bin < :bins AND h >= :least AND h_all - h >= :least AND h_all - h > 0,
+                  g * g / (h + :penalty) + (g_all - g) * (g_all - g) / (h_all - h + :penalty) - g_all * g_all / (h_all + :penalty), -1D) AS gain,
+               -f AS f, -bin AS bin, missing_right, g, h, g_all, h_all))))
+    FROM options GROUP BY c, node
+    """
 
 
 def best_splits(cells: DataFrame, bins: int, penalty: float, least: float) -> DataFrame:
-    """One row per (c, node): the split with the highest gain, and the sums of both sides.
+    """One row per (c, node): the split with the highest gain, the sums of its left side and of both.
 
-    Ties go to the smaller feature, then the smaller bin, then missing values to the right. Without a
-    split that leaves `least` Hessian on both sides the gain is -1.
+    The bin numbered `bins` holds missing values. Ties go to the smaller feature, then the smaller bin,
+    then missing values to the right. Without a split that leaves `least` Hessian on both sides the gain
+    is -1.
     """
-    each = Window.partitionBy("c", "node", "f")
-    so_far = each.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    here = F.col("bin") < bins  # the bin beyond holds missing values
-    sides = cells
-    for x in ("g", "h"):
-        sides = sides.withColumns({
-            f"{x}_all": F.sum(x).over(each), f"{x}_low": F.sum(x).over(so_far),
-            f"{x}_gone": F.coalesce(F.sum(F.when(~here, F.col(x))).over(each), F.lit(0.0)),
-        })
-
-    def part(g, h):
-        return g * g / (h + penalty)
-
-    def option(missing_left: bool):
-        g = F.col("g_low") + (F.col("g_gone") if missing_left else F.lit(0.0))
-        h = F.col("h_low") + (F.col("h_gone") if missing_left else F.lit(0.0))
-        g_all, h_all = F.col("g_all"), F.col("h_all")
-        gain = part(g, h) + part(g_all - g, h_all - h) - part(g_all, h_all)
-        fits = here & (h >= least) & (h_all - h >= least) & (h_all - h > 0)
-        return F.struct(
-            F.coalesce(F.when(fits, gain), F.lit(-1.0)).alias("gain"), (-F.col("f")).alias("f"), (-F.col("bin")).alias("bin"),
-            F.lit(not missing_left).alias("missing_right"), g.alias("g"), h.alias("h"), g_all.alias("g_all"), h_all.alias("h_all"),
-        )
-
-    # without missing values both options are equal, and only the right one is offered
-    best = F.greatest(option(False), F.when(F.col("h_gone") > 0, option(True)))
-    return sides.groupBy("c", "node").agg(F.max(best).alias("s")).select("c", "node", "s.*")
+    given = {"bins": bins, "penalty": float(penalty), "least": float(least)}
+    return cells.sparkSession.sql(BEST_SPLITS, given, cells=cells)
 
 
 class NewtonModel(Model):
@@ -199,7 +192,7 @@ class BoostedNewton(Estimator):
         super().__init__()
         self.loss = "squared" if classes is None else "logistic" if classes <= 2 else "softmax"
         self.classes, self.weight = classes or 0, weightCol
-        self._setDefault(maxIter=20, maxDepth=4, stepSize=0.3, regLambda=1.0, minChildWeight=1.0, maxBins=64)
+        self._setDefault(maxIter=10, maxDepth=4, stepSize=0.3, regLambda=1.0, minChildWeight=1.0, maxBins=64)
         self._set(**params)
 
     def _fit(self, dataset: DataFrame) -> NewtonModel:

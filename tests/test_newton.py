@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.plans import newton
-from plumbline.plans.families import Plan
+from plumbline.plans.families import SEARCH, Plan
 from plumbline.plans.fitting import fit, importance
 from plumbline.plans.tuning import tune
 
@@ -88,7 +88,7 @@ def test_missing_values_of_either_kind_choose_a_side(spark):
         "id", F.expr("CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN double('NaN') ELSE double(id % 7) END").alias("a"), F.lit(1.0).alias("same"),
         F.expr("IF(id % 4 < 2, 10.0, 0.0)").alias("y"),
     )
-    plan = Plan("boosted_newton", "regression", "y", ("a", "same"), "id", params={"maxIter": 20, "stepSize": 0.5})
+    plan = Plan("boosted_newton", "regression", "y", ("a", "same"), "id", params={"maxIter": 9, "maxDepth": 1, "stepSize": 0.8})
     fitted = fit(plan, rows)
     wrong = fitted.predict(rows).filter("abs(label - prediction) > 0.1")
     assert wrong.count() == 0
@@ -107,7 +107,8 @@ def test_rows_without_split_label_or_any(spark):
     assert fit(plan, one).predict(one.limit(0)).count() == 0
 
 
-def test_settings_are_searched(spark):
+def test_settings_are_searched(spark, monkeypatch):
+    monkeypatch.setitem(SEARCH, "boosted_newton", SEARCH["boosted_newton"] | {"maxIter": [2, 3], "maxDepth": [2]})
     plan = Plan("boosted_newton", "classification", "y", ("a", "b", "c"), "id")
     best, table = tune(plan, spark.createDataFrame(frame_of("logistic")), draws=2, folds=2)
     assert set(best.params) == {"maxIter", "maxDepth", "stepSize", "regLambda", "minChildWeight"}
