@@ -276,17 +276,18 @@ STUMP_SQL = ", ".join(f"({i}, CAST({c} AS DOUBLE))" for i, c in enumerate(ITEM_F
 
 @query(
     f"""
-    WITH x AS (SELECT l.*, l_orderkey * 16 + l_linenumber AS k FROM lineitem l), {ITEMS_TEST_SQL.strip()},
+    WITH i AS (SELECT l.*, l_orderkey * 16 + l_linenumber AS k, l_extendedprice AS y,
+                      ('0x' || substr(md5((l_orderkey * 16 + l_linenumber) || '42'), 1, 8))::UBIGINT / 4294967296.0 < 0.2 AS in_test
+               FROM lineitem l),
          m AS (SELECT avg(y) AS base, CAST(count(*) AS DOUBLE) AS rows FROM i WHERE NOT in_test),
-         v AS (SELECT f, val, y - base AS rest, rows FROM x JOIN i USING (k), m, LATERAL (VALUES {STUMP_SQL}) u(f, val) WHERE NOT in_test),
+         v AS (SELECT f, val, y - base AS rest, rows FROM i, m, LATERAL (VALUES {STUMP_SQL}) u(f, val) WHERE NOT in_test),
          g AS (SELECT f, val, sum(rest) AS s, count(*) AS n, any_value(rows) AS rows FROM v GROUP BY f, val),
          c AS (SELECT f, val, rows, sum(s) OVER low AS s, sum(n) OVER low AS n, sum(s) OVER (PARTITION BY f) AS s_all
                FROM g WINDOW low AS (PARTITION BY f ORDER BY val)),
          b AS (SELECT * FROM c WHERE n >= 1 AND rows - n >= 1
-               ORDER BY s * s / (n + 1) + (s_all - s) * (s_all - s) / (rows - n + 1) DESC, f, val LIMIT 1),
-         t AS (SELECT k, f AS at, val FROM x, LATERAL (VALUES {STUMP_SQL}) u(f, val))
-    SELECT i.k AS row_id, round(base + CASE WHEN t.val <= b.val THEN s / (n + 1) ELSE (s_all - s) / (b.rows - n + 1) END, 4) AS prediction
-    FROM i JOIN t USING (k), m, b WHERE in_test AND t.at = b.f
+               ORDER BY s * s / (n + 1) + (s_all - s) * (s_all - s) / (rows - n + 1) DESC, f, val LIMIT 1)
+    SELECT k AS row_id, round(base + CASE WHEN u.val <= b.val THEN s / (n + 1) ELSE (s_all - s) / (b.rows - n + 1) END, 4) AS prediction
+    FROM i, m, b, LATERAL (VALUES {STUMP_SQL}) u(f, val) WHERE in_test AND u.f = b.f
     """
 )
 def boosted_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
