@@ -23,11 +23,10 @@ from plumbline.operators.diagnose import (
 )
 from plumbline.operators.leaderboard import MAX_ROUNDS, best_run, run_score
 from plumbline.operators.metrics import classification_metrics, regression_metrics
-from plumbline.operators.oversample import smote
 from plumbline.operators.profile import class_distribution, high_corr_pairs, q
 from plumbline.plans.families import CANDIDATES, Plan
 from plumbline.plans.fitting import Fitted, fit, importance
-from plumbline.plans.tuning import DRAWS, FOLDS, tune
+from plumbline.plans.tuning import DRAWS, FOLDS, WEIGHT, balanced, tune
 
 FIT_ERRORS = (ValueError, AnalysisException, IllegalArgumentException)  # what data can cause
 WEAK = {ACCURACY, ACCURACY_TOO_LOW, R2, R2_NEGATIVE, R2_TOO_LOW}
@@ -81,31 +80,32 @@ def improve(
 ) -> DataFrame:
     """Diagnosed runs, one row per round, until trusted or at most `rounds` rounds.
 
-    Every round first searches settings (`draws` of them, 0 for none; not for knn). Each
-    round answers the checks of the one before: class weights, then synthetic rows for
-    imbalance, dropping collinear columns, a stronger family for weak scores. What was
-    done is in `preprocessing`; the mitigation checks read it there. A round whose data
-    do not allow a fit is a failed run with its message; failures of the engine are not
-    caught.
+    Every round first searches settings (`draws` of them, 0 for none; not for knn) on rows
+    balanced as those it then fits, fold by fold. Each round answers the checks of the one
+    before: class weights, then synthetic rows for imbalance, dropping collinear columns, a
+    stronger family for weak scores. What was done is in `preprocessing`; the mitigation checks
+    read it there. A round whose data do not allow a fit is a failed run with its message;
+    failures of the engine are not caught.
     """
     spark = train.sparkSession
     train, test = train.persist(), test.persist()  # read by every round, search and count
     try:
-        tables, remedy, weight, smoted = [], "none", None, False
+        tables, remedy, balance = [], "none", None
         names = spark.createDataFrame([], RUN_SCHEMA).columns
-        fitted_on, steps_done = train, list(preprocessing)
+        steps_done = list(preprocessing)
         succeeded = False
         for i in range(1, rounds + 1):
             values = {
                 "session_id": session, "round": i, "task": plan.task, "family": plan.family, "remedy": remedy,
-                "preprocessing": steps_done, "derived_features": list(derived), "smote": smoted, "balanced": weight is not None,
+                "preprocessing": steps_done, "derived_features": list(derived), "smote": balance == "synthetic", "balanced": balance == "weights",
             }
             try:
                 if draws and plan.family != "knn":
-                    plan, searched = tune(plan, train, draws, folds)
+                    plan, searched = tune(plan, train, draws, folds, balance=balance)
                     values["cv_score"] = searched.filter("best").first()["score"]
                     values["best_params"] = {k: str(v) for k, v in plan.params.items()}
-                values.update(run_row(plan, fitted_on, test, weight, train))
+                weight = WEIGHT if balance == "weights" else None
+                values.update(run_row(plan, balanced(plan, train, balance), test, weight, train))
             except FIT_ERRORS as error:  # a failed round is a result too
                 values.update(ok=False, error=f"{type(error).__name__}: {error}"[:500])
             run = spark.createDataFrame([tuple(values.get(c) for c in names)], RUN_SCHEMA)
@@ -118,13 +118,12 @@ def improve(
             failed = {c["item"] for c in seen["checks"] if c["level"] != "ok"}
             steps = []
             if IMBALANCE in failed and plan.task == "classification":
-                if weight is None and plan.family != "knn":
-                    weight, fitted_on = "__weight", prep.class_weights(train, plan.target, "__weight")
+                if balance != "weights" and plan.family != "knn":
+                    balance = "weights"
                     steps.append("class weights")
                     steps_done = [*steps_done, "balanced class weights"]
                 else:
-                    weight, smoted = None, True
-                    fitted_on = smote(train, list(plan.features), plan.target, plan.key)
+                    balance = "synthetic"
                     steps.append("synthetic rows")
                     steps_done = [*steps_done, "SMOTE"]
             if COLLINEARITY in failed:

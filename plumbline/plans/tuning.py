@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections.abc import Iterator
 from dataclasses import replace
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import fold_of
 from plumbline.functions.times import micros
+from plumbline.operators import prepare as prep
 from plumbline.operators.order import nth_values
+from plumbline.operators.oversample import smote
 from plumbline.operators.profile import q
 from plumbline.plans import grams
 from plumbline.plans.families import SEARCH, SEED, Plan, Range, estimator
@@ -21,6 +25,8 @@ from plumbline.plans.fitting import assembled, class_labels, with_label
 
 DRAWS = 20
 FOLDS = 3
+WEIGHT = "__weight"
+BALANCES = (None, "weights", "synthetic")
 RESULT = "draw int, params string, score double, best boolean"
 
 
@@ -46,14 +52,19 @@ def tune(
     folds: int = FOLDS,
     seed: int = SEED,
     parallelism: int = 4,
+    balance: str | None = None,
 ) -> tuple[Plan, DataFrame]:
     """The plan with its best settings, and one row (draw, params, score, best) per draw.
 
     Folds are a hash of the key. For time series each fold is tested after the times
     it was trained on, never before. Linear families take one pass for all settings and folds.
+    With `balance` (weights, synthetic; classification only) the rows to fit on are balanced
+    fold by fold, from the other folds alone, and the scores are those of real rows.
     """
     if plan.family == "knn":
         raise ValueError("knn has no settings to search")
+    if balance not in BALANCES or (balance and plan.task != "classification"):
+        raise ValueError(f"balance must be one of {BALANCES}, and only classes are balanced")
     spark = train.sparkSession
     settings = draw_params(plan.family, draws, seed)
     labels = class_labels(train, plan.target) if plan.task == "classification" else []
@@ -65,6 +76,8 @@ def tune(
             ([j for j in range(folds) if j != i], i) for i in range(folds)
         ]
         scores = grams.scores(dealt.select("features", "label", F.col("fold").cast("int")), plan.family, settings, pairs)
+    elif balance:
+        scores = _balanced_scores(plan, train, labels, settings, folds, seed, balance, parallelism)
     elif plan.task == "timeseries":
         scores = _forward_scores(plan, rows, settings, folds)
     else:
@@ -88,6 +101,45 @@ def tune(
     return replace(plan, params=settings[best]), table
 
 
+def balanced(plan: Plan, rows: DataFrame, balance: str | None) -> DataFrame:
+    """The rows with class weights in `__weight`, or with synthetic rows; nothing else is looked at."""
+    if balance == "weights":
+        return prep.class_weights(rows, plan.target, WEIGHT)
+    return smote(rows, list(plan.features), plan.target, plan.key) if balance == "synthetic" else rows
+
+
+def balanced_folds(
+    plan: Plan, train: DataFrame, balance: str | None, folds: int = FOLDS, seed: int = SEED
+) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each fold the other folds' rows, balanced by themselves, and its own rows as they are."""
+    fold = fold_of(plan.key, folds=folds, seed=seed)
+    for i in range(folds):
+        yield balanced(plan, train.filter(fold != i), balance), train.filter(fold == i)
+
+
+def _balanced_scores(
+    plan: Plan, train: DataFrame, labels: list, settings: list[dict], folds: int, seed: int, balance: str, parallelism: int
+) -> list[float]:
+    weight = WEIGHT if balance == "weights" else None
+    totals = [0.0] * len(settings)
+    for parts in balanced_folds(plan, train, balance, folds, seed):
+        past, test = (with_label(assembled(p, list(plan.features), plan.family), plan, labels) for p in parts)
+        past = past.select("features", "label", *([weight] if weight else [])).persist()
+        test = test.select("features", "label").persist()
+
+        def score(setting: dict) -> float:
+            model = estimator(plan.family, plan.task, len(labels), weight, **setting).fit(past)
+            return _evaluator(plan.task).evaluate(model.transform(test))
+
+        try:
+            with ThreadPool(min(parallelism, len(settings))) as pool:
+                totals = [t + s for t, s in zip(totals, pool.map(score, settings))]
+        finally:
+            past.unpersist()
+            test.unpersist()
+    return [t / folds for t in totals]
+
+
 def forward_folds(df: DataFrame, time: str, folds: int = FOLDS) -> DataFrame:
     """Add `fold` 0 .. folds by time in equal shares; fold i is tested after 0 .. i-1."""
     at = df.select(micros(q(time)).alias("at"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import fold_of
 from plumbline.operators import neighbors
 from plumbline.operators import prepare as prep
+from plumbline.operators.audit import audit_leakage
 from plumbline.operators.diagnose import IMBALANCE, diagnose
 from plumbline.operators.neighbors import nearest
 from plumbline.operators.oversample import smote
@@ -15,7 +16,7 @@ from plumbline.plans import grams
 from plumbline.plans.families import CANDIDATES, FAMILIES, Plan, candidates, estimator
 from plumbline.plans.fitting import fit, importance
 from plumbline.plans.improving import best_of, improve
-from plumbline.plans.tuning import draw_params, forward_folds, tune
+from plumbline.plans.tuning import balanced_folds, draw_params, forward_folds, tune
 
 
 def brute_force(asked, base, k, same_row):
@@ -121,6 +122,50 @@ def test_search_is_repeatable(spark):
     assert max(r["score"] for r in rows) == next(r["score"] for r in rows if r["best"])
 
 
+def planted(spark, n=240):
+    """A rare class of few rows, near enough for synthetic rows between all of them."""
+    return spark.range(n).select(
+        "id", (F.col("id") % 17 * 1.0).alias("a"), (F.col("id") * 7 % 23 * 1.0).alias("b"), F.expr("IF(id % 8 = 0, 'rare', 'usual')").alias("y")
+    )
+
+
+def test_remedies_stay_inside_the_folds(spark):
+    plan, rows = Plan("decision_tree", "classification", "y", ("a", "b"), "id"), planted(spark)
+
+    def leaks(past, test):
+        return audit_leakage(past, test, "id", "origin").agg(F.sum("n")).first()[0]
+
+    fold = fold_of("id", folds=3, seed=42)
+    before = smote(rows, ["a", "b"], "y", "id")  # planted: made before the folds are cut
+    assert leaks(before.filter(F.col("synthetic") | (fold != 0)), rows.filter(fold == 0)) > 0
+    for past, test in balanced_folds(plan, rows, "synthetic"):
+        assert leaks(past, test) == 0 and "synthetic" not in test.columns
+        assert past.filter("synthetic").count() > 0
+        assert past.groupBy("y").count().select("count").distinct().count() == 1
+    seen = 0
+    for past, test in balanced_folds(plan, rows, "weights"):
+        totals = past.groupBy("y").agg(F.sum("__weight").alias("w")).collect()
+        assert len({round(r["w"], 6) for r in totals}) == 1 and past.join(test, "id").count() == 0
+        seen += test.count()
+    assert seen == rows.count()
+
+
+def test_search_scores_what_is_fitted(spark):
+    plan, rows = Plan("decision_tree", "classification", "y", ("a", "b"), "id"), planted(spark)
+    best, table = tune(plan, rows, draws=3, folds=2, balance="weights")
+    scores = []
+    for past, test in balanced_folds(plan, rows, "weights", 2):
+        preds = fit(best, past, "__weight").predict(test)
+        scores.append(preds.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0])
+    assert table.filter("best").first()["score"] == pytest.approx(np.mean(scores))
+    assert table.count() == 3
+    assert tune(plan, rows, draws=2, folds=2, balance="synthetic")[1].filter("score BETWEEN 0 AND 1").count() == 2
+    with pytest.raises(ValueError, match="balance"):
+        tune(plan, rows, balance="more")
+    with pytest.raises(ValueError, match="balance"):
+        tune(Plan("ridge", "regression", "a", ("b",), "id"), rows, balance="weights")
+
+
 def test_forward_folds_never_look_ahead(spark):
     df = spark.range(100).select(F.timestamp_seconds("id").cast("timestamp_ntz").alias("t"), (F.col("id") * 1.0).alias("x"), "id")
     folds = forward_folds(df, "t").groupBy("fold").agg(F.min("t"), F.max("t")).orderBy("fold").collect()
@@ -172,7 +217,7 @@ def test_registered_rounds_search_as_much_as_the_operator(spark, monkeypatch, na
 
     asked = []
 
-    def search(plan, train, draws, folds):
+    def search(plan, train, draws, folds, balance=None):
         asked.append((draws, folds))
         raise RuntimeError("enough")
 
