@@ -1,7 +1,8 @@
 """Gradient boosting of second order, from histograms of gradients and Hessians.
 
 Every feature is cut at its quantiles once (mergeable sketches, one aggregation), and a row is kept as
-one byte per feature. A level of a tree is one job: tasks add up gradients and Hessians per node, feature
+one byte per feature, packed into blocks: tasks combine rows with equal bytes, which have equal margins
+(and, but for squared loss, equal labels), into one of their summed weight. A level of a tree is one job: tasks add up gradients and Hessians per node, feature
 and bin, Spark adds up the tasks, and windows over the bins find the best split of each node. The driver
 receives one row per node and class, whatever the number of rows or features.
 
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.durable import discard, materialize, stage_path
+from plumbline.plans.blocks import distinct, taken
 
 KEEP = 8
 MOST_BINS = 255
-STATE = "codes binary, y double, w double, margin array<double>"
+BLOCK_ROWS = 1 << 16
+STATE = "codes binary, y binary, w binary, margin binary"
 CELLS = "c int, node int, f int, bin int, g double, h double"
 
 
@@ -88,24 +92,46 @@ def add_trees(margin: np.ndarray, codes: np.ndarray, rounds: list[list[Tree]], m
     return margin
 
 
-def _unpack(frame: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.frombuffer(b"".join(frame["codes"]), np.uint8).reshape(-1, width)
-    return codes, np.stack(frame["margin"].to_numpy()).astype(float)
+def combined(codes: np.ndarray, y: np.ndarray, w: np.ndarray, squared: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal codes as one with their weight, if that halves them.
+
+    Squared loss needs the mean label of such rows only, the others keep the labels apart.
+    """
+    keys = codes if squared else np.hstack([codes, y[:, None].copy().view(np.uint8)])
+    places, which = distinct(keys)
+    if 2 * len(places) > len(y):
+        return codes, y, w
+    weight = np.bincount(which, w, len(places))
+    if not squared:
+        return codes[places], y[places], weight
+    total = np.bincount(which, w * y, len(places))
+    return codes[places], np.divide(total, weight, out=np.zeros_like(total), where=weight != 0), weight
+
+
+def _blocks(codes: np.ndarray, y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(y), BLOCK_ROWS):
+        part = {k: v[i : i + BLOCK_ROWS].tobytes() for k, v in (("codes", codes), ("y", y), ("w", w), ("margin", margin))}
+        yield pa.RecordBatch.from_pylist([part], pa.schema([(k, pa.binary()) for k in part]))
+
+
+def _unpack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Codes, labels, weights and margins of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            codes, y, w, margin = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in zip(("codes", "y", "w", "margin"), "Bddd"))
+            yield codes.reshape(-1, width), y, w, margin.reshape(len(y), -1).copy()
 
 
 def _cells(state: DataFrame, done: list[list[Tree]], trees: list[Tree], level: int, width: int, bins: int, loss: str) -> DataFrame:
     """Each task's sums of gradients and Hessians per margin, node of the level, feature and bin."""
     first, nodes = 2**level - 1, 2**level
 
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = (len(trees), nodes, width, bins + 1)
         g_sum, h_sum = np.zeros(shape), np.zeros(shape)
         places = np.arange(width) * (bins + 1)
-        for frame in frames:
-            if not len(frame):
-                continue
-            codes, margin = _unpack(frame, width)
-            g, h = gradients(add_trees(margin, codes, done, bins), frame["y"].to_numpy(), frame["w"].to_numpy(), loss)
+        for codes, y, w, margin in _unpack(batches, width):
+            g, h = gradients(add_trees(margin, codes, done, bins), y, w, loss)
             for c, tree in enumerate(trees):
                 node = tree.walk(codes, bins) - first
                 open_ = node >= 0  # the others ended in a leaf above
@@ -113,9 +139,10 @@ def _cells(state: DataFrame, done: list[list[Tree]], trees: list[Tree], level: i
                 for sums, values in ((g_sum, g), (h_sum, h)):
                     sums[c] += np.bincount(cell, np.repeat(values[open_, c], width), sums[c].size).reshape(sums[c].shape)
         c, node, f, b = np.nonzero(h_sum)
-        yield pd.DataFrame({"c": c, "node": node + first, "f": f, "bin": b, "g": g_sum[c, node, f, b], "h": h_sum[c, node, f, b]})
+        places = {k: pa.array(v, pa.int32()) for k, v in (("c", c), ("node", node + first), ("f", f), ("bin", b))}
+        yield pa.record_batch({**places, "g": pa.array(g_sum[c, node, f, b]), "h": pa.array(h_sum[c, node, f, b])})
 
-    return state.mapInPandas(add, CELLS)
+    return state.mapInArrow(add, CELLS)
 
 
 BEST_SPLITS = """
@@ -209,16 +236,15 @@ class BoostedNewton(Estimator):
             raise ValueError(f"maxBins must be from 2 to {MOST_BINS}")
         cuts, base = self._prepare(rows, width, bins)
 
-        def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if len(frame):
-                    codes = bin_codes(np.stack(frame["x"].to_numpy()).astype(float), cuts, bins)
-                    yield pd.DataFrame({
-                        "codes": [r.tobytes() for r in codes], "y": frame["y"], "w": frame["w"], "margin": [base] * len(frame),
-                    })
+        squared = self.loss == "squared"
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x, y, w in taken(batches, width):
+                codes, y, w = combined(bin_codes(x, cuts, bins), y, w, squared)
+                yield from _blocks(codes, y, w, np.tile(base, (len(y), 1)))
 
         path = stage_path(spark)
-        state, rounds, kept = materialize(rows.mapInPandas(encode, STATE), path), [], 0
+        state, rounds, kept = materialize(rows.mapInArrow(encode, STATE), path), [], 0
         gains = np.zeros(width)
         try:
             for i in range(self.getOrDefault(self.maxIter)):
@@ -250,14 +276,12 @@ class BoostedNewton(Estimator):
     def _advance(self, state: DataFrame, done: list[list[Tree]], width: int, bins: int) -> tuple[DataFrame, str]:
         """The state with the margins after `done`, written."""
 
-        def advance(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if len(frame):
-                    codes, margin = _unpack(frame, width)
-                    yield frame.assign(margin=list(add_trees(margin, codes, done, bins)))
+        def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for codes, y, w, margin in _unpack(batches, width):
+                yield from _blocks(codes, y, w, add_trees(margin, codes, done, bins))
 
         path = stage_path(state.sparkSession)
-        return materialize(state.mapInPandas(advance, STATE), path), path
+        return materialize(state.mapInArrow(advance, STATE), path), path
 
     def _grow(self, state: DataFrame, done: list[list[Tree]], width: int, bins: int, gains: np.ndarray) -> list[Tree]:
         """One tree per margin, a job per level; gains are added to those of their features."""
