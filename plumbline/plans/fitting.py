@@ -16,6 +16,11 @@ from plumbline.plans.families import TAKES_MISSING, Plan, estimator
 
 KNN = 5
 MAX_CLASSES = 1000
+# Trees of these split by sums of labels alone; settings that count rows are not among the listed ones.
+BY_MEANS = ("decision_tree", "gradient_boosting")
+KEPT_BY_MEANS = {"maxIter", "maxDepth", "stepSize"}
+FEWER = 0.5
+WEIGHT = "__rows"
 
 
 @dataclass
@@ -65,14 +70,34 @@ def with_label(df: DataFrame, plan: Plan, labels: list) -> DataFrame:
     return df.withColumn("label", q(plan.target).cast("double"))
 
 
+def merged(rows: DataFrame) -> DataFrame | None:
+    """Rows of equal features as one with the mean of their labels and their number in `__rows`.
+
+    None where that leaves more than half of them, by a sketch. Missing labels stay apart.
+    """
+    found = rows.agg(F.approx_count_distinct("features").alias("kinds"), F.count(F.lit(1)).alias("n")).first()
+    if found["kinds"] > FEWER * found["n"]:
+        return None
+    groups = rows.groupBy("features", F.col("label").isNull().alias("__missing"))
+    means = groups.agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    return means.select("features", "label", WEIGHT)
+
+
 def fit(plan: Plan, train: DataFrame, weight: str | None = None) -> Fitted:
-    """Fit the plan on complete training rows; families that take missing values need no complete ones."""
+    """Fit the plan on complete training rows; families that take missing values need no complete ones.
+
+    Regression trees grow from sums of labels, the same for rows of equal features taken together.
+    """
     labels = class_labels(train, plan.target) if plan.task == "classification" else []
     if plan.family == "knn":
         return Fitted(plan, None, labels, train)
     usable = with_label(assembled(train, list(plan.features), plan.family), plan, labels)
     # several passes follow; what does not fit in memory goes to disk
-    usable = usable.select("features", "label", *([weight] if weight else [])).persist()
+    usable = usable.select("features", "label", *([weight] if weight else []))
+    if plan.task != "classification" and plan.family in BY_MEANS and not weight and plan.params.keys() <= KEPT_BY_MEANS:
+        fewer = merged(usable)
+        usable, weight = (usable, None) if fewer is None else (fewer, WEIGHT)
+    usable = usable.persist()
     try:
         model = estimator(plan.family, plan.task, len(labels), weight, **plan.params).fit(usable)
     finally:
