@@ -60,40 +60,27 @@ def _doc_plan(family: str) -> Plan:
 def _register_fits() -> None:
     """One query per family and task: a prediction for every test row."""
 
-    def documents(family: str):
+    def maker(task: str, family: str):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            train, test = _parts(document_features(spark, sf_dir))
-            return fit(_doc_plan(family), train).predict(test)
+            rows = TASK_ROWS[task](spark, sf_dir)
+            train, test = _parts(rows)
+            return fit(TASK_PLANS[task](family, rows), train).predict(test)
 
         return run
 
-    def items(family: str):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            rows = table(spark, sf_dir, "lineitem").withColumn(
-                "row_id", F.col("l_orderkey") * 16 + F.col("l_linenumber")
-            )
-            train, test = _parts(split.split_random(rows, "row_id"))
-            plan = Plan(family, "regression", "l_extendedprice", tuple(ITEM_FEATURES), "row_id")
-            return fit(plan, train).predict(test)
+    for task, prefix in (("classification", "fit"), ("regression", "fit_regression"), ("timeseries", "fit_timeseries")):
+        for family in FAMILIES[task]:
+            if (task, family) != ("classification", "knn"):
+                QUERIES[f"{prefix}_{family}"] = maker(task, family)
 
-        return run
 
-    def events(family: str):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            rows = event_features(spark, sf_dir)
-            train, test = _parts(rows)
-            return fit(_event_plan(family, rows), train).predict(test)
+def item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("row_id", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
+    return split.split_random(rows, "row_id")
 
-        return run
 
-    makers = {
-        "classification": ("fit", documents), "regression": ("fit_regression", items),
-        "timeseries": ("fit_timeseries", events),
-    }
-    for task, (prefix, maker) in makers.items():
-        for family in FAMILIES[task]:
-            if (task, family) != ("classification", "knn"):
-                QUERIES[f"{prefix}_{family}"] = maker(family)
+def _item_plan(family: str) -> Plan:
+    return Plan(family, "regression", "l_extendedprice", tuple(ITEM_FEATURES), "row_id")
 
 
 def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +94,12 @@ def _event_plan(family: str, rows: DataFrame) -> Plan:
     return Plan(family, "timeseries", "value", tuple(features), "event_id", "ts")
 
 
+# The rows of each task, split, and the plan of a family on them.
+TASK_ROWS = {"classification": document_features, "regression": item_features, "timeseries": event_features}
+TASK_PLANS = {
+    "classification": lambda family, rows: _doc_plan(family), "regression": lambda family, rows: _item_plan(family),
+    "timeseries": _event_plan,
+}
 _register_fits()
 
 
@@ -303,13 +296,19 @@ def _families_sql(task: str) -> str:
     return ", ".join(f"('{f}')" for f in FAMILIES[task])
 
 
-def _fit_checks(task: str, prefix: str, better: tuple[str, str]):
-    """One row per family: predictions per test row, right labels, and what `better` tells."""
+def _fit_checks(task: str, better: tuple[str, str]):
+    """One row per family: predictions per test row, right labels, and what `better` tells.
+
+    The rows with their features and split are made once for all families.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        parts = []
-        for family in FAMILIES[task]:
-            preds = QUERIES[f"{prefix}_{family}"](spark, sf_dir)
+        parts, rows = [], TASK_ROWS[task](spark, sf_dir)
+        plans = [TASK_PLANS[task](family, rows) for family in FAMILIES[task]]
+        used = {c: None for p in plans for c in (p.key, p.target, *p.features, "part", *([p.time] if p.time else []))}
+        train, test = _parts(materialize(rows.select(*used)))
+        for plan in plans:
+            preds, family = fit(plan, train).predict(test), plan.family
             key = preds.columns[0]
             parts.append(
                 preds.agg(
@@ -337,7 +336,7 @@ FINITE = ("bool_and(abs(prediction) < 1e9)", "finite")
     """
 )
 def fit_checks_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit_checks("classification", "fit", INSIDE)(spark, sf_dir)
+    return _fit_checks("classification", INSIDE)(spark, sf_dir)
 
 
 @query(
@@ -348,7 +347,7 @@ def fit_checks_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def fit_checks_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit_checks("regression", "fit_regression", NEAR_MEAN)(spark, sf_dir)
+    return _fit_checks("regression", NEAR_MEAN)(spark, sf_dir)
 
 
 @query(
@@ -359,7 +358,7 @@ def fit_checks_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def fit_checks_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit_checks("timeseries", "fit_timeseries", FINITE)(spark, sf_dir)
+    return _fit_checks("timeseries", FINITE)(spark, sf_dir)
 
 
 NB_TERM = " + ".join(f"ln(v_{c}) + (d.{c} - m_{c}) ** 2 / v_{c}" for c in DOC_FEATURES)

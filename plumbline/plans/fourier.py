@@ -5,7 +5,8 @@ frequencies, so a linear model on `numFeatures` cosines stands for the kernel, a
 with rows. The error falls with the root of their number. What is minimised, with `label` scaled to a
 standard deviation of one, is regParam / 2 |v|² plus half the mean of squared distances beyond `epsilon`;
 the intercept has no penalty. Newton's steps need the sums of products of the rows outside the tube: a
-task adds up one matrix, `tree_sum` adds up the tasks, and the driver holds one matrix.
+task adds up one matrix, `tree_sum` adds up the tasks, and the driver holds one matrix. The rows are
+packed into blocks once, in which the cosines and products of rows with equal features are computed once.
 
 Rows without a label take no part. Features that do not vary count as 0.
 """
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -23,7 +25,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.durable import discard, materialize, stage_path
+from plumbline.plans.blocks import distinct, taken
+
 FAN_IN = 32
+BLOCK = "x binary, kind binary, y binary, w binary"
+COSINES = 1 << 23  # values that a task holds at a time
 
 
 def _add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,13 +72,42 @@ class Cosines:
         return out
 
 
-def outside(z: np.ndarray, y: np.ndarray, w: np.ndarray, v: np.ndarray, epsilon: float) -> np.ndarray:
-    """Sums over rows outside the tube: products of (z, y moved to the tube's edge), and the loss."""
-    rest = y - z @ v
+def outside(z: np.ndarray, kind: np.ndarray, y: np.ndarray, w: np.ndarray, v: np.ndarray, epsilon: float) -> np.ndarray:
+    """Sums over rows outside the tube: products of (z, y moved to the tube's edge), and the loss.
+
+    `kind` is the place of each row's cosines in `z`, so products are those of the places.
+    """
+    rest = y - (z @ v)[kind]
     out = np.abs(rest) > epsilon
-    zy = np.column_stack([z[out], y[out] - np.sign(rest[out]) * epsilon])
-    loss = (w[out] * (np.abs(rest[out]) - epsilon) ** 2).sum() / 2
-    return np.append((zy.T * w[out] @ zy).ravel(), loss)
+    kind, w, rest = kind[out], w[out], rest[out]
+    edge = y[out] - np.sign(rest) * epsilon
+    mass, aim = (np.bincount(kind, values, len(z)) for values in (w, w * edge))
+    used = np.flatnonzero(mass)
+    z, mass, aim = z[used], mass[used], aim[used]
+    products = np.empty((z.shape[1] + 1,) * 2)
+    products[:-1, :-1] = z.T * mass @ z
+    products[-1, :-1] = products[:-1, -1] = z.T @ aim
+    products[-1, -1] = (w * edge**2).sum()
+    return np.append(products.ravel(), (w * (np.abs(rest) - epsilon) ** 2).sum() / 2)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows: the different features, and of each row its place there, label and weight."""
+    for x, y, w in taken(batches, width):
+        places, kind = distinct(x)
+        part = {"x": x[places], "kind": kind.astype(np.int32), "y": y, "w": w}
+        yield pa.RecordBatch.from_pylist([{k: v.tobytes() for k, v in part.items()}], pa.schema([(k, pa.binary()) for k in part]))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Features, and their rows' places, labels and weights, at most `most` different features at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x, kind, y, w = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in zip(("x", "kind", "y", "w"), "didd"))
+            x = x.reshape(-1, width)
+            for start in range(0, len(x), most):
+                here = slice(None) if len(x) <= most else (kind >= start) & (kind < start + most)
+                yield x[start : start + most], kind[here] - start, y[here], w[here]
 
 
 class FourierSVRModel(Model):
@@ -124,32 +160,36 @@ class FourierSVR(Estimator):
         flat = rows.select(vector_to_array("features").alias("x"), ((F.col("y") - centre) / scale).alias("y"), "w")
         penalty = np.append(np.full(size - 1, reg), 0.0)
 
+        width, path = len(mean), stage_path(dataset.sparkSession)
+        blocks = materialize(flat.mapInArrow(lambda batches: _packed(batches, width), BLOCK), path)
+
         def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
             """The objective, its gradient, and where Newton's step leads."""
 
-            def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.zeros((size + 1) ** 2 + 1)
-                for frame in frames:
-                    if len(frame):
-                        z = cosines(np.stack(frame["x"].to_numpy()).astype(float))
-                        total += outside(z, frame["y"].to_numpy(), frame["w"].to_numpy(), v, epsilon)
-                yield pd.DataFrame({"part": [total.tobytes()]})
+                for x, kind, y, w in _pieces(batches, width, max(1, COSINES // size)):
+                    total += outside(cosines(x), kind, y, w, v, epsilon)
+                yield pa.record_batch({"part": pa.array([total.tobytes()], pa.binary())})
 
-            sums = tree_sum(flat.mapInPandas(add, "part binary")) / first["n"]
+            sums = tree_sum(blocks.mapInArrow(add, "part binary")) / first["n"]
             products = sums[:-1].reshape(size + 1, size + 1)
             second, aim = products[:-1, :-1] + np.diag(penalty), products[:-1, -1]
             goal = np.linalg.lstsq(second, aim, rcond=None)[0]
             return sums[-1] + penalty @ v**2 / 2, second @ v - aim, goal
 
-        v = np.zeros(size)
-        value, gradient, goal = at(v)
-        passes, share = 1, 1.0
-        while passes < self.getOrDefault(self.maxIter) and np.abs(gradient).max() > 1e-9 and share > 1e-4:
-            moved = v + share * (goal - v)
-            found = at(moved)
-            passes += 1
-            if found[0] <= value:
-                v, (value, gradient, goal), share = moved, found, 1.0
-            else:  # too far: the rows outside the tube change on the way
-                share /= 2
+        try:
+            v = np.zeros(size)
+            value, gradient, goal = at(v)
+            passes, share = 1, 1.0
+            while passes < self.getOrDefault(self.maxIter) and np.abs(gradient).max() > 1e-9 and share > 1e-4:
+                moved = v + share * (goal - v)
+                found = at(moved)
+                passes += 1
+                if found[0] <= value:
+                    v, (value, gradient, goal), share = moved, found, 1.0
+                else:  # too far: the rows outside the tube change on the way
+                    share /= 2
+        finally:
+            discard(dataset.sparkSession, path)
         return FourierSVRModel(cosines, v, centre, scale)
