@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators.durable import materialize
+
 INTERNAL_PREFIX = "__"
 CATEGORY_LIMIT = 20
 CORR_THRESHOLD = 0.9
 CORR_PAIRS = 10
 PAIR_SCHEMA = "a string, b string, corr double"
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+METHOD_BYTES = 8000  # longer methods stay interpreted
 
 
 def q(name: str) -> Column:
@@ -206,6 +211,17 @@ def _pair_sums(batches, shifts: list[float]):
     yield pa.record_batch({k: pa.array(v, pa.int32() if k in "ij" else pa.float64()) for k, v in columns.items()})
 
 
+@contextmanager
+def small_methods(spark: SparkSession):
+    """Let Spark cut the code of wide projections into methods that the JVM compiles."""
+    before = spark.conf.get(METHOD_LIMIT)
+    spark.conf.set(METHOD_LIMIT, METHOD_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)
+
+
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair of columns as rows (a, b, corr).
 
@@ -216,11 +232,17 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     numbers = df.select(*[F.nanvl(q(c).cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    with small_methods(df.sparkSession):
+        return _correlations(numbers, cols)
+
+
+def _correlations(numbers: DataFrame, cols: list[str]) -> DataFrame:
     means = numbers.agg(*[F.avg(f"c{i}") for i in range(len(cols))]).first()
     shifts = [0.0 if m is None or not math.isfinite(m) else m for m in means]  # sums around the means lose no digits
     kinds = "i int, j int, " + ", ".join(f"{c} double" for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
     parts = numbers.mapInArrow(lambda batches: _pair_sums(batches, shifts), kinds)
-    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    # written here, a row per pair: the setting above holds for what runs now
+    sums = materialize(parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
     n = F.col("n")
     x, y = (F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}") / n for c in "xy")
     both = F.col("sxy") - F.col("sx") * F.col("sy") / n

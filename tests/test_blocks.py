@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from plumbline.catalog import modelling
+from plumbline.operators import profile
 from plumbline.plans import blocks, fitting, fourier, newton
 from plumbline.plans.families import Plan
 from plumbline.plans.fitting import fit
@@ -64,3 +65,13 @@ def test_checks_make_the_features_once(spark, monkeypatch, tmp_path):
     monkeypatch.setitem(modelling.FAMILIES, "timeseries", ("ridge", "decision_tree"))
     found = modelling.fit_checks_timeseries(spark, str(tmp_path)).collect()
     assert len(found) == 2 and made == [1]
+
+
+def test_wide_correlations_run_as_compiled_methods(spark, monkeypatch):
+    limits, real = [], profile.materialize
+    monkeypatch.setattr(profile, "materialize", lambda df: limits.append(spark.conf.get(profile.METHOD_LIMIT)) or real(df))
+    before = spark.conf.get(profile.METHOD_LIMIT)
+    rows = spark.range(50).selectExpr("cast(id as double) a", "2D * id b", "if(id % 5 = 0, null, -id) c")
+    found = {(r["a"], r["b"]): r["corr"] for r in profile.correlations(rows, ["a", "b", "c"]).collect()}
+    assert found == pytest.approx({("a", "b"): 1, ("a", "c"): -1, ("b", "c"): -1})
+    assert limits == ["8000"] and spark.conf.get(profile.METHOD_LIMIT) == before
