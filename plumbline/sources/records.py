@@ -17,6 +17,7 @@ from plumbline.operators.durable import materialize
 # A line whose fields are all closed: quoted as a whole, or not beginning with a quote.
 CLOSED = r'^(?:(?:"(?:[^"]++|"")*+"[^SEP]*+|[^"SEP][^SEP]*+|)(?:SEP|$))*+$'
 BLOCK = ["path", "block"]
+RUN_BITS = 12  # blocks of delimited files are cut into runs of 4096 lines, so that no task holds a whole block
 
 
 def closing(line: Column, sep: str) -> dict[str, Column]:
@@ -93,7 +94,8 @@ def quoted_records(lines: DataFrame) -> DataFrame:
     A record has the place of its first line. A quote that is never closed ends with its line, and the
     lines after it are records each, so no record is the rest of a file.
     """
-    stated = materialize(_with_state(lines))
+    runs = F.struct("block", F.shiftright("at", RUN_BITS).alias("run"))  # in the order of the file as blocks are
+    stated = materialize(_with_state(lines.withColumn("block", runs)))
     opening = stated.filter("before = 0 AND after = 1").groupBy("path").agg(F.max(_place()).alias("opener"))
     ends = stated.groupBy("path").agg(F.max_by("after", _place()).alias("end")).filter("end = 1").drop("end")
     unclosed = opening.join(ends, "path")
@@ -101,7 +103,8 @@ def quoted_records(lines: DataFrame) -> DataFrame:
     flagged = flagged.withColumn("begins", (F.col("before") == 0) | F.col("tail"))
     alone = F.col("begins") & ((F.col("after") == 0) | F.col("tail"))
     columns = ["path", "__source", "block", "at", "text"]
-    return flagged.filter(alone).select(*columns).unionByName(_gathered(flagged.filter(~alone), "\n"))
+    found = flagged.filter(alone).select(*columns).unionByName(_gathered(flagged.filter(~alone), "\n"))
+    return found.withColumn("block", F.col("block.block"))
 
 
 def json_objects(spark: SparkSession, path: str) -> DataFrame:
