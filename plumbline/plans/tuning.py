@@ -6,6 +6,7 @@ import itertools
 import random
 from collections.abc import Iterator
 from dataclasses import replace
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -19,7 +20,7 @@ from plumbline.operators import prepare as prep
 from plumbline.operators.order import nth_values
 from plumbline.operators.oversample import smote
 from plumbline.operators.profile import q
-from plumbline.plans import grams
+from plumbline.plans import grams, logit
 from plumbline.plans.families import SEARCH, SEED, Plan, Range, estimator
 from plumbline.plans.fitting import assembled, class_labels, with_label
 
@@ -57,7 +58,8 @@ def tune(
     """The plan with its best settings, and one row (draw, params, score, best) per draw.
 
     Folds are a hash of the key. For time series each fold is tested after the times
-    it was trained on, never before. Linear families take one pass for all settings and folds.
+    it was trained on, never before. Linear families take one pass for all settings and folds,
+    logistic regression on two classes a few (`logit`).
     With `balance` (weights, synthetic; classification only) the rows to fit on are balanced
     fold by fold, from the other folds alone, and the scores are those of real rows.
     """
@@ -76,6 +78,8 @@ def tune(
             ([j for j in range(folds) if j != i], i) for i in range(folds)
         ]
         scores = grams.scores(dealt.select("features", "label", F.col("fold").cast("int")), plan.family, settings, pairs)
+    elif (found := _logit_scores(plan, train, rows, labels, settings, folds, seed, balance)) is not None:
+        scores = found
     elif balance:
         scores = _balanced_scores(plan, train, labels, settings, folds, seed, balance, parallelism)
     elif plan.task == "timeseries":
@@ -117,6 +121,30 @@ def balanced_folds(
         yield balanced(plan, train.filter(fold != i), balance), train.filter(fold == i)
 
 
+def _logit_scores(
+    plan: Plan, train: DataFrame, rows: DataFrame, labels: list, settings: list[dict], folds: int, seed: int, balance: str | None
+) -> list[float] | None:
+    """Scores of logistic regression on two classes, all settings and folds side by side; None for others."""
+    if plan.family != logit.FAMILY or len(labels) != 2 or None in labels:
+        return None
+    if balance != "synthetic":  # class weights follow from the sizes of the classes
+        dealt = rows.select("features", "label", fold_of(plan.key, folds=folds, seed=seed).alias("fold"))
+        pairs = [([j for j in range(folds) if j != i], i) for i in range(folds)]
+
+        def level(i: int) -> float:
+            past = next(itertools.islice(balanced_folds(plan, train, balance, folds, seed), i, None))[0]
+            past = with_label(assembled(past, list(plan.features), plan.family), plan, labels).select("features", "label", WEIGHT)
+            return estimator(plan.family, plan.task, 2, WEIGHT, regParam=1.0, elasticNetParam=1.0).fit(past).intercept
+
+        return logit.scores(dealt, settings, pairs, balance == "weights", level if balance else None)
+    parts = [part for pair in balanced_folds(plan, train, balance, folds, seed) for part in pair]
+    dealt = [
+        with_label(assembled(part, list(plan.features), plan.family), plan, labels).select("features", "label", F.lit(i).alias("fold"))
+        for i, part in enumerate(parts)
+    ]
+    return logit.scores(reduce(DataFrame.unionByName, dealt), settings, [([2 * i], 2 * i + 1) for i in range(folds)])
+
+
 def _balanced_scores(
     plan: Plan, train: DataFrame, labels: list, settings: list[dict], folds: int, seed: int, balance: str, parallelism: int
 ) -> list[float]:
