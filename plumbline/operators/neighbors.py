@@ -161,6 +161,11 @@ def _searcher(k: int, same_row: bool, compared: Accumulator | None):
     return run
 
 
+def once(function):
+    """The function, evaluated once per row; a second evaluation takes one more Python worker per task."""
+    return function.asNondeterministic()
+
+
 def nearest(
     queries: DataFrame,
     base: DataFrame,
@@ -200,7 +205,8 @@ def nearest(
     def cell(v: pd.Series) -> pd.Series:
         return pd.Series(cell_of(np.stack(v.to_numpy()), tree) if len(v) else [], dtype="int32")
 
-    points = points.withColumn("cell", cell("v"))
+    # Spark evaluates plain ones again in the filters that joins and explode imply
+    points = points.withColumn("cell", once(cell)("v"))
     ends = [f(F.col("v")[i]) for f in (F.min, F.max) for i in range(len(features))]
     boxes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*ends).alias("ends")).orderBy("cell").collect()  # CELLS
     if not boxes:
@@ -231,7 +237,7 @@ def nearest(
         return F.pmod(F.xxhash64(key), F.col("slices")).cast("int")
 
     points = points.join(slices, "cell").select("cell", part("bk").alias("slice"), "bk", F.col("v").alias("bv"), "c")
-    asked = asked.withColumn("cell", home_of("v")).join(slices, "cell").withColumn("slice", part("qk"))
+    asked = asked.withColumn("cell", once(home_of)("v")).join(slices, "cell").withColumn("slice", part("qk"))
     run = _searcher(k, same_row, compared)
     home = _searched(asked.withColumn("r2", F.lit(math.inf)), points, run, schema)
     if len(sizes) == 1 and sizes[0][1] == 1:
@@ -239,7 +245,7 @@ def nearest(
     bound = home.groupBy("qk").agg(F.when(F.count("bk") >= k, F.max("d2")).alias("r2"))
     bounded = skew.join_on(asked.withColumnsRenamed({"cell": "home", "slice": "own"}).drop("slices"), bound, ["qk"], "left")
     sent = bounded.withColumn("r2", F.coalesce("r2", F.lit(math.inf)))
-    sent = sent.withColumn("cell", F.explode(reached("v", "r2"))).join(slices, "cell")
+    sent = sent.withColumn("cells", once(reached)("v", "r2")).withColumn("cell", F.explode("cells")).drop("cells").join(slices, "cell")
     sent = sent.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     found = home.unionByName(_searched(sent.filter("NOT (cell = home AND slice = own)"), points, run, schema))
     return _result(found, k, query_key, base_key, carry)

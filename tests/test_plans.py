@@ -345,3 +345,14 @@ def test_smoothed_variances(spark):
     assert [r["prediction"] for r in wide.predict(test).orderBy("id").collect()] == [wide.labels[i] for i in logs.argmax(axis=1)]
     best, table = tune(Plan("naive_bayes", "classification", "y", ("a", "b"), "id"), train, draws=3)
     assert table.count() == 3 and set(best.params) == {"varSmoothing"}
+
+
+def test_cells_are_computed_once(spark):
+    """Each evaluation in a task takes one more Python worker, and their memory adds up."""
+    rows = spark.range(600).select("id", (F.col("id") * 7 % 101 * 1.0).alias("a"), (F.col("id") * 13 % 89 * 1.0).alias("b"))
+    found = nearest(rows, rows, ["a", "b"], 3, "id", "id", same_row=True, chunk_rows=64)
+    lines = [x.strip(" :+-") for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    steps = [x for x in lines if x.startswith(("ArrowEvalPython", "Join"))]
+    assert any("home_of" in x for x in steps) and any("reached" in x for x in steps)
+    # a function evaluated again for a filter stands right below itself
+    assert not any(a.startswith("Arrow") and b.startswith("Arrow") and a.split("(")[0] == b.split("(")[0] for a, b in zip(steps, steps[1:]))
