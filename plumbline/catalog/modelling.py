@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -297,32 +296,28 @@ def _families_sql(task: str) -> str:
     return ", ".join(f"('{f}')" for f in FAMILIES[task])
 
 
-SIDE_BY_SIDE = 2  # each holds its rows in memory or on disk while it is fitted
-
-
 def _fit_checks(task: str, better: tuple[str, str]):
     """One row per family: predictions per test row, right labels, and what `better` tells.
 
-    The rows with their features and split are made once for all families. `SIDE_BY_SIDE` families are
-    fitted at a time: boosting is hundreds of short jobs, one after another, that leave cores idle.
+    The rows with their features and split are made once for all families.
     """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = TASK_ROWS[task](spark, sf_dir)
+        parts, rows = [], TASK_ROWS[task](spark, sf_dir)
         plans = [TASK_PLANS[task](family, rows) for family in FAMILIES[task]]
         used = {c: None for p in plans for c in (p.key, p.target, *p.features, "part", *([p.time] if p.time else []))}
         train, test = _parts(materialize(rows.select(*used)))
-
-        def checked(plan: Plan) -> DataFrame:
-            preds = fit(plan, train).predict(test)
-            return preds.agg(
-                F.lit(plan.family).alias("family"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(preds.columns[0]).alias("n_keys"),
-                F.round(F.sum(F.col("label").cast("double")), 2).alias("labels"),
-                F.count_if(F.col("prediction").isNull()).alias("n_missing"), F.expr(better[0]).alias(better[1]),
+        for plan in plans:
+            preds, family = fit(plan, train).predict(test), plan.family
+            key = preds.columns[0]
+            parts.append(
+                preds.agg(
+                    F.lit(family).alias("family"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"),
+                    F.round(F.sum(F.col("label").cast("double")), 2).alias("labels"),
+                    F.count_if(F.col("prediction").isNull()).alias("n_missing"), F.expr(better[0]).alias(better[1]),
+                )
             )
-
-        with ThreadPool(SIDE_BY_SIDE) as pool:
-            return reduce(DataFrame.unionByName, pool.map(checked, plans, chunksize=1))
+        return reduce(DataFrame.unionByName, parts)
 
     return run
 
