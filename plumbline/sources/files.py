@@ -1,10 +1,9 @@
 """Tolerant file ingest: formats by extension, encodings, preambles, folders.
 
-Tolerant CSV files are read as lines, so large files split over many tasks. Files in
-which a quoted field holds a line break are found by a look at each line alone; their
-lines are put together to records again, also by many tasks (`records.py`). The raw lines
-are staged once as Parquet, because charset, header, types and data each need a look at
-them.
+Tolerant CSV files are read as lines, so large files split over many tasks. Where a quoted
+field holds a line break, lines are put together to records again, also by many tasks
+(`records.py`). A first look at the files finds charset, header and open quotes; then the
+records are staged once as Parquet, because types and data each need a look at them.
 """
 
 from __future__ import annotations
@@ -20,13 +19,13 @@ from plumbline.functions.times import as_time
 from plumbline.operators.combine import concat_tables
 from plumbline.operators.durable import materialize, stage_path
 from plumbline.operators.profile import q
-from plumbline.sources.records import closing, json_objects, quoted_records
+from plumbline.operators.skew import broadcast_if_small
+from plumbline.sources.records import COPIED, block_states, closing, cut_alike, json_objects, quoted_records, text_lines
 
 HEADER_SEARCH_LINES = 30
 LEGACY_CHARSET = "x-windows-949"  # the Java name of cp949
 LAST_CHARSET = "ISO-8859-1"
 END = "\x01"  # appended to every line to tell short rows from long ones
-COPIED = "named-"  # in front of copies of files that Spark would take for hidden ones
 WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 # Texts that count as missing.
@@ -66,10 +65,12 @@ def _read_records(spark: SparkSession, path: str, sep: str) -> DataFrame:
     """Delimited files whose records span lines, all columns as text; each file has its header."""
     # only the first record is read for the names
     columns = spark.read.csv(path, header=True, sep=sep, escape='"', multiLine=True).columns
-    lines = _stage_lines(spark, [path], sep).withColumn("text", F.col("raw").cast("string"))
-    records = materialize(quoted_records(lines.drop("raw")).filter(F.length(F.trim("text")) > 0))
-    headers = records.groupBy("path").agg(F.min(F.struct("block", "at")).alias("header"))
-    body = records.join(headers, "path").filter(F.struct("block", "at") != F.col("header"))
+    lines = text_lines(spark, [path], sep)
+    with cut_alike(spark):
+        records = quoted_records(lines, block_states(lines).withColumn("kind", F.lit(0)))
+    records = records.withColumn("text", F.col("raw").cast("string")).filter(F.length(F.trim("text")) > 0)
+    headers = materialize(records.groupBy("path").agg(F.min(F.struct("block", "at")).alias("header")))
+    body = records.join(broadcast_if_small(headers), "path").filter(F.struct("block", "at") != F.col("header"))
     schema = ", ".join(f"c{i} string" for i in range(len(columns)))
     row = F.from_csv("text", schema, {"escape": '"', "sep": sep, "mode": "PERMISSIVE"})
     parsed = body.select(row.alias("r"))
@@ -169,44 +170,15 @@ def _visible(spark: SparkSession, pattern: str) -> list[str]:
     return ([pattern] if len(skipped) < len(found) else []) + [folder]
 
 
-def _stage_lines(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
-    """All lines with their file, their place in it and what they do to open quotes."""
-    text = spark.read.text(paths)
-    # the position is stored, since a second scan may cut the files differently
-    return materialize(
-        text.select(
-            F.col("_metadata.file_path").alias("path"),
-            F.regexp_replace("_metadata.file_name", f"^{COPIED}", "").alias("__source"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("at"),
-            F.col("value").cast("binary").alias("raw"),
-            *[c.alias(name) for name, c in closing(F.col("value"), sep).items()],
-        )
-    )
-
-
-def _describe_files(spark: SparkSession, lines: DataFrame, header_lines: int) -> DataFrame:
-    """One row per file: charset, place and text of the header line, whether records span lines."""
-    at_start = F.when(F.col("block") == 0, F.col("at"))
-    comma = F.instr(F.col("raw").cast("string"), ",") > 0
-    files = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"),
-        (~F.bool_and("closed")).alias("spans"),
-        F.min(at_start).alias("start"),
-        F.min(F.when(comma, at_start)).alias("comma_at"),
-    )
-    near = F.col("comma_at") - F.col("start") < header_lines
-    files = files.withColumn("header_at", F.when(near, F.col("comma_at")).otherwise(F.col("start")))
-    headers = lines.filter("block = 0").join(files.select("path", "utf8", "spans", "header_at"), "path")
-    text = legacy_text(F.col("raw"))
-    odd = files.filter("NOT utf8").select("path")
-    bad = lines.join(odd, "path", "left_semi").filter(F.contains(text, F.lit("�")))
+def _refuse_broken(lines: DataFrame, files: DataFrame) -> None:
+    """An error when a file is neither UTF-8 nor in the legacy charset."""
+    odd = materialize(files.filter("NOT utf8").select("path"))
+    if odd.isEmpty():
+        return
+    bad = lines.join(broadcast_if_small(odd), "path", "left_semi").filter(F.contains(legacy_text(F.col("raw")), F.lit("�")))
     broken = [r["__source"] for r in bad.select("__source").distinct().orderBy("__source").limit(20).collect()]
     if broken:
         raise ValueError(f"unknown text encoding: {broken}")
-    return materialize(
-        headers.filter("at = header_at").select("path", "__source", "utf8", "spans", "header_at", F.col("raw").alias("header"))
-    )
 
 
 def _column_names(header: str) -> tuple[str, ...]:
@@ -219,16 +191,11 @@ def _column_names(header: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-def _parse(lines: DataFrame, files: DataFrame, header: bytes, utf8: bool, spans: bool) -> DataFrame:
-    """Rows of the files with one charset and one header, all columns as text."""
+def _parse(records: DataFrame, header: bytes, utf8: bool) -> DataFrame:
+    """Rows of files with one charset and one header, all columns as text."""
     columns = _column_names(header.decode("utf-8-sig" if utf8 else "cp949"))
-    alike = (F.col("header") == F.lit(header)) & (F.col("utf8") == utf8) & (F.col("spans") == spans)
-    heads = files.filter(alike).select("path", "header_at")
-    body = lines.join(heads, "path").filter("NOT (block = 0 AND at <= header_at)")
     text = F.col("raw").cast("string") if utf8 else legacy_text(F.col("raw"))
-    body = body.select("path", "__source", "block", "at", text.alias("text"), "closed", "closes")
-    if spans:
-        body = quoted_records(body)
+    body = records.select("__source", text.alias("text"))
     fields = [f"c{i}" for i in range(len(columns) + 1)]
     schema = ", ".join(f"{c} string" for c in fields)
     row = F.from_csv(F.concat("text", F.lit("," + END)), schema, {"escape": '"', "mode": "PERMISSIVE"})
@@ -271,16 +238,20 @@ def infer_types(df: DataFrame, keep: tuple[str, ...] = ("__source",)) -> DataFra
 
 def _read_lines(spark: SparkSession, pattern: str, infer: bool, header_lines: int) -> DataFrame:
     try:
-        lines = _stage_lines(spark, _visible(spark, pattern))
+        lines = text_lines(spark, _visible(spark, pattern))
     except AnalysisException as error:
         raise ValueError(f"no CSV file found: {pattern}") from error
-    with java_charsets(spark):
-        files = _describe_files(spark, lines, header_lines)
+    with java_charsets(spark), cut_alike(spark):
+        blocks = block_states(lines, max(1, header_lines))
+        files = blocks.filter("block = 0")
+        _refuse_broken(lines, files)
         # one entry per different header, however many files share it
-        kinds = files.groupBy("header", "utf8", "spans").agg(F.min("__source").alias("first")).orderBy("first", "header").collect()
+        kinds = files.groupBy("header", "utf8").agg(F.min("__source").alias("first")).orderBy("first", "header").collect()
         if not kinds:
             raise ValueError(f"no lines in {pattern}")
-        parts = [_parse(lines, files, bytes(k["header"]), k["utf8"], k["spans"]) for k in kinds]
+        numbers = spark.createDataFrame([(k["header"], k["utf8"], i) for i, k in enumerate(kinds)], "header binary, utf8 boolean, kind int")
+        records = quoted_records(lines, blocks.join(numbers, ["header", "utf8"]))
+        parts = [_parse(records.filter(F.col("kind") == i), bytes(k["header"]), k["utf8"]) for i, k in enumerate(kinds)]
         merged = concat_tables(parts)
         return infer_types(merged) if infer else merged
 

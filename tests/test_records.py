@@ -5,12 +5,15 @@ import csv
 import io
 import json
 import random
+import string
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.sources import records
 from plumbline.sources.files import read_csv_tolerant, read_folder, read_table
-from plumbline.sources.records import json_objects
+from plumbline.sources.records import block_states, cut_alike, json_objects, quoted_records, text_lines
 
 
 @contextlib.contextmanager
@@ -84,6 +87,62 @@ def test_a_quote_that_is_never_closed_ends_with_its_line(spark, tmp_path, size):
         assert tolerant[3] == "t\n3" and tolerant[199] == "t199" and set(tolerant) >= set(range(200)) - {150}
 
 
+def written(spark):
+    """Files in the stage folders and those of shuffles and spills, with their sizes."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())
+    staged = Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet")
+    return {str(f): Path(str(f)).stat().st_size for f in [*shuffled, *staged] if Path(str(f)).is_file()}
+
+
+def test_text_of_records_is_stored_once(spark, tmp_path):
+    rng = random.Random(8)
+    letters = string.ascii_letters + string.digits + ".;:!?-+*/()<>"  # hard to compress
+    texts = ["\n".join("".join(rng.choices(letters, k=80)) for _ in range(12)) for _ in range(1500)]
+    with (tmp_path / "t.csv").open("w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([("id", "text"), *enumerate(texts)])
+    size = (tmp_path / "t.csv").stat().st_size
+    for read in (read_csv_tolerant, read_table):
+        before = written(spark)
+        with blocks_of(spark, size // 5):
+            got = read(spark, str(tmp_path / "t.csv"))
+            assert got.agg(F.sum("id"), F.sum(F.length("text"))).first() == (1500 * 1499 // 2, sum(map(len, texts)))
+        assert sum(n for f, n in written(spark).items() if f not in before) < 1.3 * size
+
+
+@pytest.mark.parametrize(("batch", "most"), [(3, 100_000), (10_000, 0), (3, 0)])
+def test_records_over_batches_and_shuffled_blocks(spark, tmp_path, monkeypatch, batch, most):
+    monkeypatch.setattr(records, "MOST_BLOCKS", most)
+    rng, want = random.Random(batch), []
+    for name in "pqr":
+        text = table_text(rng, 200, ",")
+        (tmp_path / f"{name}.csv").write_text(f'made for "{name}\n' * (name == "q") + text + 'k,"open\nx,y,z\n' * (name == "r"))
+        want += [tuple(r) for r in csv.reader(io.StringIO(text))][1:] + [("x", "y", "z")] * (name == "r")
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(batch))
+    try:
+        with blocks_of(spark, 2500):
+            got = read_folder(spark, str(tmp_path)).drop("__source").collect()
+    finally:
+        spark.conf.set(conf, before)
+    assert sorted(tuple(r) for r in got if r["id"] != "k") == sorted(want)
+
+
+def test_blocks_cut_anew_are_an_error(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n" + '1,"x\ny"\n' * 500)
+    lines = text_lines(spark, [str(tmp_path / "t.csv")])
+    with blocks_of(spark, 300), cut_alike(spark):
+        blocks = block_states(lines, 1).withColumn("kind", F.lit(0))
+    with blocks_of(spark, 200), cut_alike(spark), pytest.raises(Exception, match="other blocks"):
+        quoted_records(lines, blocks)
+
+
+def test_no_line_is_searched_for_a_header(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("x\na,b\n1,2\n")
+    assert read_csv_tolerant(spark, str(tmp_path / "t.csv"), header_lines=0).columns == ["x"]
+
+
 def objects(rng, n):
     texts = ['a "quoted" {brace}', "[x], {y}", "back\\slash", "\\", "é\n\t", "", "}{", "plain"]
     return [{"id": i, "s": rng.choice(texts), "o": {"l": [1, {"z": rng.choice(texts)}], "e": {}}, "e": []} for i in range(n)]
